@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def safe_id(c: Column, default: str = "unknown") -> Column:
     """Letters and digits stay, all else becomes an underscore; none at either end."""
     slug = F.regexp_replace(F.regexp_replace(c, "[^\\p{L}\\p{N}]", "_"), "^_+|_+$", "")
-    return F.when(F.coalesce(slug, F.lit("")) == "", F.lit(default)).otherwise(slug)
+    return F.regexp_replace(slug, "^$", default)
 
 
 def safe_condition(c: Column) -> Column:
@@ -52,8 +52,31 @@ def split_key(candidates: list[Column], project_id: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in candidates], project_id)
 
 
+def exact_round(c: Column, places: int) -> Column:
+    """Round half to even on the exact binary value, as correctly rounded decimals do.
+
+    ``bround`` looks at the shortest decimal text, so 1/160 = 0.00625 would be a tie
+    there although its binary value lies above it. Where the scaled value falls on an odd
+    half, the error term of the product tells on which side the number really is.
+    """
+    scale = float(2 * 10**places)
+
+    def rounded(v: Column) -> Column:
+        p = v * F.lit(scale)
+        big = v * F.lit(134217729.0)
+        high = big - (big - v)
+        error = (high * F.lit(scale) - p) + (v - high) * F.lit(scale)
+        below, above = (p - 1) / 2, (p + 1) / 2
+        half = (p == F.floor(p)) & (F.pmod(F.floor(p), F.lit(2)) == 1)
+        to_even = F.when(F.pmod(F.floor(below), F.lit(2)) == 0, below).otherwise(above)
+        side = F.when(error > 0, above).when(error < 0, below).otherwise(to_even)
+        return F.when(half, side / F.lit(float(10**places))).otherwise(F.bround(v, places))
+
+    return F.transform(F.array(c.cast("double")), rounded)[0]
+
+
 def confidence(c: Column) -> Column:
-    return F.bround(F.least(F.lit(0.95), F.greatest(F.lit(0.1), c)), 3)
+    return exact_round(F.least(F.lit(0.95), F.greatest(F.lit(0.1), c)), 3)
 
 
 def iso_wall(wall: Column) -> Column:

@@ -21,7 +21,8 @@ def first_evidence(events: DataFrame, n: int = 3, order: tuple[str, ...] = ("ts"
     """Per repository, the first n event ids of each signal as one array per signal."""
     flagged = flag_signals(events)
     signals = F.array_compact(F.array(*[F.when(F.col(f"is_{s}"), F.lit(s)) for s in EVIDENCE_SIGNALS]))
-    hits = flagged.select("repo", *order, "event_id", F.explode(signals).alias("signal"))
+    # The outer form keeps the optimizer from repeating the flags in an inferred filter.
+    hits = flagged.select("repo", *order, "event_id", F.explode_outer(signals).alias("signal")).filter("signal is not null")
     firsts = top_rows(hits, ["repo", "signal"], [F.col(c) for c in order], n)
     return firsts.groupBy("repo").agg(
         *[joined_list(F.col("rn"), F.col("event_id"), F.col("signal") == s).alias(f"first_{s}") for s in EVIDENCE_SIGNALS]
@@ -57,6 +58,11 @@ def evidence_by_repo(events: DataFrame, n: int = 3, order: tuple[str, ...] = ("t
     )
 
 
+def _let(value: Column, use) -> Column:
+    """Bind a costly expression once, so that a rule may use it more than once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _named(content: Column, pattern: str) -> Column:
     found = F.regexp_extract_all(F.lower(content), F.lit(pattern), F.lit(1))
     parts = F.flatten(F.transform(found, lambda m: F.transform(F.split(m, "[|,;/]+"), lambda x: F.trim(x))))
@@ -66,19 +72,21 @@ def _named(content: Column, pattern: str) -> Column:
 def labels_and_owners(event_type: Column, content: Column, actor: Column) -> tuple[Column, Column]:
     """Labels and owners an issue or a comment names; a comment may fall back to known
     words and to its own author."""
-    low = F.lower(content)
-    labels = F.array_distinct(F.transform(_named(content, "labels?=([a-z0-9_.:/ -]+)"), safe_condition))
-    single = F.filter(
-        F.regexp_extract_all(low, F.lit("assignee=([a-z0-9_.:/-]+)"), F.lit(1)), lambda x: x != ""
-    )
-    owners = F.array_distinct(F.concat(_named(content, "assignees?=([a-z0-9_.:/ -]+)"), single))
     is_comment = event_type == "github_issue_comment"
-    known = F.array_compact(F.array(*[F.when(low.contains(w), F.lit(w)) for w in COMMENT_LABELS]))
-    author = F.when(low.rlike("|".join(OWNER_MARKERS)), F.array(actor)).otherwise(no_strings())
-    return (
-        F.when(is_comment & (F.size(labels) == 0), known).otherwise(labels),
-        F.when(is_comment & (F.size(owners) == 0), author).otherwise(owners),
-    )
+
+    def labels_of(text: Column) -> Column:
+        named = F.array_distinct(F.transform(_named(text, "labels?=([a-z0-9_.:/ -]+)"), safe_condition))
+        known = F.array_compact(F.array(*[F.when(F.lower(text).contains(w), F.lit(w)) for w in COMMENT_LABELS]))
+        return _let(named, lambda got: F.when(is_comment & (F.size(got) == 0), known).otherwise(got))
+
+    def owners_of(text: Column) -> Column:
+        low = F.lower(text)
+        single = F.filter(F.regexp_extract_all(low, F.lit("assignee=([a-z0-9_.:/-]+)"), F.lit(1)), lambda x: x != "")
+        named = F.array_distinct(F.concat(_named(text, "assignees?=([a-z0-9_.:/ -]+)"), single))
+        author = F.when(low.rlike("|".join(OWNER_MARKERS)), F.array(actor)).otherwise(no_strings())
+        return _let(named, lambda got: F.when(is_comment & (F.size(got) == 0), author).otherwise(got))
+
+    return _let(content, labels_of), _let(content, owners_of)
 
 
 def triage_pairs(events: DataFrame, max_pairs: int = 3, max_events: int = 4) -> DataFrame:
@@ -87,8 +95,8 @@ def triage_pairs(events: DataFrame, max_pairs: int = 3, max_events: int = 4) ->
     labels, owners = labels_and_owners(F.col("event_type"), F.col("content"), F.col("actor"))
     named = issues.select("repo", "ts", "ord", "event_id", labels.alias("labels"), owners.alias("owners"))
     pairs = (
-        named.withColumn("label", F.explode("labels"))
-        .withColumn("owner", F.explode("owners"))
+        named.withColumn("label", F.explode_outer("labels"))
+        .withColumn("owner", F.explode_outer("owners"))
         .filter("label <> '' and owner <> ''")
         .select("repo", "label", "owner", "ts", "ord", "event_id")
     )
@@ -229,8 +237,8 @@ def mine_candidates(events: DataFrame) -> DataFrame:
             either("emergency_negative_event", "negative_boundary_language_event"),
         ),
     )
-    rules = base.select("repo", F.expr("1").alias("x"), F.array_compact(F.array(review_rule, ci_rule, negative_rule)).alias("rules"))
-    rules = rules.select("repo", F.inline("rules"))
+    rules = base.select("repo", F.array_compact(F.array(review_rule, ci_rule, negative_rule)).alias("rules"))
+    rules = rules.select("repo", F.inline_outer("rules")).filter("candidate_id is not null")
 
     label, owner = F.col("label"), F.col("owner")
     label_slug, owner_slug = safe_condition(label), reviewer_slug(owner)

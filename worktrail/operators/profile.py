@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worktrail.functions.ids import iso_seconds, safe_condition
+from worktrail.functions.ids import exact_round, iso_seconds, safe_condition
 from worktrail.functions.signals import missing_signals, signal_columns
 
 
@@ -155,7 +155,7 @@ def repo_spans(windows: DataFrame) -> DataFrame:
     )
     seconds = (F.unix_micros("last_ts") - F.unix_micros("first_ts")) / F.lit(1e6)
     return out.withColumn("spans_multiple_windows", F.col("windows_total") > 1).withColumn(
-        "span_days", F.bround(seconds / F.lit(86400.0), 3)
+        "span_days", exact_round(seconds / F.lit(86400.0), 3)
     )
 
 

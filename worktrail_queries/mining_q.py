@@ -8,7 +8,7 @@ from worktrail.operators import mining as M
 from worktrail.operators import profile as P
 from worktrail_queries.inputs import light
 from worktrail_queries.registry import query
-from worktrail_queries.sqlkit import has_any, slug, sql_list, table
+from worktrail_queries.sqlkit import has_any, rnd, slug, sql_list, table
 
 table(
     "ev_sig",
@@ -63,7 +63,7 @@ _routing = "list_concat(first_summary, first_routing)"
 
 
 def _conf(expr: str) -> str:
-    return f"round_even(least(0.95e0, greatest(0.1e0, {expr})), 3)"
+    return rnd(f"least(0.95e0, greatest(0.1e0, {expr}))", 3)
 
 
 table("evid2", f"SELECT *, {_uniq(_routing)} AS routing, regexp_replace({slug('reviewer')}, '(_reviewer|_review)$', '') AS rslug FROM evid")

@@ -45,6 +45,19 @@ def iso(ts: str) -> str:
     )
 
 
+def rnd(value: str, places: int = 4) -> str:
+    """Half-even on the exact binary value; twin of exact_round."""
+    c = f"{2 * 10**places}e0"
+    high = "(v * 134217729e0 - (v * 134217729e0 - v))"
+    err = f"(({high} * {c} - v * {c}) + (v - {high}) * {c})"
+    low, up = f"((v * {c} - 1) / 2)", f"((v * {c} + 1) / 2)"
+    return (
+        f"list_transform([CAST({value} AS DOUBLE)], lambda v: CASE WHEN v * {c} = floor(v * {c}) AND CAST(floor(v * {c}) AS BIGINT) % 2 = 1 "
+        f"THEN (CASE WHEN {err} > 0 THEN {up} WHEN {err} < 0 THEN {low} WHEN CAST(floor({low}) AS BIGINT) % 2 = 0 THEN {low} ELSE {up} END) / {10**places}e0 "
+        f"ELSE round_even(v, {places}) END)[1]"
+    )
+
+
 def slug(text: str, default: str = "value") -> str:
     """Lower-case identifier: non-alphanumerics to underscores, none at the ends."""
     return f"coalesce(nullif(trim(regexp_replace(lower({text}), '[^\\pL\\pN]', '_', 'g'), '_'), ''), '{default}')"

@@ -9,7 +9,7 @@ from worktrail.functions.signals import COUNT_FIELDS
 from worktrail.operators import profile as P
 from worktrail_queries.inputs import light
 from worktrail_queries.registry import query
-from worktrail_queries.sqlkit import COUNTS, MISSING, iso, slug, table
+from worktrail_queries.sqlkit import COUNTS, MISSING, iso, rnd, slug, table
 
 table(
     "win0",
@@ -20,8 +20,8 @@ FROM (SELECT *, ((epoch_us(ts) - epoch_us(anchor)) // 1000000) // 604800 AS wind
 table("win", f"SELECT *, {MISSING} AS missing_required_signals, {MISSING} = '' AS eligible FROM win0")
 table(
     "spans",
-    """SELECT repo, CAST(sum(events) AS BIGINT) AS events, count(*) AS windows_total, count(*) FILTER (eligible) AS eligible_windows,
-  count(*) > 1 AS spans_multiple_windows, round_even((epoch_us(max(last_ts)) - epoch_us(min(first_ts))) / 1e6 / 86400.0, 3) AS span_days,
+    f"""SELECT repo, CAST(sum(events) AS BIGINT) AS events, count(*) AS windows_total, count(*) FILTER (eligible) AS eligible_windows,
+  count(*) > 1 AS spans_multiple_windows, {rnd('(epoch_us(max(last_ts)) - epoch_us(min(first_ts))) / 1e6 / 86400.0', 3)} AS span_days,
   min(first_ts) AS first_ts, max(last_ts) AS last_ts FROM win GROUP BY repo""",
 )
 
