@@ -56,8 +56,8 @@ def exact_round(c: Column, places: int) -> Column:
     """Round half to even on the exact binary value, as correctly rounded decimals do.
 
     ``bround`` looks at the shortest decimal text, so 1/160 = 0.00625 would be a tie
-    there although its binary value lies above it. Where the scaled value falls on an odd
-    half, the error term of the product tells on which side the number really is.
+    there although its binary value lies above it. Here the distance to the half-way
+    point is taken with the error term of the scaled product, which makes its sign exact.
     """
     scale = float(2 * 10**places)
 
@@ -66,11 +66,10 @@ def exact_round(c: Column, places: int) -> Column:
         big = v * F.lit(134217729.0)
         high = big - (big - v)
         error = (high * F.lit(scale) - p) + (v - high) * F.lit(scale)
-        below, above = (p - 1) / 2, (p + 1) / 2
-        half = (p == F.floor(p)) & (F.pmod(F.floor(p), F.lit(2)) == 1)
-        to_even = F.when(F.pmod(F.floor(below), F.lit(2)) == 0, below).otherwise(above)
-        side = F.when(error > 0, above).when(error < 0, below).otherwise(to_even)
-        return F.when(half, side / F.lit(float(10**places))).otherwise(F.bround(v, places))
+        down = F.floor(p / 2)
+        beyond_half = (p - (down * 2 + 1).cast("double")) + error
+        up = (beyond_half > 0) | ((beyond_half == 0) & (F.pmod(down, F.lit(2)) == 1))
+        return F.when(up, down + 1).otherwise(down) / F.lit(float(10**places))
 
     return F.transform(F.array(c.cast("double")), rounded)[0]
 

@@ -11,7 +11,7 @@ from worktrail.functions.text import no_strings, str_array
 from worktrail.operators.ordering import joined_list, top_rows
 from worktrail.operators.profile import flag_signals
 
-EVIDENCE_SIGNALS = ["summary", "routing", "review", "ci", "execution_boundary", "merge", "emergency", "plain_negative"]
+EVIDENCE_SIGNALS = ["pr_or_comment", "summary", "routing", "review", "ci", "execution_boundary", "merge", "emergency", "plain_negative"]
 # Labels looked for in comments, and words that make the author an owner.
 COMMENT_LABELS = ["bug", "docs", "security", "api", "question"]
 OWNER_MARKERS = ["triage", "assign", "owner", "route", "label"]

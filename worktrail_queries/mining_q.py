@@ -13,7 +13,7 @@ from worktrail_queries.sqlkit import has_any, rnd, slug, sql_list, table
 table(
     "ev_sig",
     """SELECT repo, ord, ts, event_id, unnest(list_filter([
-    CASE WHEN f_summary THEN 'summary' END, CASE WHEN f_routing THEN 'routing' END, CASE WHEN f_review THEN 'review' END,
+    CASE WHEN f_pr THEN 'pr_or_comment' END, CASE WHEN f_summary THEN 'summary' END, CASE WHEN f_routing THEN 'routing' END, CASE WHEN f_review THEN 'review' END,
     CASE WHEN f_ci THEN 'ci' END, CASE WHEN f_exec THEN 'execution_boundary' END, CASE WHEN f_merge THEN 'merge' END,
     CASE WHEN f_emerg THEN 'emergency' END, CASE WHEN f_neg THEN 'plain_negative' END], lambda s: s IS NOT NULL)) AS signal FROM fl""",
 )

@@ -50,11 +50,11 @@ def rnd(value: str, places: int = 4) -> str:
     c = f"{2 * 10**places}e0"
     high = "(v * 134217729e0 - (v * 134217729e0 - v))"
     err = f"(({high} * {c} - v * {c}) + (v - {high}) * {c})"
-    low, up = f"((v * {c} - 1) / 2)", f"((v * {c} + 1) / 2)"
+    down = f"floor(v * {c} / 2)"
+    beyond = f"((v * {c} - ({down} * 2 + 1)) + {err})"
     return (
-        f"list_transform([CAST({value} AS DOUBLE)], lambda v: CASE WHEN v * {c} = floor(v * {c}) AND CAST(floor(v * {c}) AS BIGINT) % 2 = 1 "
-        f"THEN (CASE WHEN {err} > 0 THEN {up} WHEN {err} < 0 THEN {low} WHEN CAST(floor({low}) AS BIGINT) % 2 = 0 THEN {low} ELSE {up} END) / {10**places}e0 "
-        f"ELSE round_even(v, {places}) END)[1]"
+        f"list_transform([CAST({value} AS DOUBLE)], lambda v: ({down} + CASE WHEN {beyond} > 0 OR ({beyond} = 0 AND CAST({down} AS BIGINT) % 2 = 1) "
+        f"THEN 1 ELSE 0 END) / {10**places}e0)[1]"
     )
 
 
