@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from worktrail.functions.signals import REQUIRED_SIGNALS
 from worktrail.operators import mining as M
 from worktrail.operators import projects as J
+from worktrail.session import pinned
 from worktrail_queries.inputs import canonical
 from worktrail_queries.sqlkit import slug, table
 
@@ -24,13 +25,22 @@ class Gold:
     probes: DataFrame
 
 
+_STAGED: dict[tuple[str, str], Gold] = {}
+
+
 def gold(spark, sf) -> Gold:
-    artifacts, events = canonical(spark, sf)
-    evidence = J.project_evidence(events)
-    in_projects = events.join(J.built(evidence).select("project_id"), "project_id", "left_semi")
-    return Gold(
-        artifacts, in_projects, events, evidence, J.memories(evidence), J.memory_events(evidence, events), J.probes(evidence)
-    )
+    """The staged tables of a run: canonical events and project evidence are written once
+    per session and input, and every later step reads them back."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STAGED:
+        artifacts, events = canonical(spark, sf)
+        events = pinned(events)
+        evidence = pinned(J.project_evidence(events))
+        in_projects = events.join(J.built(evidence).select("project_id"), "project_id", "left_semi")
+        _STAGED[key] = Gold(
+            artifacts, in_projects, events, evidence, J.memories(evidence), J.memory_events(evidence, events), J.probes(evidence)
+        )
+    return _STAGED[key]
 
 
 table("first3o", "SELECT repo, signal, list(event_id ORDER BY ord)[:3] AS ids FROM ev_sig GROUP BY repo, signal")
