@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from worktrail.functions.ids import exact_round, safe_id, split_of
@@ -271,11 +270,9 @@ def collect_outputs(rows: DataFrame, max_rounds: int = 1000) -> DataFrame:
     open_rows = pinned(checked.filter(F.size("missing") == 0).select(*keys))
     decided = unfilled
     for _ in range(max_rounds):
-        first_id = F.min("row_no").over(W.partitionBy("proposal_id"))
-        first_key = F.min("row_no").over(W.partitionBy("pack_id", "annotation_id"))
-        taken = pinned(
-            open_rows.withColumn("a", first_id).withColumn("b", first_key).filter("row_no = a and row_no = b").select(*keys)
-        )
+        by_id = open_rows.groupBy("proposal_id").agg(F.min("row_no").alias("row_no"))
+        by_key = open_rows.groupBy("pack_id", "annotation_id").agg(F.min("row_no").alias("row_no"))
+        taken = pinned(open_rows.join(by_id.select("row_no"), "row_no", "left_semi").join(by_key.select("row_no"), "row_no", "left_semi"))
         if taken.isEmpty():
             break
         ids = taken.select("proposal_id", F.lit(True).alias("id_taken"))

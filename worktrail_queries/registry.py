@@ -26,7 +26,7 @@ def load_all() -> None:
     import importlib
 
     for module in ("events_q", "signals_q", "windows_q", "mining_q", "functions_q", "gold_q", "retrieval_q", "scoring_q",
-                   "annotation_q", "checks_q", "sources_q", "reports_q", "streams_q"):
+                   "annotation_q", "checks_q", "audits_q", "sources_q", "reports_q", "streams_q"):
         try:
             importlib.import_module(f"worktrail_queries.{module}")
         except ModuleNotFoundError as missing:
