@@ -34,11 +34,17 @@ def gold(spark, sf) -> Gold:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _STAGED:
         artifacts, events = canonical(spark, sf)
-        events = pinned(events)
+        artifacts, events = pinned(artifacts), pinned(events)
         evidence = pinned(J.project_evidence(events))
         in_projects = events.join(J.built(evidence).select("project_id"), "project_id", "left_semi")
         _STAGED[key] = Gold(
-            artifacts, in_projects, events, evidence, J.memories(evidence), J.memory_events(evidence, events), J.probes(evidence)
+            artifacts,
+            in_projects,
+            events,
+            evidence,
+            pinned(J.memories(evidence)),
+            pinned(J.memory_events(evidence, events)),
+            pinned(J.probes(evidence)),
         )
     return _STAGED[key]
 
