@@ -19,7 +19,11 @@ def _section(when: str, **fields: str) -> str:
 
 
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return from_table(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def from_table(events: DataFrame) -> DataFrame:
+    """Batch or streaming rows of the events table as raw records."""
     base = events.selectExpr(
         "event_id",
         "ts",
