@@ -36,14 +36,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="worktrail-checkpoint-"))
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """Write the rows to the reliable checkpoint folder, so that a lost executor
-    re-reads them and never re-draws sampled range bounds."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder beside the checkpoints, which all executors share."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/worktrail-{name}-{uuid.uuid4().hex}"
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared folder and read them back: lineage ends there, so a
+    lost executor re-reads files and sampled range bounds are never drawn again. Written
+    tables also keep their size for join choices, and columns for pruning."""
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def prepare(spark: SparkSession) -> None:
+    """Runtime settings the operators count on. A join with a hot key is split even where
+    the following grouping then needs one more shuffle."""
+    for name in ("enabled", "skewJoin.enabled", "coalescePartitions.enabled", "forceOptimizeSkewedJoin"):
+        spark.conf.set(f"spark.sql.adaptive.{name}", "true")
+
+
+def spread(df: DataFrame, few: int = 8) -> DataFrame:
+    """Give a table of a few file splits to all cores. Only tiny inputs have so few; a
+    large table keeps its own splits and is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df.rdd.getNumPartitions()
+    return df.repartition(cores) if parts < min(few, cores) else df

@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from worktrail.functions.ids import hash_bucket
 from worktrail.operators import annotation as A
-from worktrail.operators import mining as M
-from worktrail.operators import profile as P
 from worktrail.session import pinned
 from worktrail_queries.gold import gold
+from worktrail_queries.inputs import candidates, profile
 from worktrail_queries.mining_q import bucket_sql, split_sql
 from worktrail_queries.registry import query
 from worktrail_queries.sqlkit import iso, rnd, table
@@ -22,7 +21,7 @@ def staged(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _STAGED:
         g = gold(spark, sf)
-        tasks = pinned(A.annotation_tasks(M.mine_candidates(g.all_events), P.quality_profile(g.all_events)))
+        tasks = pinned(A.annotation_tasks(candidates(spark, sf), profile(spark, sf)))
         _STAGED[key] = (tasks, pinned(A.evidence_rows(tasks, g.all_events, g.artifacts)))
     return _STAGED[key]
 

@@ -5,34 +5,33 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from worktrail.functions.ids import iso_seconds
-from worktrail.sources import bridge
 from worktrail.sources import raw_events as R
-from worktrail_queries.inputs import canonical, light
+from worktrail_queries.inputs import canonical, fresh_light, raw
 from worktrail_queries.registry import query
 from worktrail_queries.sqlkit import iso
 
 
 @query("event_type_normalize", "SELECT raw_type, event_type, count(*) AS n FROM ev GROUP BY 1, 2")
 def event_type_normalize(spark, sf):
-    raw = bridge.raw_records(spark, sf)
-    return raw.groupBy(F.col("type").alias("raw_type"), R.event_type_name(F.col("type")).alias("event_type")).agg(
+    records = raw(spark, sf)
+    return records.groupBy(F.col("type").alias("raw_type"), R.event_type_name(F.col("type")).alias("event_type")).agg(
         F.count("*").alias("n")
     )
 
 
 @query("event_summary", "SELECT event_id, content FROM ev")
 def event_summary(spark, sf):
-    return light(spark, sf).select("event_id", "content")
+    return fresh_light(spark, sf).select("event_id", "content")
 
 
 @query("event_claims", "SELECT event_id, array_to_string(claims, '|') AS claims FROM ev")
 def event_claims(spark, sf):
-    return light(spark, sf).select("event_id", F.array_join("claims", "|").alias("claims"))
+    return fresh_light(spark, sf).select("event_id", F.array_join("claims", "|").alias("claims"))
 
 
 @query("event_entities", "SELECT CAST(ord AS VARCHAR) AS id, array_to_string(entities, '|') AS entities FROM entities")
 def event_entities(spark, sf):
-    return bridge.raw_records(spark, sf).select("id", F.array_join(R.event_entities(), "|").alias("entities"))
+    return raw(spark, sf).select("id", F.array_join(R.event_entities(), "|").alias("entities"))
 
 
 @query(
@@ -41,7 +40,7 @@ def event_entities(spark, sf):
          THEN 'https://example.org/' || ord END AS uri FROM ev""",
 )
 def event_uri(spark, sf):
-    return bridge.raw_records(spark, sf).select("id", R.event_uri().alias("uri"))
+    return raw(spark, sf).select("id", R.event_uri().alias("uri"))
 
 
 @query(
@@ -71,7 +70,7 @@ def canonicalize_events(spark, sf):
     f"SELECT repo, {iso('ts')} AS timestamp, ord, event_id, actor, event_type, content, array_to_string(claims, '|') AS claims FROM ev",
 )
 def light_events(spark, sf):
-    return light(spark, sf).select(
+    return fresh_light(spark, sf).select(
         "repo", iso_seconds(F.col("ts")).alias("timestamp"), "ord", "event_id", "actor", "event_type", "content",
         F.array_join("claims", "|").alias("claims"),
     )

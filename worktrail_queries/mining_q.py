@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from worktrail.operators import mining as M
 from worktrail.operators import profile as P
-from worktrail_queries.inputs import light
+from worktrail_queries.inputs import candidates, light, profile
 from worktrail_queries.registry import query
 from worktrail_queries.sqlkit import has_any, rnd, slug, sql_list, table
 
@@ -162,7 +162,7 @@ def mine_candidates(spark, sf):
 
 @query("candidate_type_counts", "SELECT repo, candidate_type, count(*) AS candidates FROM cand GROUP BY ALL")
 def candidate_type_counts(spark, sf):
-    return M.candidate_type_counts(M.mine_candidates(light(spark, sf)))
+    return M.candidate_type_counts(candidates(spark, sf))
 
 
 table(
@@ -204,8 +204,7 @@ table(
     "SELECT repo, split, CAST(score AS BIGINT) AS score, candidate_count, candidate_types, head AS reserved FROM selected",
 )
 def stratified_select(spark, sf):
-    events = light(spark, sf)
-    scored = M.selection_scores(P.quality_profile(events), M.mine_candidates(events))
+    scored = M.selection_scores(profile(spark, sf), candidates(spark, sf))
     return M.stratified_select(scored).select(
         "repo", "split", F.col("score").cast("bigint").alias("score"), "candidate_count", "candidate_types", "reserved"
     )

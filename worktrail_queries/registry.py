@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+from worktrail.session import prepare
 from worktrail_queries.sqlkit import expand
 
 QUERIES: dict[str, Callable] = {}
@@ -14,7 +16,13 @@ def query(name: str, sql: str | None = None):
     def add(fn: Callable) -> Callable:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            prepare(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = expand(sql)
         return fn

@@ -12,11 +12,10 @@ from worktrail.operators import slices as Z
 from worktrail.operators import tables as T
 from worktrail.operators.annotation import release_tasks
 from worktrail.plans import readiness as R
-from worktrail.sources import bridge
 from worktrail_queries.annotation_q import pack_rows, staged
 from worktrail_queries.checks_q import split_consistency, verified
 from worktrail_queries.gold import gold
-from worktrail_queries.inputs import light, read
+from worktrail_queries.inputs import candidates, profile, raw, read, windows
 from worktrail_queries.mining_q import split_sql
 from worktrail_queries.registry import query
 from worktrail_queries.scoring_q import scored
@@ -24,12 +23,9 @@ from worktrail_queries.sqlkit import in_list, rnd, sql_list, table
 
 
 def _stage_inputs(spark, sf):
-    events = light(spark, sf)
-    windows = P.anchored_windows(events)
-    spans = P.repo_spans(windows)
-    quality = P.quality_summary(P.quality_profile(events))
-    counts = M.candidate_type_counts(M.mine_candidates(events))
-    return quality, P.window_summary(windows, spans), spans, counts
+    spans = P.repo_spans(windows(spark, sf))
+    quality = P.quality_summary(profile(spark, sf))
+    return quality, P.window_summary(windows(spark, sf), spans), spans, M.candidate_type_counts(candidates(spark, sf))
 
 
 def _measures(limits) -> str:
@@ -80,7 +76,7 @@ table(
 def _release(spark, sf):
     tasks, _ = staged(spark, sf)
     packs = pack_rows(spark, sf)
-    skipped = P.quality_profile(gold(spark, sf).all_events).filter(~F.col("eligible"))
+    skipped = profile(spark, sf).filter(~F.col("eligible"))
     return R.release_stats(packs, release_tasks(tasks, packs), skipped), tasks
 
 
@@ -270,7 +266,7 @@ def bootstrap_ci(spark, sf):
        WHERE rn <= 20 ORDER BY 'events/' || kind, ord LIMIT 2500""",
 )
 def slice_events(spark, sf):
-    out = Z.slice_events(bridge.raw_records(spark, sf), max_records=2500, max_records_per_repo=20)
+    out = Z.slice_events(raw(spark, sf), max_records=2500, max_records_per_repo=20)
     return out.select("id", F.col("repo.name").alias("repo"), "type")
 
 
@@ -280,4 +276,4 @@ def slice_events(spark, sf):
        UNION ALL SELECT 'type', raw_type, count(*) FROM (SELECT raw_type, row_number() OVER (PARTITION BY kind ORDER BY ord) AS rn FROM ev) WHERE rn <= 700 GROUP BY raw_type""",
 )
 def slice_manifest(spark, sf):
-    return Z.slice_manifest(Z.slice_events(bridge.raw_records(spark, sf), max_records_per_file=700))
+    return Z.slice_manifest(Z.slice_events(raw(spark, sf), max_records_per_file=700))

@@ -9,7 +9,6 @@ from worktrail.operators import plugins as G
 from worktrail.operators import scoring as S
 from worktrail.operators.checks import union_all
 from worktrail.session import scratch_path
-from worktrail.sources import bridge
 from worktrail.sources import files as X
 from worktrail.sources import mail as E
 from worktrail.sources import manifests as N
@@ -18,7 +17,7 @@ from worktrail.sources import sinks as K
 from worktrail.schemas import MANIFEST_RECORD
 from worktrail_queries.functions_q import redact_sql, tags_sql
 from worktrail_queries.gold import gold
-from worktrail_queries.inputs import read
+from worktrail_queries.inputs import raw, read
 from worktrail_queries.registry import query
 from worktrail_queries.scoring_q import _MEANS
 from worktrail_queries.sqlkit import table
@@ -29,8 +28,8 @@ from worktrail_queries.submissions import submission
 def scan_events(spark, sf):
     """The events as gzip JSON Lines, written beside the checkpoints and read back."""
     path = scratch_path(spark, "raw")
-    raw = bridge.raw_records(spark, sf).select("id", "type", "actor", "repo", "payload", "created_at")
-    raw.write.option("compression", "gzip").json(f"{path}/2024")
+    records = raw(spark, sf).select("id", "type", "actor", "repo", "payload", "created_at")
+    records.write.option("compression", "gzip").json(f"{path}/2024")
     return R.light_events(R.read_raw_events(spark, path)).select("event_id", "repo", "actor", "event_type", "content")
 
 
