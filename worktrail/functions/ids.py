@@ -74,6 +74,18 @@ def exact_round(c: Column, places: int) -> Column:
     return F.transform(F.array(c.cast("double")), rounded)[0]
 
 
+def stable_sum(c: Column | str) -> Column:
+    """Sum that does not depend on row order: twelve-decimal terms, nine-decimal total.
+    Floating sums differ in the last bit from run to run, which would flip rounded ties."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.round(F.sum(col.cast("decimal(38,12)")), 9).cast("double")
+
+
+def stable_mean(c: Column | str) -> Column:
+    col = F.col(c) if isinstance(c, str) else c
+    return stable_sum(col) / F.nullif(F.count(col), F.lit(0))
+
+
 def confidence(c: Column) -> Column:
     return exact_round(F.least(F.lit(0.95), F.greatest(F.lit(0.1), c)), 3)
 

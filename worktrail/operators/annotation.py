@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worktrail.functions.ids import exact_round, safe_id, split_of
+from worktrail.functions.ids import exact_round, safe_id, split_of, stable_mean
 from worktrail.functions.text import boundary_terms, no_strings, str_array
 from worktrail.operators.ordering import joined_list
 from worktrail.schemas import BOUNDARY_FIELDS
@@ -119,7 +119,7 @@ def scale_summary(pack_rows: DataFrame) -> DataFrame:
         F.coalesce(F.sum("tasks"), F.lit(0)).alias("tasks_total"),
         F.coalesce(F.min("tasks"), F.lit(0)).alias("min_per_pack"),
         F.coalesce(F.max("tasks"), F.lit(0)).alias("max_per_pack"),
-        exact_round(F.coalesce(F.avg("tasks"), F.lit(0.0)), 4).alias("mean_per_pack"),
+        exact_round(F.coalesce(stable_mean("tasks"), F.lit(0.0)), 4).alias("mean_per_pack"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worktrail.functions.ids import exact_round
+from worktrail.functions.ids import exact_round, stable_mean
 from worktrail.functions.text import fraction_true, must_not_violated, no_strings, requirement_matched, str_array, tokens
 from worktrail.operators.ordering import joined_list
 
@@ -215,8 +215,8 @@ def diagnostic_labels() -> Column:
 def _means() -> list[Column]:
     return [
         F.count("*").alias("predictions"),
-        exact_round(F.avg(F.col("passed").cast("double")), 4).alias("pass_rate"),
-        *[exact_round(F.avg(m), 4).alias(m) for m in METRICS],
+        exact_round(stable_mean(F.col("passed").cast("double")), 4).alias("pass_rate"),
+        *[exact_round(stable_mean(m), 4).alias(m) for m in METRICS],
     ]
 
 
@@ -253,8 +253,8 @@ def project_report(scored: DataFrame, probes: DataFrame, systems: DataFrame, sys
     sums = scored.groupBy(system, "project_id").agg(
         F.count("*").alias("predictions"),
         F.count_if(~F.col("known")).alias("unknown_or_invalid_predictions"),
-        F.avg(F.col("passed").cast("double")).alias("pass_rate"),
-        *[F.avg(m).alias(m) for m in METRICS],
+        stable_mean(F.col("passed").cast("double")).alias("pass_rate"),
+        *[stable_mean(m).alias(m) for m in METRICS],
     )
     zero = F.lit(0)
     out = grid.join(sums, [system, "project_id"], "left").join(answered, [system, "project_id"], "left")
@@ -279,16 +279,16 @@ def release_summary(scored: DataFrame, report: DataFrame, extra: DataFrame, syst
         F.sum("predictions").alias("predictions"),
         F.sum("missing_predictions").alias("missing_predictions"),
         F.sum("unknown_or_invalid_predictions").alias("invalid"),
-        exact_round(F.avg((F.col("predictions") > 0).cast("double")), 4).alias("project_coverage"),
-        *[exact_round(F.avg(m), 4).alias(f"macro_{m}") for m in rated],
+        exact_round(stable_mean((F.col("predictions") > 0).cast("double")), 4).alias("project_coverage"),
+        *[exact_round(stable_mean(m), 4).alias(f"macro_{m}") for m in rated],
     )
     micro = scored.groupBy(system).agg(
-        exact_round(F.avg(F.col("passed").cast("double")), 4).alias("micro_pass_rate"),
-        *[exact_round(F.avg(m), 4).alias(f"micro_{m}") for m in METRICS],
+        exact_round(stable_mean(F.col("passed").cast("double")), 4).alias("micro_pass_rate"),
+        *[exact_round(stable_mean(m), 4).alias(f"micro_{m}") for m in METRICS],
     )
     extras = extra.groupBy(system).agg(F.count("*").alias("extra_predictions"))
-    tasks = metrics_by_task_type(scored, system).groupBy(system).agg(exact_round(F.avg("pass_rate"), 4).alias("task_type_macro_pass_rate"))
-    caps = metrics_by_capability(scored, system).groupBy(system).agg(exact_round(F.avg("pass_rate"), 4).alias("capability_macro_pass_rate"))
+    tasks = metrics_by_task_type(scored, system).groupBy(system).agg(exact_round(stable_mean("pass_rate"), 4).alias("task_type_macro_pass_rate"))
+    caps = metrics_by_capability(scored, system).groupBy(system).agg(exact_round(stable_mean("pass_rate"), 4).alias("capability_macro_pass_rate"))
     out = macro.join(micro, system, "left").join(extras, system, "left").join(tasks, system, "left").join(caps, system, "left")
     zero = F.lit(0)
     return out.select(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worktrail.functions.ids import exact_round
+from worktrail.functions.ids import exact_round, stable_sum
 from worktrail.functions.text import action_matches, no_strings, normalize_text, tokens
 
 
@@ -107,8 +107,8 @@ def _trace_rates(total: Column) -> list[Column]:
     return [
         F.count_if("passed").alias("passed"),
         exact_round(F.count_if("passed") / one, 4).alias("pass_rate"),
-        exact_round(F.sum("boundary_score") / one, 4).alias("mean_boundary_score"),
-        exact_round(F.sum("allowed_action_coverage") / one, 4).alias("mean_allowed_action_coverage"),
+        exact_round(stable_sum("boundary_score") / one, 4).alias("mean_boundary_score"),
+        exact_round(stable_sum("allowed_action_coverage") / one, 4).alias("mean_allowed_action_coverage"),
     ]
 
 
@@ -145,8 +145,8 @@ def trace_release_summary(scored: DataFrame, probes: DataFrame) -> DataFrame:
         F.count_if(inside & F.col("passed")).alias("passed"),
         exact_round(F.count_if(inside & F.col("passed")) / total, 4).alias("pass_rate"),
         exact_round(F.count_if(~inside | (F.col("violations") > 0)) / total, 4).alias("boundary_violation_rate"),
-        exact_round(F.coalesce(F.sum(F.when(inside, F.col("boundary_score"))), F.lit(0.0)) / total, 4).alias("mean_boundary_score"),
-        exact_round(F.coalesce(F.sum(F.when(inside, F.col("allowed_action_coverage"))), F.lit(0.0)) / total, 4).alias(
+        exact_round(F.coalesce(stable_sum(F.when(inside, F.col("boundary_score"))), F.lit(0.0)) / total, 4).alias("mean_boundary_score"),
+        exact_round(F.coalesce(stable_sum(F.when(inside, F.col("allowed_action_coverage"))), F.lit(0.0)) / total, 4).alias(
             "mean_allowed_action_coverage"
         ),
     )

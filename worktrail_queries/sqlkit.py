@@ -45,8 +45,18 @@ def iso(ts: str) -> str:
     )
 
 
+def _total(inner: str) -> str:
+    return f"CAST(round(sum(CAST({inner} AS DECIMAL(38,12))), 9) AS DOUBLE)"
+
+
 def rnd(value: str, places: int = 4) -> str:
-    """Half-even on the exact binary value; twin of exact_round."""
+    """Half-even on the exact binary value; twin of exact_round. A mean or a sum at the
+    start is taken in decimals, as stable_mean and stable_sum do."""
+    if value.startswith("avg(") and value.endswith(")"):
+        value = f"{_total(value[4:-1])} / nullif(count({value[4:-1]}), 0)"
+    elif value.startswith("sum(") and ") / " in value:
+        at = value.rindex(") / ")
+        value = _total(value[4:at]) + value[at + 1 :]
     c = f"{2 * 10**places}e0"
     high = "(v * 134217729e0 - (v * 134217729e0 - v))"
     err = f"(({high} * {c} - v * {c}) + (v - {high}) * {c})"
