@@ -49,3 +49,12 @@ def joined_list(order: Column, value: Column, where: Column | None = None) -> Co
     if where is not None:
         item = F.when(where, item)
     return F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"])
+
+
+def beside(df: DataFrame, *one_row: DataFrame) -> DataFrame:
+    """Add the columns of one-row tables to every row, as scalar subqueries: each is
+    computed once and no join is planned."""
+    for part in one_row:
+        value = part.select(F.struct(*part.columns).alias("s")).scalar()
+        df = df.withColumn("_beside", value).select("*", "_beside.*").drop("_beside")
+    return df

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from worktrail.functions.ids import exact_round, iso_seconds, safe_condition
 from worktrail.functions.signals import missing_signals, signal_columns
+from worktrail.operators.ordering import beside
 
 
 def flag_signals(events: DataFrame) -> DataFrame:
@@ -166,5 +167,4 @@ def window_summary(windows: DataFrame, spans: DataFrame) -> DataFrame:
         F.count_if(F.col("eligible_windows") > 0).alias("repos_with_eligible_windows"),
         F.count_if("spans_multiple_windows").alias("repos_spanning_multiple_windows"),
     )
-    one = F.lit(1).alias("one")
-    return totals.select("*", one).join(by_repo.select("*", one), "one").drop("one")
+    return beside(totals, by_repo)

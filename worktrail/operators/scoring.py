@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from worktrail.functions.ids import exact_round, stable_mean
 from worktrail.functions.text import fraction_true, must_not_violated, no_strings, requirement_matched, str_array, tokens
-from worktrail.operators.ordering import joined_list
+from worktrail.operators.ordering import beside, joined_list
 
 METRICS = ["must_include_recall", "must_not_violation_rate", "evidence_recall", "boundary_action_recall"]
 SCORED_FIELDS = [
@@ -242,13 +242,9 @@ def label_counts(scored: DataFrame, *keys: str) -> DataFrame:
 def project_report(scored: DataFrame, probes: DataFrame, systems: DataFrame, system: str = "baseline") -> DataFrame:
     """Averages over the predictions a project has; projects without any stay, with zeros."""
     per_project = probes.groupBy("project_id").agg(F.count("*").alias("project_probes"))
-    # systems is the short list of systems under test, one array for all projects.
-    names = systems.agg(F.array_sort(F.collect_set(system)).alias("names")).withColumn("one", F.lit(1))
-    grid = (
-        per_project.withColumn("one", F.lit(1))
-        .join(F.broadcast(names), "one")
-        .select("project_id", "project_probes", F.explode("names").alias(system))
-    )
+    # The systems under test are a short list, one array for all projects.
+    names = systems.agg(F.array_sort(F.collect_set(system)).alias("names"))
+    grid = beside(per_project, names).select("project_id", "project_probes", F.explode_outer("names").alias(system))
     answered = scored.filter("known").groupBy(system, "project_id").agg(F.count_distinct("probe_id").alias("answered"))
     sums = scored.groupBy(system, "project_id").agg(
         F.count("*").alias("predictions"),

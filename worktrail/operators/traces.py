@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from worktrail.functions.ids import exact_round, stable_sum
 from worktrail.functions.text import action_matches, no_strings, normalize_text, tokens
+from worktrail.operators.ordering import beside
 
 
 def action_text() -> Column:
@@ -156,4 +157,4 @@ def trace_release_summary(scored: DataFrame, probes: DataFrame) -> DataFrame:
         exact_round(F.count_if(F.col("traces") > 0) / F.greatest(F.lit(1), F.count("*")), 4).alias("project_coverage"),
         exact_round(F.sum("traced_probes") / F.greatest(F.lit(1), F.sum("project_probes")), 4).alias("probe_coverage"),
     )
-    return rows.withColumn("one", F.lit(1)).join(by_project.withColumn("one", F.lit(1)), "one").drop("one")
+    return beside(rows, by_project)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worktrail.functions.ids import exact_round
+from worktrail.operators.ordering import beside
 
 # Thresholds of the three profiles.
 PROFILES = {
@@ -131,14 +132,10 @@ def release_stats(packs: DataFrame, tasks: DataFrame, skipped: DataFrame) -> Dat
     )
     head = packs.agg(F.count("*").alias("packs"), F.count_distinct("repo").alias("repos"))
     lost = skipped.agg(F.count("*").alias("skipped_repos"))
-    one = F.lit(1).alias("one")
-    out = head.select("*", one)
-    for part in (lost, splits, kinds):
-        out = out.join(part.select("*", one), "one")
+    out = beside(head, lost, splits, kinds)
     both = F.col("skipped_repos") + F.col("packs")
     return (
-        out.drop("one")
-        .withColumn("empty_splits", F.lit(3) - F.col("nonempty_splits"))
+        out.withColumn("empty_splits", F.lit(3) - F.col("nonempty_splits"))
         .withColumn("skipped_ratio", exact_round(F.when(both > 0, F.col("skipped_repos") / both).otherwise(F.lit(0.0)), 4))
         .withColumn("dominant_share", exact_round(F.when(F.col("tasks") > 0, F.col("dominant") / F.col("tasks")).otherwise(F.lit(0.0)), 4))
         .withColumn("imbalance", exact_round(F.col("imbalance"), 4))
@@ -282,9 +279,8 @@ def domain_gates(coverage: DataFrame, sources: DataFrame, release_checks: DataFr
         coverage.select("domain", "status", F.explode(F.array(*[F.lit(g) for g in GATES])).alias("gate"))
         .join(sources, "domain", "left")
         .join(released, "gate", "left")
-        .withColumn("one", F.lit(1))
-        .join(readiness_passed.select(F.col("passed").alias("ready"), F.lit(1).alias("one")), "one")
     )
+    cells = beside(cells, readiness_passed.select(F.col("passed").alias("ready")))
     covered, sourced = F.col("status") == "covered", F.coalesce("sources", F.lit(0)) > 0
     passed = (
         F.when(F.col("gate") == "reusable_trace_source", sourced)
