@@ -1,0 +1,34 @@
+"""The corpus pipeline: five stages over the table of documents, each written before the next."""
+
+from __future__ import annotations
+
+import os
+import sys
+
+from pyspark.sql import DataFrame, SparkSession
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from worktrail.llm.simhash import one_per_group  # noqa: E402
+from worktrail.session import pinned, prepare  # noqa: E402
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    prepare(spark)
+    return one_per_group(docs)
+
+
+STAGES = [("simhash_near_dedup", near_dedup)]
+
+#: Trained scores and byte-pair merges have no SQL form; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for at, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if at + 1 < len(STAGES):
+            docs = pinned(docs)
+    return docs
