@@ -37,3 +37,61 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from worktrail.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = """
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+w AS (
+  SELECT doc_id, lines, unnest(range(1, len(lines) - 1)) AS p FROM d WHERE len(lines) >= 3
+),
+h AS (
+  SELECT doc_id, p, lines[p] || chr(10) || lines[p + 1] || chr(10) || lines[p + 2] AS win FROM w
+  WHERE regexp_matches(lines[p] || lines[p + 1] || lines[p + 2], '[^ \\t\\v\\f\\r]')
+),
+later AS (SELECT doc_id, p FROM (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, p) AS rn FROM h) WHERE rn > 1),
+gone AS (SELECT DISTINCT doc_id, p + k AS p FROM later, (VALUES (0), (1), (2)) AS t(k)),
+l AS (SELECT doc_id, len(lines) AS n, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS p FROM d)
+SELECT l.doc_id, CAST(any_value(l.n) AS INTEGER) AS lines_seen, CAST(count(gone.p) AS INTEGER) AS lines_cut,
+  coalesce(string_agg(l.line, chr(10) ORDER BY l.p) FILTER (WHERE gone.p IS NULL), '') AS text
+FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.p = l.p GROUP BY l.doc_id
+"""
+
+
+@query("op4_line_dedup", OP4_SQL)
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from worktrail.llm.lines import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "lines_seen", "lines_cut", "text")
+
+
+@query("op3_bpe")
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from worktrail.llm.bpe import encode
+
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op7_quality_classifier")
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from worktrail.llm.quality_rff import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_benchmark_decontamination")
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from worktrail.llm.decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_quality_rules")
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from worktrail.llm.docstats import COUNTS
+    from worktrail.llm.quality_trees import judge, learn
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = learn(docs, table(spark, sf_dir, "labels"))
+    return judge(docs, trees).select("doc_id", *COUNTS, "base_failed", "kept", "score")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worktrail.llm.components import components
-from worktrail.llm.words import gathered, settle, slices
+from worktrail.llm.words import LOWER, gathered, plus, settle, slices
 from worktrail.session import pinned
 
 DISTANCE = 3
@@ -31,9 +31,6 @@ SEED = 42
 LEAF = 256
 FAN = 64
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
 
 def _fingerprints(words) -> np.ndarray:
     """One unsigned 64-bit fingerprint per text of a slice."""
@@ -43,7 +40,7 @@ def _fingerprints(words) -> np.ndarray:
     joined = np.full(int((lengths + 1).sum()), 0x20, dtype=np.uint8)
     held = np.ones(len(joined), dtype=bool)
     held[starts + lengths] = False
-    joined[held] = _LOWER[words.data[words.inside()]]
+    joined[held] = LOWER[words.data[words.inside()]]
     ends = starts + lengths
     # The windows of each text; a text of fewer words is one window.
     n = np.minimum(words.counts, SHINGLE)
@@ -68,7 +65,7 @@ def fingerprints(docs: DataFrame, text: str = "text", to: str = "fingerprint") -
     texts have fingerprint 0. Other columns pass through; one called ``to`` is replaced."""
     settle(docs.sparkSession)
     rest = [c for c in docs.columns if c not in (text, to)]
-    shape = docs.select(*rest).schema.add(to, "long")
+    shape = plus(docs.select(*rest).schema, f"{to} long")
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one step of a task holds in numpy arrays (one longer text is one step).
 SLICE_BYTES = 1 << 21
@@ -50,6 +51,13 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+#: Lower-case form of each byte, and what parts words when punctuation doesn't count.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+NOT_ALNUM = np.ones(256, dtype=bool)
+NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finish a 64-bit hash: every input bit reaches every output bit."""
     h = h ^ (h >> np.uint64(30))
@@ -79,7 +87,7 @@ class Words:
         return np.diff(self.first)
 
     def inside(self) -> np.ndarray:
-        """Whether each byte belongs to a word."""
+        """Whether each byte belongs to a word (of the usual separators)."""
         return ~_SEPARATOR[self.data]
 
     def owner(self) -> np.ndarray:
@@ -112,13 +120,14 @@ class Words:
         return at[at + size <= last]
 
 
-def find(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Words of texts that lie one after another in ``data``."""
+def find(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SEPARATOR) -> Words:
+    """Words of texts that lie one after another in ``data``; ``separator`` marks the bytes
+    between words."""
     offsets = offsets.astype(np.int64)
     data = data[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
     inside = np.zeros(len(data) + 2, dtype=bool)
-    np.logical_not(_SEPARATOR[data], out=inside[1:-1])
+    np.logical_not(separator[data], out=inside[1:-1])
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
     starts = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
@@ -141,17 +150,22 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, dtype=np.uint8)), offsets
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, Words]]:
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES, separator: np.ndarray = _SEPARATOR) -> Iterator[tuple[pa.RecordBatch, Words]]:
     """Parts of a batch with at most ``size`` bytes of text (or one text), with their words."""
     at = 0
     texts = batch.column(batch.schema.get_field_index(column))
     data, offsets = buffers(texts)
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(offsets, int(offsets[at]) + size, side="right")) - 1)
-        yield batch.slice(at, to - at), find(data, offsets[at : to + 1])
+        yield batch.slice(at, to - at), find(data, offsets[at : to + 1], separator)
         at = to
 
 
+def plus(schema: StructType, ddl: str) -> StructType:
+    """A schema with more columns behind it."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.Table]:
     """Narrow batches put together, so that each numpy step has ``rows`` rows or more."""
     held: list[pa.RecordBatch] = []
