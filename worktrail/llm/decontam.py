@@ -18,10 +18,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worktrail.llm.words import LOWER, NOT_ALNUM, Words, buffers, find, mix, plus, settle, slices
+from worktrail.llm.words import NOT_ALNUM, Words, buffers, find, mix, plus, settle, slices
 
 SIMILARITY = 0.8
 #: Words of the items of a block (or one longer item); each block is one pass over the documents.
@@ -119,16 +120,12 @@ class Index:
         return self.hashes[self.first[item] : self.first[item + 1]]
 
 
-def _lowered(words: Words) -> np.ndarray:
-    return words.hashes(LOWER[words.data])
-
-
 def index(items: list[tuple]) -> Index:
     """Index (id, text) pairs. Items without words can't occur anywhere and are left out."""
-    column = pa.array([t for _, t in items], pa.string())
+    column = pc.utf8_lower(pa.array([t for _, t in items], pa.string()))
     words = find(*buffers(column), NOT_ALNUM) if items else None
     keep = [i for i in range(len(items)) if words.counts[i]] if items else []
-    hashes = _lowered(words) if items else np.empty(0, dtype=np.uint64)
+    hashes = words.hashes() if items else np.empty(0, dtype=np.uint64)
     parts = [hashes[words.first[i] : words.first[i + 1]] for i in keep]
     first = np.cumsum([0, *map(len, parts)])
     flat = np.concatenate(parts) if parts else np.empty(0, dtype=np.uint64)
@@ -161,9 +158,15 @@ def _distances(item: np.ndarray, regions: np.ndarray) -> np.ndarray:
     return row.min(axis=1)
 
 
+def _parts(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """Slices of a batch with its texts in lower case."""
+    i = batch.schema.get_field_index(text)
+    return slices(batch.set_column(i, text, pc.utf8_lower(batch.column(i))), text, separator=NOT_ALNUM)
+
+
 def find_items(words: Words, at: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, item, distance): the least distance of every item found in every text."""
-    hashes, owner = _lowered(words), None
+    hashes = words.hashes()
     found: list[np.ndarray] = []
     for step, widths in at.steps.items():
         per_text = -(-words.counts // step)
@@ -236,7 +239,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     """(key, item_key, words, distance, similarity): per row of ``docs`` and item found in it
     the item's words, the least edit distance and 1 - distance / words, at least 0.8.
 
-    Words are runs of letters and digits, in any ASCII case. Null or wordless items are left
+    Words are runs of letters and digits, in any case. Null or wordless items are left
     out, null texts have no words, and no items give no rows. Documents with repeated keys
     give rows each; repeated items count once. Other columns are not read.
     """
@@ -251,7 +254,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
         def tasks(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             at = shared.value
             for batch in batches:
-                for part, words in slices(batch, separator=NOT_ALNUM):
+                for part, words in _parts(batch):
                     who, item, distance = find_items(words, at)
                     size = at.first[item + 1] - at.first[item] if len(item) else item
                     columns = [
@@ -277,10 +280,11 @@ def without_items(docs: DataFrame, items: DataFrame, text: str = "text", item_ke
 
         def tasks(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part, words in slices(batch, text, separator=NOT_ALNUM):
-                    clean = np.ones(part.num_rows, dtype=bool)
-                    clean[find_items(words, shared.value)[0]] = False
-                    yield part.filter(pa.array(clean))
+                clean, at = np.ones(batch.num_rows, dtype=bool), 0
+                for part, words in _parts(batch, text):
+                    clean[at + find_items(words, shared.value)[0]] = False
+                    at += part.num_rows
+                yield batch.filter(pa.array(clean))
 
         docs = docs.select(*columns).mapInArrow(tasks, docs.schema)
     return docs

@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from worktrail.llm.words import LOWER, Words, gathered, mix, plus, settle, slices
 from worktrail.session import pinned
 
-K, WINDOW = 5, 16
-#: Words of a passage at least, and how far beyond its outer seeds a chain is aligned.
-LEAST_WORDS, REACH = 50, 64
+K, WINDOW = 5, 10
+#: Words of a passage at least, and how far beyond its outer seeds a chain is aligned. A
+#: passage of 50 words with edits near its ends still has 40 between them.
+LEAST_WORDS, REACH = 40, 64
 #: Cost of a word that a chain skips in either text, in words gained.
 GAP = 0.1
 #: Score of an aligned pair of equal words and of an edit: 0.8 similarity breaks even.
@@ -54,8 +55,9 @@ def minimisers(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     low = line.copy()
     span = 1
     while span < WINDOW:
-        low = np.minimum(low[: len(low) - span], low[span:])
-        span *= 2
+        step = min(span, WINDOW - span)
+        low = np.minimum(low[: len(low) - step], low[step:])
+        span += step
     first = np.cumsum(n) - n
     left = n[owner] - (np.arange(len(at)) - first[owner])
     full = (left >= WINDOW) | (left == n[owner])
@@ -271,7 +273,7 @@ def _span_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, start, end, source, source_start, source_end, matched): stretches of at least 50
+    """(key, start, end, source, source_start, source_end, matched): stretches of at least 40
     words of a document that an earlier one holds too, word positions from 0, ends exclusive.
 
     At least 0.8 of the aligned words agree (``matched`` of them), in any ASCII case. Every

@@ -95,3 +95,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     trees = learn(docs, table(spark, sf_dir, "labels"))
     return judge(docs, trees).select("doc_id", *COUNTS, "base_failed", "kept", "score")
+
+
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from worktrail.llm.passages import passages
+
+    return passages(table(spark, sf_dir, "documents")).withColumnRenamed("source", "source_doc_id")
