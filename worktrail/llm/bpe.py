@@ -114,6 +114,23 @@ class Digests:
         return self.n, self.ids.hexdigest(), self.raw.hexdigest()
 
 
+class Tokens(Digests):
+    """The columns of Digests, then the ids themselves."""
+
+    shape = Digests.shape + ", ids array<int>"
+
+    def __init__(self, codec: Codec):
+        super().__init__(codec)
+        self.all: list[int] = []
+
+    def add(self, ids: list[int]) -> None:
+        super().add(ids)
+        self.all += ids
+
+    def row(self) -> tuple:
+        return *super().row(), self.all
+
+
 class Chunk:
     """A stretch of text from ``start`` on, with the pieces found from its beginning."""
 

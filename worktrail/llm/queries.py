@@ -102,3 +102,25 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from worktrail.llm.passages import passages
 
     return passages(table(spark, sf_dir, "documents")).withColumnRenamed("source", "source_doc_id")
+
+
+@query("op5_pii")
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from worktrail.llm.pii import pseudonymise
+
+    secret = spark.conf.get("worktrail.pii.secret", "one secret per corpus")
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), secret)
+
+
+@query("op6_warc")
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from worktrail.llm.warc import derivatives, responses
+
+    return derivatives(responses(table(spark, sf_dir, "pages"), "2024-01-01T00:00:00Z"))
+
+
+@query("op9_lm_scoring")
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from worktrail.llm.pseudo_lm import score
+
+    return score(table(spark, sf_dir, "documents"))
