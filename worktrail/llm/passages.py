@@ -30,6 +30,7 @@ GAP = 0.1
 SAME, EDIT = 1, -4
 
 _NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
+_ODD = np.array([1, 31, 961, 29791, 923521], dtype=np.int64)
 
 
 def _lowered(words: Words) -> np.ndarray:
@@ -159,35 +160,68 @@ def _matches(a: np.ndarray, b: np.ndarray, both_ends: bool) -> list[tuple[int, i
     return out[::-1]
 
 
-def _extend(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Alignment from a common beginning: equal words first, then as far as it pays."""
+def _shared_run(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether both hold the same five words in a row somewhere."""
+    if min(len(a), len(b)) < 1 - EDIT:
+        return False
+    grams = [np.lib.stride_tricks.sliding_window_view(x, 1 - EDIT) @ _ODD[: 1 - EDIT] for x in (a, b)]
+    return bool(np.isin(*grams).any())
+
+
+def _extend(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Alignment from a common beginning: equal words first, then as far as it pays. To pay
+    for an edit, a run of more words than it costs must follow somewhere."""
     n = min(len(a), len(b))
     differ = np.flatnonzero(a[:n] != b[:n])
     run = int(differ[0]) if len(differ) else n
-    rest = [] if run == n else _matches(a[run : run + REACH], b[run : run + REACH], False)
-    return [(i, i) for i in range(run)] + [(i + run if i >= 0 else -1, j + run if j >= 0 else -1) for i, j in rest]
-
-
-def align(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Alignment of two stretches through a chain of anchors (k-mers that both share)."""
-    i, j = anchors[0]
-    flipped = _extend(a[:i][::-1], b[:j][::-1])
-    out = [(i - 1 - x if x >= 0 else -1, j - 1 - y if y >= 0 else -1) for x, y in reversed(flipped)]
-    for x, y in anchors:
-        if x < i or y < j:  # it overlaps the last k-mer: go on from where that ended
-            step = max(i - x, j - y)
-            if step >= K or x + step != i or y + step != j:
-                continue
-            out += [(x + k, y + k) for k in range(step, K)]
-        else:
-            p, q = a[i:x], b[j:y]
-            if len(p) == len(q) and np.array_equal(p, q):
-                out += [(i + k, j + k) for k in range(len(p))]
-            else:
-                out += [(i + u if u >= 0 else -1, j + v if v >= 0 else -1) for u, v in _matches(p, q, True)]
-            out += [(x + k, y + k) for k in range(K)]
-        i, j = x + K, y + K
-    return out + [(i + x if x >= 0 else -1, j + y if y >= 0 else -1) for x, y in _extend(a[i:], b[j:])]
+    out = np.stack([np.arange(run)] * 2, axis=1)
+    p, q = a[run : run + REACH], b[run : run + REACH]
+    if run < n and _shared_run(p, q):
+        rest = np.array(_matches(p, q, False), dtype=np.int64).reshape(-1, 2)
+        out = np.concatenate([out, np.where(rest >= 0, rest + run, -1)])
+    return out
+
+
+def align(a: np.ndarray, b: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    """Alignment (pairs of places, -1 for a gap) of two stretches through a chain of anchors:
+    k-mers that both share. Stretches of one diagonal go word by word unless they differ much."""
+    i, j = (int(x) for x in anchors[0])
+    back = _extend(a[:i][::-1], b[:j][::-1])[::-1]
+    out = [np.where(back >= 0, np.array([i - 1, j - 1]) - back, -1)]
+
+    def straight(x: int, y: int, n: int) -> None:
+        out.append(np.stack([np.arange(x, x + n), np.arange(y, y + n)], axis=1))
+
+    diagonal = anchors[:, 0] - anchors[:, 1]
+    begins = np.flatnonzero(np.append(True, diagonal[1:] != diagonal[:-1]))
+    for s, e in zip(begins.tolist(), [*begins[1:].tolist(), len(anchors)], strict=True):
+        x, y = (int(v) for v in anchors[s])
+        late = max(i - x, j - y, 0)  # it overlaps the diagonal before
+        x, y = x + late, y + late
+        end = int(anchors[e - 1, 0]) + K
+        if x >= end:
+            continue
+        if x > i or y > j:
+            pairs = np.array(_matches(a[i:x], b[j:y], True), dtype=np.int64).reshape(-1, 2)
+            out.append(np.where(pairs >= 0, pairs + np.array([i, j]), -1))
+        n = end - x
+        wrong = np.flatnonzero(a[x:end] != b[y : y + n])
+        if 5 * len(wrong) <= n:
+            straight(x, y, n)
+        else:  # align the gaps between the anchors one by one
+            for u in (anchors[s:e, 0]).tolist():
+                v = u - int(diagonal[s])
+                if u > x:
+                    pairs = np.array(_matches(a[x:u], b[y:v], True), dtype=np.int64).reshape(-1, 2)
+                    out.append(np.where(pairs >= 0, pairs + np.array([x, y]), -1))
+                    x, y = u, v
+                if u + K > x:
+                    straight(x, y, u + K - x)
+                    x, y = u + K, v + K
+        i, j = end, end - int(diagonal[s])
+    ahead = _extend(a[i:], b[j:])
+    out.append(np.where(ahead >= 0, ahead + np.array([i, j]), -1))
+    return np.concatenate(out)
 
 
 def stretches(same: np.ndarray) -> list[tuple[int, int]]:
@@ -210,8 +244,10 @@ def stretches(same: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _identity(key: str, text: str) -> list[Column]:
-    """(id, tag) tells rows apart: the key (a hash of the text if null) and a hash of the text."""
-    return [F.coalesce(F.col(key).cast("long"), F.xxhash64(text)).alias("id"), F.hash(text).alias("tag")]
+    """(id, tag) tells rows apart: the key (a hash of the text if null) and a hash of the text,
+    negative for rows without a key."""
+    tag = F.hash(text).bitwiseAND(F.lit(0x7FFFFFFF))
+    return [F.coalesce(F.col(key).cast("long"), F.xxhash64(text)).alias("id"), F.when(F.col(key).isNull(), -1 - tag).otherwise(tag).alias("tag")]
 
 
 def _seeds(rows: DataFrame) -> DataFrame:
@@ -258,18 +294,26 @@ def _chain_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(held, True)[0]
 
 
+_SPANS = "id long, tag int, lo int, hi int, sid long, stag int, slo int, shi int, at array<int>, of array<int>, words array<int>"
+
+
 def _span_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words (hashes) of the stretches that chains ask for, cut from each text once."""
+    """The words (32 bits of their hashes) of the stretches that are asked for, cut from each
+    text once: with the whole chain for the text's own chains, alone for others' (no sid)."""
+    names = [c.split()[0] for c in _SPANS.split(", ")]
+    whole, short = pa.int64(), pa.int32()
+    kinds = [whole, short, short, short, whole, short, short, short, pa.list_(short), pa.list_(short), pa.list_(short)]
     for batch in batches:
         for part, words in slices(batch):
-            h = _lowered(words)
+            h = (_lowered(words) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             rows = []
-            for d, (i, t, key, wanted) in enumerate(zip(*(part.column(c).to_pylist() for c in ("id", "tag", "key", "spans")), strict=True)):
-                own = h[words.first[d] : words.first[d + 1]].view(np.int64)
-                rows += [(i, t, key, s["lo"], s["hi"], own[s["lo"] : s["hi"]]) for s in wanted]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = [pa.int64(), pa.int32(), part.schema.field("key").type, pa.int32(), pa.int32(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["id", "tag", "key", "lo", "hi", "words"])
+            for d, (i, t, key, mine, given) in enumerate(zip(*(part.column(c).to_pylist() for c in ("id", "tag", "key", "mine", "given")), strict=True)):
+                own = h[words.first[d] : words.first[d + 1]]
+                rows += [(key, i, t, *c.values(), own[c["lo"] : c["hi"]]) for c in mine]
+                rows += [(key, i, t, g["lo"], g["hi"], *[None] * 6, own[g["lo"] : g["hi"]]) for g in given]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * (len(names) + 1)
+            types = [part.schema.field("key").type, *kinds]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, types, strict=True)], names=["key", *names])
 
 
 def passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -289,33 +333,35 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     seeds = _seeds(rows)
     often = seeds.groupBy("h").count().filter("count > 1").select("h")
     hits = pinned(seeds.join(often.hint("shuffle_hash"), "h"))
-    first = hits.groupBy("h").agg(F.min(F.struct("id", "tag", "pos")).alias("f")).select("h", "f.id", "f.tag", "f.pos").toDF("h", "sid", "stag", "spos")
+    first = hits.groupBy("h").agg(F.min(F.struct(F.expr("tag < 0").alias("unnamed"), "id", "tag", "pos")).alias("f")).select("h", "f.id", "f.tag", "f.pos").toDF("h", "sid", "stag", "spos")
     anchors = hits.join(first, "h").filter("id != sid OR tag != stag").select("id", "tag", "sid", "stag", "pos", "spos").distinct()
     pair = ["id", "tag", "sid", "stag"]
     found = pinned(anchors.repartition(*pair).sortWithinPartitions(*pair, "pos", "spos").mapInArrow(_chain_tasks, _CHAIN))
     last = lambda c: F.element_at(c, -1) + K + REACH
     before = lambda c: F.greatest(F.element_at(c, 1) - REACH, F.lit(0))
     asked = found.select("*", before("at").alias("lo"), last("at").alias("hi"), before("of").alias("slo"), last("of").alias("shi"))
-    spans = asked.select("id", "tag", "lo", "hi").unionAll(asked.select("sid", "stag", "slo", "shi")).distinct()
-    by_text = spans.groupBy("id", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # of one text
-    wanted = rows.join(by_text.hint("shuffle_hash"), ["id", "tag"]).select("id", "tag", "key", "spans", "text")
-    kinds = plus(wanted.select("id", "tag", "key").schema, "lo int, hi int, words array<long>")
-    cut = pinned(wanted.mapInArrow(_span_tasks, kinds)).dropDuplicates(["id", "tag", "lo", "hi"])
-    mine = asked.join(cut, ["id", "tag", "lo", "hi"])
-    other = cut.select(F.col("id").alias("sid"), F.col("tag").alias("stag"), F.col("key").alias("source"), F.col("lo").alias("slo"), F.col("hi").alias("shi"), F.col("words").alias("swords"))
-    both = mine.join(other, ["sid", "stag", "slo", "shi"]).select("key", "source", "lo", "slo", "at", "of", "words", "swords")
+    # Each list is one text's own: its chains, and the stretches that others ask of it.
+    mine = asked.select("id", "tag", F.struct("lo", "hi", "sid", "stag", "slo", "shi", "at", "of").alias("mine")).groupBy("id", "tag").agg(F.collect_list("mine").alias("mine"))
+    given = asked.select(F.col("sid").alias("id"), F.col("stag").alias("tag"), F.struct(F.col("slo").alias("lo"), F.col("shi").alias("hi")).alias("given")).distinct()
+    wishes = mine.join(given.groupBy("id", "tag").agg(F.collect_list("given").alias("given")), ["id", "tag"], "full")
+    wanted = rows.join(wishes.hint("shuffle_hash"), ["id", "tag"]).dropDuplicates(["id", "tag"])
+    lists = [F.coalesce(F.col(c), F.array()).alias(c) for c in ("mine", "given")]
+    cut = pinned(wanted.select("id", "tag", "key", *lists, "text").mapInArrow(_span_tasks, plus(wanted.select("key").schema, _SPANS)))
+    other = cut.filter("sid IS NULL").select(F.col("id").alias("sid"), F.col("tag").alias("stag"), F.col("key").alias("source"), F.col("lo").alias("slo"), F.col("hi").alias("shi"), F.col("words").alias("swords"))
+    both = cut.filter("sid IS NOT NULL").join(other, ["sid", "stag", "slo", "shi"]).select("key", "source", "lo", "slo", "at", "of", "words", "swords")
     shape = plus(both.select("key", "source").schema, "start int, end int, source_start int, source_end int, matched int")
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for r in range(batch.num_rows):
-                k, s, lo, slo = (batch.column(c)[r].as_py() for c in range(4))
-                at, of, a, b = (batch.column(c)[r].values.to_numpy() for c in range(4, 8))
-                if min(len(a), len(b)) < LEAST_WORDS * 4 // 5 or np.isin(a, b).sum() < LEAST_WORDS * 4 // 5:
-                    continue  # too few words in common for any passage
-                pairs = np.array(align(a, b, list(zip((at - lo).tolist(), (of - slo).tolist(), strict=True))))
-                same = (pairs[:, 0] >= 0) & (pairs[:, 1] >= 0)
+            keys = [batch.column(c).to_pylist() for c in range(4)]
+            lists = [(batch.column(c).flatten().to_numpy(), batch.column(c).value_lengths().to_numpy().cumsum()) for c in range(4, 8)]
+            for r, (k, s, lo, slo) in enumerate(zip(*keys, strict=True)):
+                at, of, a, b = (v[ends[r - 1] if r else 0 : ends[r]] for v, ends in lists)
+                if min(len(a), len(b)) < LEAST_WORDS * 4 // 5:
+                    continue  # too few words for any passage
+                pairs = align(a, b, np.stack([at - lo, of - slo], axis=1))
+                same = (pairs >= 0).all(axis=1)
                 same[same] = a[pairs[same, 0]] == b[pairs[same, 1]]
                 for x, y in stretches(same):
                     i, j = (pairs[x:y, c][pairs[x:y, c] >= 0] for c in (0, 1))
