@@ -246,14 +246,129 @@ def test_sample_takes_the_minimum_of_each_kind(spark):
     assert len(got) == 10 and sum(r.kind == "rare" for r in got) >= 2 and sorted(r.selection_rank for r in got) == list(range(1, 11))
 
 
-def test_bootstrap_over_counts_agrees_with_draws(spark):
+def test_bootstrap_equals_drawing_by_hand(spark):
+    import hashlib
+
+    import numpy as np
+
     random.seed(1)
-    rows = [("s", f"p{i:04d}", *[round(random.random(), 4)] * 5) for i in range(400)]
+    rows = [("s", f"p{i:04d}", *[round(random.random(), 4) for _ in range(5)]) for i in range(60)] + [("t", "p0001", *[0.5] * 5)]
     df = spark.createDataFrame(rows, "baseline string, project_id string, " + ", ".join(f"{m} double" for m in tables.INTERVAL_METRICS))
-    exact = {r.metric: r for r in tables.bootstrap_ci(df, samples=400).collect()}
-    counted = {r.metric: r for r in tables.bootstrap_ci(df, samples=400, exact_units=10).collect()}
-    for m, r in exact.items():
-        assert r["mean"] == counted[m]["mean"] and abs(r.ci_low - counted[m].ci_low) < 0.02 and abs(r.ci_high - counted[m].ci_high) < 0.02
+    got = {(r.system_name, r.metric): r for r in tables.bootstrap_ci(df, samples=200, seed=3).collect()}
+    weights = np.zeros((200, 60))
+    for k in range(200):
+        for i in range(60):
+            u = int(hashlib.md5(f"3|p{i:04d}|{k + 1}".encode()).hexdigest()[:8], 16)
+            weights[k, i] = sum(u >= e for e in tables._POISSON)
+    assert abs(weights.mean() - 1) < 0.05
+    for j, m in enumerate(tables.INTERVAL_METRICS):
+        values = np.array([r[2 + j] for r in rows[:60]])
+        low, high = np.percentile(weights @ values / weights.sum(axis=1), [2.5, 97.5])
+        r = got["s", m]
+        assert (r.n_units, abs(r["mean"] - values.mean()) < 1e-4) == (60, True) and abs(r.ci_low - low) < 1e-4 and abs(r.ci_high - high) < 1e-4
+        assert tuple(got["t", m])[2:] == (1, 0.5, 0.5, 0.5)
+
+
+def test_files_of_several_chunks_hash_as_a_whole(spark, tmp_path):
+    import hashlib
+
+    from worktrail.sources import files
+
+    (tmp_path / "a b").mkdir()
+    data = {"a b/x.BIN": bytes(range(256)) * 50, "y.txt": b"", "a b/z": b"1"}
+    for name, body in data.items():
+        (tmp_path / name).write_bytes(body)
+    rows = files.file_inventory(spark, str(tmp_path), chunk=100)
+    got = {r.name: (r.kind, r.bytes, r.sha256) for r in rows.collect()}
+    assert {k.replace("%20", " "): v[1:] for k, v in got.items()} == {n: (len(b), hashlib.sha256(b).hexdigest()) for n, b in data.items()}
+    other = tmp_path / "copy"
+    other.mkdir()
+    (other / "y.txt").write_bytes(b"")
+    assert files.directory_digest(files.file_inventory(spark, str(other))).first().sha256 == files.directory_digest(files.file_inventory(spark, str(tmp_path), "y.txt").filter("name = 'y.txt'")).first().sha256
+
+
+def test_raw_files_of_every_layout_in_file_order(spark, tmp_path):
+    import gzip
+    import json
+
+    from worktrail.sources.raw_events import read_raw_events
+
+    def event(i, pad=0):
+        return json.dumps({"type": "PushEvent", "id": str(i), "actor": {"login": "a" + "x" * pad}, "repo": {"name": "r"}, "created_at": "2024-01-01T00:00:00Z"})
+
+    files = {"b-0.jsonl": [event(i, 3000) for i in range(100, 140)], "b-1.jsonl": [event(i) for i in range(140, 1200)], "a.json": [event(1), "", event(2), event(3)]}
+    for name, lines in files.items():
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    (tmp_path / "c.json").write_text("[" + ", ".join(event(i) for i in (2001, 2002)) + "]")
+    (tmp_path / "d.json").write_text(json.dumps(json.loads(event(3000)), indent=2))
+    (tmp_path / "e.gz").write_bytes(gzip.compress("\n".join(event(i) for i in (4000, 4001)).encode()))
+    want = [1, 2, 3, *range(100, 1200), 2001, 2002, 3000, 4000, 4001]
+    for size in ("128m", "10k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = read_raw_events(spark, str(tmp_path)).orderBy("ord").select("id", "ord").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert [int(r.id) for r in rows] == want and len({r.ord for r in rows}) == len(want)
+
+
+def test_mail_bodies_keep_their_bytes(spark):
+    from worktrail.sources import mail
+
+    long = " ".join(f"w{i}" for i in range(20))
+    raws = {
+        "latin": b"Subject: Caf\xc3\xa9\n au\tlait\nFrom: A <a@b.org>\nDate: Tue, 5 Mar 2024 23:30:00 EST\nContent-Type: text/plain; charset=latin-1\n\ncaf\xe9 " + long.encode(),
+        "utf": b"Content-Type: text/plain; charset=utf-8\n\n\xe6\x95\xb0 \xf0\x9f\x98\x80 " + long.encode(),
+        "parts": b"Subject: x\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=B\n\n--B\nContent-Type: text/plain\n\none " + long.encode() + b"\n--B\nContent-Type: text/html\n\n<p>no\n--B\nContent-Type: text/plain; charset=nope\n\ntwo meeting\n--B--\n",
+        "quoted": b"Subject: x\n\nshort\n> " + long.encode() + b"\n",
+        "few": b"Subject: x\n\ntoo few words",
+    }
+    rows = spark.createDataFrame([(k, bytearray(v)) for k, v in raws.items()], "path string, raw binary")
+    got = {r.path: r for r in mail.mail_records(rows).collect()}
+    assert set(got) == {"latin", "utf", "parts", "quoted"}
+    assert got["latin"].content == "café " + long and got["latin"].subject == "Café au lait" and got["latin"].timestamp == "2024-03-06T04:30:00+00:00"
+    assert got["utf"].content == "数 😀 " + long and got["utf"].timestamp == mail.NO_DATE and got["utf"].subject == mail.NO_SUBJECT
+    assert got["parts"].content == f"one {long} two meeting" and got["parts"].event_type == "email_scheduling_thread"
+    assert got["quoted"].content == "short" and len(got["quoted"].recipients) == 1
+
+
+def test_predictor_gets_all_events_of_its_project(spark):
+    from worktrail.operators.plugins import apply_predictor
+
+    events = spark.createDataFrame([(f"p{i % 3}", i, f"e{i:05d}", "t", "a", "k", "c") for i in range(3000)], "project_id string, ord long, event_id string, timestamp string, actor string, event_type string, content string")
+    probes = spark.createDataFrame([("p0", "q1", "?"), ("p0", "q2", "?"), ("p1", "q1", "?"), ("none", "q1", "?")], "project_id string, probe_id string, query string")
+
+    def oldest(asked, stream):
+        ids = [i for batch in stream for i in batch["event_id"]]
+        return [(q, str(len(ids)), ids[:1]) for q in asked["probe_id"]]
+
+    got = {(r.project_id, r.probe_id): (r.prediction, r.retrieved_event_ids) for r in apply_predictor(oldest, events, probes).collect()}
+    assert got == {("p0", "q1"): ("1000", ["e00000"]), ("p0", "q2"): ("1000", ["e00000"]), ("p1", "q1"): ("1000", ["e00001"]), ("none", "q1"): ("0", [])}
+    with pytest.raises(Exception, match="doesn't ask"):
+        apply_predictor(lambda asked, stream: [("other", "", [])], events, probes).collect()
+
+
+def test_retrieval_with_update_classes_and_many_probes(spark):
+    """Bonuses whose sums round differently from the scores, and words that all events hold."""
+    random.seed(11)
+    vocabulary = [f"w{i}" for i in range(23)]
+    events, probes = [], []
+    for i in range(260):
+        words = ["name", *random.sample(vocabulary, random.randrange(7))]
+        events.append({"ord": i, "t": random.randrange(30), "words": words, "update": random.choice([0.0, 0.25]), "later": -0.05 * random.randrange(11)})
+    for j in range(200):
+        probes.append(("p", f"q{j}", random.sample(["name", *vocabulary], random.randrange(1, 24)), 0.0))
+    ev = spark.createDataFrame([("p", f"e{e['ord']}", e["ord"], e["t"], e["words"], e["update"], e["later"]) for e in events], "project_id string, event_id string, ord long, t long, words array<string>, update double, later double")
+    pr = spark.createDataFrame(probes, "project_id string, probe_id string, words array<string>, probe_bonus double")
+    for k in (1, 4):
+        got = {}
+        for r in retrieval.retrieve(ev, pr, k, ("update", "later"), recency_key="t", classes=("update",)).orderBy("rank").collect():
+            got.setdefault(r.probe_id, []).append(r.event_id)
+        for _, q, words, _ in probes:
+            scored = [((len(set(words) & set(e["words"])) / len(words) + e["update"]) + e["later"], e["t"], -e["ord"]) for e in events]
+            best = sorted(scored, reverse=True)
+            best = [x for x in best if x[0] > 0] or best
+            assert got[q] == [f"e{-x[2]}" for x in best[:k]], q
 
 
 def test_manifest_gate_reads_files(spark, tmp_path):
@@ -273,12 +388,12 @@ def test_manifest_gate_reads_files(spark, tmp_path):
 def test_inventory_and_digest(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one")
     (tmp_path / "b.bin").write_bytes(b"\x00" * 20)
-    inv = files.file_inventory(spark, str(tmp_path), max_bytes=10)
+    inv = files.file_inventory(spark, str(tmp_path))
     got = {r.path.rsplit("/", 1)[1]: (r.bytes, r.sha256) for r in inv.collect()}
-    assert got["b.bin"] == (20, None) and len(got["a.txt"][1]) == 64
+    assert got["b.bin"][0] == 20 and len(got["b.bin"][1]) == len(got["a.txt"][1]) == 64
     before = files.directory_digest(inv).collect()[0].sha256
     (tmp_path / "a.txt").write_text("two")
-    assert files.directory_digest(files.file_inventory(spark, str(tmp_path), max_bytes=10)).collect()[0].sha256 != before
+    assert files.directory_digest(files.file_inventory(spark, str(tmp_path))).collect()[0].sha256 != before
 
 
 def test_contracts_need_positive_types(spark):

@@ -8,26 +8,23 @@ from pyspark.sql import functions as F
 
 from worktrail.functions.ids import exact_round, safe_id, split_of, stable_mean
 from worktrail.functions.text import boundary_terms, no_strings, str_array
-from worktrail.operators.ordering import joined_list
+from worktrail.operators.ordering import group_positions, joined_list
 from worktrail.schemas import BOUNDARY_FIELDS
-from worktrail.session import pinned
+from worktrail.session import pinned, scratch_path
 
-# Instructions of a prompt.
+# Instructions of a prompt; callers may pass their own.
 SYSTEM_PROMPT = (
-    "You are a grounded benchmark annotation assistant. Rewrite only the supplied policy candidate and draft one future tool-policy probe. "
-    "Do not add facts, users, repos, events, tools, or action permissions that are not present in the evidence or action boundary."
-)
-CLOSING = (
-    "Return one JSON object matching the output schema. The future_probe_query must require a future tool action, "
-    "approval/refusal/clarification, storage decision, or workflow policy decision."
+    "Work from the evidence below and nothing else. Restate the one candidate rule in clear words, then write one question about a later task that the rule decides. "
+    "People, places, events, tools and permissions that neither the evidence nor the boundary names must not appear."
 )
+CLOSING = "Answer with a single JSON object in the given layout. Its question has to call for an act, a consent, a refusal, a request for details, or a choice of what to store."
 CHECKLIST = [
-    "All policy claims are supported by supplied event snippets.",
-    "Allowed and forbidden actions match the source evidence.",
-    "Conditions/exception scope are narrower than or equal to the evidence.",
-    "Future task would require action, approval, refusal, or clarification rather than fact recall.",
+    "Every statement of the rule can be found in an event shown.",
+    "What may be done, and what may not, is as the events have it.",
+    "The rule covers no more cases than the events do.",
+    "The question asks for conduct in a later task, not for a remembered fact.",
 ]
-NEGATIVE_CHECK = "The negative example is not converted into a durable assistant habit."
+NEGATIVE_CHECK = "What was refused once has not become a standing habit."
 
 
 def annotation_tasks(candidates: DataFrame, profile: DataFrame) -> DataFrame:
@@ -194,12 +191,13 @@ def estimated_tokens(prompts: DataFrame) -> Column:
     return F.greatest(F.lit(1), F.floor((F.length(text) + 3) / 4)).cast("bigint")
 
 
-def pack_jobs(prompts: DataFrame, max_prompts: int = 100, max_tokens: int = 120000, shards: int = 64) -> DataFrame:
-    """Bins of prompts in order, closed at a prompt or token limit. Bins never cross a
-    shard; a shard's rows stream through one running sum, which needs no group in memory."""
-    sized = prompts.select(
-        "prompt_id", "pack_id", "repo", estimated_tokens(prompts).alias("tokens"), F.pmod(F.xxhash64("pack_id"), F.lit(shards)).alias("shard")
-    )
+def pack_jobs(prompts: DataFrame, max_prompts: int = 100, max_tokens: int = 120000, shard_prompts: int = 100_000) -> DataFrame:
+    """Bins of prompts in order, closed at a prompt or token limit. The ordered prompts are
+    cut into shards of equal length, whatever their packs; bins never cross a shard, and a
+    shard streams through one running sum, so that no group is held in memory."""
+    sized = prompts.select("prompt_id", "pack_id", "repo", estimated_tokens(prompts).alias("tokens"), F.lit(0).alias("all"))
+    placed = group_positions(sized, ["all"], ["pack_id", "prompt_id"])
+    sized = placed.select("prompt_id", "pack_id", "repo", "tokens", F.expr(f"pos div {shard_prompts}").alias("shard"))
 
     def bins(frames):
         state: dict[int, list[int]] = {}
@@ -215,7 +213,7 @@ def pack_jobs(prompts: DataFrame, max_prompts: int = 100, max_tokens: int = 1200
                 {"prompt_id": frame["prompt_id"], "pack_id": frame["pack_id"], "repo": frame["repo"], "tokens": frame["tokens"], "job_id": jobs}
             )
 
-    ordered = sized.repartition(shards, "shard").sortWithinPartitions("shard", "pack_id", "prompt_id")
+    ordered = sized.repartition("shard").sortWithinPartitions("shard", "pack_id", "prompt_id")
     return ordered.mapInPandas(bins, "prompt_id string, pack_id string, repo string, tokens long, job_id string")
 
 
@@ -256,25 +254,26 @@ def completion_issues() -> Column:
     )
 
 
-def collect_outputs(rows: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def collect_outputs(rows: DataFrame) -> DataFrame:
     """Decide every returned row in row order: unfilled rows are withheld; of the others a
     row is taken unless an earlier taken row has its proposal id or its annotation.
 
     In each round every row that is first among the undecided for both keys is taken, and
     the rows it blocks are dropped, which is the row-by-row result without one task that
-    reads all rows. Rounds are few: they grow with chains of clashing rows only.
+    reads all rows. Each round decides a row at least, and rounds go on until none is open;
+    their number grows with chains of clashing rows only. Decided rows are written once, so
+    the plan doesn't grow with the rounds.
     """
     checked = rows.withColumn("missing", completion_issues())
     unfilled = checked.filter(F.size("missing") > 0).select("row_no", F.lit("unfilled_proposal").alias("state"))
     keys = ["row_no", "proposal_id", "pack_id", "annotation_id"]
     open_rows = pinned(checked.filter(F.size("missing") == 0).select(*keys))
-    decided = unfilled
-    for _ in range(max_rounds):
+    decided = scratch_path(rows.sparkSession, "decided")
+    unfilled.write.parquet(decided)
+    while not open_rows.isEmpty():
         by_id = open_rows.groupBy("proposal_id").agg(F.min("row_no").alias("row_no"))
         by_key = open_rows.groupBy("pack_id", "annotation_id").agg(F.min("row_no").alias("row_no"))
         taken = pinned(open_rows.join(by_id.select("row_no"), "row_no", "left_semi").join(by_key.select("row_no"), "row_no", "left_semi"))
-        if taken.isEmpty():
-            break
         ids = taken.select("proposal_id", F.lit(True).alias("id_taken"))
         pairs = taken.select("pack_id", "annotation_id", F.lit(True).alias("key_taken"))
         marked = pinned(
@@ -285,11 +284,9 @@ def collect_outputs(rows: DataFrame, max_rounds: int = 1000) -> DataFrame:
         state = (
             F.when(F.col("is_taken"), "collected").when(F.col("id_taken"), "duplicate_proposal_id").when(F.col("key_taken"), "duplicate_annotation_output")
         )
-        decided = decided.unionByName(marked.select("row_no", state.alias("state")).filter("state is not null"))
+        marked.select("row_no", state.alias("state")).filter("state is not null").write.mode("append").parquet(decided)
         open_rows = pinned(marked.filter("is_taken is null and id_taken is null and key_taken is null").select(*keys))
-        if open_rows.isEmpty():
-            break
-    return rows.join(decided, "row_no")
+    return rows.join(rows.sparkSession.read.schema(unfilled.schema).parquet(decided), "row_no")
 
 
 def subset(a: Column, b: Column) -> Column:

@@ -2,37 +2,55 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worktrail.operators import retrieval as R
-
 PREDICTION_SCHEMA = "prediction_id string, project_id string, probe_id string, prediction string, retrieved_event_ids array<string>"
-INPUT_COLUMNS = ["project_id", "probe_id", "query", "rank", "event_id", "timestamp", "actor", "event_type", "content"]
-
-
-def apply_predictor(predict: Callable[[pd.DataFrame], tuple[str, list[str]]], events: DataFrame, probes: DataFrame, context: int = 50) -> DataFrame:
-    """Call ``predict`` once per probe with the question and its best ``context`` public
-    events. The function never gets a whole project, whose events have no size bound."""
-    hits = R.topk_submission_raw(events, probes, context)
-    public = events.select("project_id", "event_id", "timestamp", "actor", "event_type", "content")
-    rows = (
-        probes.select("project_id", "probe_id", "query")
-        .join(hits.select("project_id", "probe_id", "event_id", "rank"), ["project_id", "probe_id"], "left")
-        .join(public, ["project_id", "event_id"], "left")
-        .select(*INPUT_COLUMNS)
-    )
+EVENT_COLUMNS = ["event_id", "timestamp", "actor", "event_type", "content"]
+Predictor = Callable[[pd.DataFrame, Iterator[pd.DataFrame]], Iterable[tuple[str, str, list[str]]]]
+
+
+def apply_predictor(predict: Predictor, events: DataFrame, probes: DataFrame) -> DataFrame:
+    """Call ``predict`` once per project with its questions (probe_id, query) and a stream of
+    batches of all its public events in file order; it yields (probe_id, text, event ids).
+
+    Events stream from sorted partitions, so a project of any size passes a predictor that
+    keeps what it needs only. An answer to a question that wasn't asked raises.
+    """
+    absent = F.lit(None).cast("string")
+    asked = probes.select("project_id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("ord"), "probe_id", "query", *[absent.alias(c) for c in EVENT_COLUMNS])
+    told = events.select("project_id", F.lit(1).alias("kind"), "ord", absent.alias("probe_id"), absent.alias("query"), *EVENT_COLUMNS)
+    rows = asked.unionByName(told.join(probes.select("project_id").distinct(), "project_id", "left_semi"))
+    ordered = rows.repartition("project_id").sortWithinPartitions("project_id", "kind", "ord", "probe_id")
+
+    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int, pd.DataFrame]]:
+        for frame in frames:
+            for (project, kind), piece in frame.groupby(["project_id", "kind"], sort=False):
+                yield project, kind, piece
 
-    def call(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("rank")
-        text, ids = predict(frame)
-        project, probe = frame["project_id"].iloc[0], frame["probe_id"].iloc[0]
-        return pd.DataFrame([(f"pred_{project}_{probe}", project, probe, text, ids)], columns=[c.split()[0] for c in PREDICTION_SCHEMA.split(", ")])
+    def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for project, parts in groupby(pieces(frames), key=lambda p: p[0]):
+            questions, first = [], []
+            for _, kind, piece in parts:
+                if kind:
+                    first = [piece]
+                    break
+                questions.append(piece[["probe_id", "query"]])
+            asked = pd.concat(questions, ignore_index=True)
+            stream = (piece[EVENT_COLUMNS] for piece in chain(first, (p for _, _, p in parts)))
+            known = set(asked["probe_id"])
+            out = []
+            for probe, text, ids in predict(asked, stream):
+                if probe not in known:
+                    raise ValueError(f"a predictor answered {probe}, which project {project} doesn't ask")
+                out.append((f"pred_{project}_{probe}", project, probe, text, list(ids)))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in PREDICTION_SCHEMA.split(", ")])
 
-    return rows.groupBy("project_id", "probe_id").applyInPandas(call, PREDICTION_SCHEMA)
+    return ordered.mapInPandas(call, PREDICTION_SCHEMA)
 
 
 def read_submissions(spark, path: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Top-k events per question, exact, without scoring every pair.
 
 The lexical score of an event for a question depends only on which of the project's
-question words the event holds: its signature. Events that share a signature differ only
-by their own bonus and time, so the best k of each signature are enough, and signatures
-instead of events meet the questions. The best k events of the project by bonus and time
-join in, for questions that no event matches.
+question words the event holds: its signature. Events that share a signature and all
+few-valued bonuses differ by one growing bonus and time, so the best k of each such class
+are enough, and classes instead of events meet the questions, once per set of question
+words. Words that all classes of a project hold (its name, its kinds of events) add the
+same to every one of them and stay out of that join. The best k events of the project by
+bonus and time join in, for questions that meet nothing else.
 """
 
 from __future__ import annotations
@@ -38,22 +40,25 @@ def _total(base: Column, bonuses: list[str]) -> Column:
 
 def retrieve(
     events: DataFrame, probes: DataFrame, k: int = 5, bonuses: tuple[str, ...] = (), probe_bonus: bool = False,
-    signal_weight: float = 0.0, recency_key: str = "ts",
+    signal_weight: float = 0.0, recency_key: str = "ts", classes: tuple[str, ...] = (),
 ) -> DataFrame:
     """Best k events per probe as (project_id, probe_id, event_id, score, rank).
 
     ``events`` holds project_id, event_id, ord, words, the recency key and the bonus
     columns; ``probes`` is question_words(). Events that score above zero win; only where
-    none does, the newest fill in. Ties go to the newer event, then to file order.
+    none does, the newest fill in. Ties go to the newer event, then to file order. All
+    bonuses but one have to be ``classes``: columns with a few values each.
     """
     bonuses = list(bonuses)
+    few = list(classes)
     own = _total(F.lit(0.0), bonuses)
-    newest = [F.desc("own"), F.desc(recency_key), F.asc("ord")]
+    # Inside a class the lexical score and the few-valued bonuses are the same, so that the
+    # order of the remaining bonus is the order of the sums, rounding included.
+    newest = [*[F.desc(b) for b in bonuses if b not in few], F.desc(recency_key), F.asc("ord")]
     base = events.select("project_id", "event_id", "ord", recency_key, "words", *bonuses).withColumn("own", own)
-    questions = probes.withColumn("n_words", F.size("words"))
-    posting = questions.select("project_id", "probe_id", "n_words", "probe_bonus", F.explode_outer("words").alias("word")).filter(
-        "word is not null"
-    )
+    questions = probes.withColumn("n_words", F.size("words")).withColumn("asked", F.array_join(F.array_sort("words"), " "))
+    sets = questions.groupBy("project_id", "asked").agg(F.first("words").alias("words"), F.first("n_words").alias("n_words"), F.first("probe_bonus").alias("probe_bonus"))
+    posting = sets.select("project_id", "asked", F.explode("words").alias("word"))
     vocabulary = posting.select("project_id", "word").distinct()
 
     def score(hits: Column, signals: Column) -> Column:
@@ -70,39 +75,45 @@ def retrieve(
         .groupBy(*keyed)
         .agg(F.array_join(F.array_sort(F.collect_set("word")), " ").alias("signature"))
     )
-    best = top_rows(signatures, ["project_id", "signature"], newest, k, "place")
+    group = ["project_id", "signature", *few]
+    best = top_rows(signatures, group, newest, k, "place")
     heads = best.filter("place = 1")
+    words = heads.select(*dict.fromkeys([*group, "ord", recency_key, *bonuses]), F.explode(F.split("signature", " ")).alias("word"))
+    many = heads.groupBy("project_id").agg(F.count("*").alias("heads"))
+    common = words.groupBy("project_id", "word").agg(F.count("*").alias("n")).join(many, "project_id").filter("n = heads").select("project_id", "word")
     is_signal = F.col("word").isin(SIGNAL_WORDS).cast("int")
-    scored = (
-        heads.select("project_id", "signature", "ord", recency_key, *bonuses, F.explode_outer(F.split("signature", " ")).alias("word"))
-        .join(posting, ["project_id", "word"])
-        .groupBy("project_id", "probe_id", "n_words", "probe_bonus", "signature", "ord", recency_key, *bonuses)
+    constant = posting.join(common, ["project_id", "word"]).groupBy("project_id", "asked").agg(F.count("*").alias("all_hits"), F.sum(is_signal).alias("all_signals"))
+    rare = posting.join(common, ["project_id", "word"], "left_anti")
+    met = (
+        words.join(rare, ["project_id", "word"])
+        .groupBy("asked", *dict.fromkeys([*group, "ord", recency_key, *bonuses]))
         .agg(F.count("*").alias("hits"), F.sum(is_signal).alias("signals"))
+        .join(constant, ["project_id", "asked"], "left")
+        .join(sets.select("project_id", "asked", "n_words", "probe_bonus"), ["project_id", "asked"])
+        .withColumn("hits", F.col("hits") + F.coalesce("all_hits", F.lit(0)))
+        .withColumn("signals", F.col("signals") + F.coalesce("all_signals", F.lit(0)))
         .withColumn("score", score(F.col("hits"), F.col("signals")))
     )
     order = [F.desc("score"), F.desc(recency_key), F.asc("ord")]
-    leading = top_rows(scored, ["project_id", "probe_id"], order, k, "place").select(
-        "project_id", "probe_id", "n_words", "probe_bonus", "signature", "hits", "signals"
-    )
-    columns = ["project_id", "probe_id", "event_id", "ord", recency_key, "score"]
-    matched = (
-        best.drop("place").join(leading, ["project_id", "signature"]).withColumn("score", score(F.col("hits"), F.col("signals")))
-    ).select(*columns)
+    leading = top_rows(met, ["project_id", "asked"], order, k, "place").select("asked", *group, "n_words", "probe_bonus", "hits", "signals")
+    columns = ["project_id", "asked", "event_id", "ord", recency_key, "score"]
+    matched = best.drop("place").join(leading, group).withColumn("score", score(F.col("hits"), F.col("signals"))).select(*columns)
 
-    latest = top_rows(base, ["project_id"], newest, k, "place").drop("place").withColumnRenamed("words", "event_words")
+    latest = top_rows(base, ["project_id", *few], newest, k, "place").drop("place").withColumnRenamed("words", "event_words")
     shared = F.array_intersect("words", "event_words")
     filling = (
-        questions.join(latest, "project_id")
+        sets.join(latest, "project_id")
         .withColumn("score", score(F.size(shared), F.size(F.array_intersect(shared, str_array(SIGNAL_WORDS)))))
         .select(*columns)
     )
-    # At most k * k + k candidates per probe from here on.
-    pool = matched.unionByName(filling).dropDuplicates(["project_id", "probe_id", "event_id"])
+    # At most k * k + k candidates for each class of bonuses and set of words from here on.
+    pool = matched.unionByName(filling).dropDuplicates(["project_id", "asked", "event_id"])
     from pyspark.sql import Window as W
 
-    top = F.max("score").over(W.partitionBy("project_id", "probe_id"))
+    top = F.max("score").over(W.partitionBy("project_id", "asked"))
     kept = pool.withColumn("top", top).filter("score > 0 or top <= 0").drop("top")
-    return top_rows(kept, ["project_id", "probe_id"], order, k, "rank").select(
+    ranked = top_rows(kept, ["project_id", "asked"], order, k, "rank")
+    return questions.select("project_id", "probe_id", "asked").join(ranked, ["project_id", "asked"]).select(
         "project_id", "probe_id", "event_id", "score", F.col("rank").cast("bigint").alias("rank")
     )
 
@@ -151,7 +162,7 @@ def topk_temporal(events: DataFrame, probes: DataFrame, k: int = 5) -> DataFrame
             "update_bonus", F.when(updated, F.lit(0.2)).otherwise(F.lit(0.0)) + F.when(policy, F.lit(0.15)).otherwise(F.lit(0.0))
         )
     )
-    return retrieve(ready, question_words(probes), k, ("recency_bonus", "update_bonus"), probe_bonus=True)
+    return retrieve(ready, question_words(probes), k, ("recency_bonus", "update_bonus"), probe_bonus=True, classes=("update_bonus",))
 
 
 def topk_submission_raw(events: DataFrame, probes: DataFrame, k: int = 5) -> DataFrame:
@@ -165,7 +176,7 @@ def topk_submission_temporal(events: DataFrame, probes: DataFrame, k: int = 5) -
         .withColumn("update_bonus", F.when(updated, F.lit(0.25)).otherwise(F.lit(0.0)))
         .withColumn("minus_later", -F.col("penalty"))
     )
-    return retrieve(ready, question_words(probes), k, ("update_bonus", "minus_later"), recency_key="timestamp")
+    return retrieve(ready, question_words(probes), k, ("update_bonus", "minus_later"), recency_key="timestamp", classes=("update_bonus",))
 
 
 def topk_signal_boost(events: DataFrame, probes: DataFrame, k: int = 5) -> DataFrame:

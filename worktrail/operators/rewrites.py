@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from worktrail.functions.ids import safe_id
 from worktrail.functions.text import append_unique, no_strings, str_array
-from worktrail.operators.ordering import joined_list
+from worktrail.operators.ordering import joined_list, top_rows
 
 # Names of the rows that every such project gets.
 DISTRACTOR = "memory_rewrite_distractor_unrelated_repo_style"
@@ -184,8 +184,9 @@ def rewrite_probes(rows: DataFrame) -> DataFrame:
         F.count_distinct("task_type").alias("kinds"),
         F.count("*").alias("n"),
         F.first("negative_memory").alias("negative_memory"),
-        F.slice(joined_list(F.col("row_no"), F.col("memory_id")), 1, 2).alias("first_two"),
     )
+    heads = top_rows(base, ["project_id"], [F.col("row_no")], 2).groupBy("project_id").agg(joined_list(F.col("row_no"), F.col("memory_id")).alias("first_two"))
+    per_project = per_project.join(heads, "project_id")
     few = per_project.filter("kinds < 3 and n >= 2")
     extra = F.when(
         F.col("negative_memory").isNotNull() & ~F.array_contains("first_two", F.col("negative_memory")), F.array("negative_memory")

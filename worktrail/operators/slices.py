@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worktrail.operators.ordering import top_rows
+from worktrail.operators.ordering import group_positions, top_rows
 from worktrail.sources.raw_events import LIGHT_TYPES
 
 
@@ -26,7 +26,8 @@ def slice_events(
     if max_records_per_file is not None:
         kept = top_rows(kept, ["source_file"], order, max_records_per_file, "rn").drop("rn")
     if max_records is not None:
-        kept = kept.orderBy(*order).limit(max_records)
+        placed = group_positions(kept.withColumn("all", F.lit(0)), ["all"], ["source_file", "ord"])
+        kept = placed.filter(F.col("pos") < max_records).drop("all", "pos", "group_rows")
     return kept
 
 

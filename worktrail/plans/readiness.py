@@ -201,7 +201,7 @@ GATES = [
 ]
 # Release checks that each of the later gates needs.
 GATE_NEEDS = {
-    "verifier_checked_project_release": ["project_benchmark_release"],
+    "verifier_checked_project_release": ["project_release"],
     "no_gold_submission_input": ["project_submission_inputs"],
     "baseline_and_external_runner_contract": ["project_release_baselines", "baseline_batch"],
     "taxonomy_and_claim_boundary": ["taxonomy_coverage_audit", "claim_boundary_audit"],

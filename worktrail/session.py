@@ -18,6 +18,7 @@ def local_session(cores: str = "8", app: str = "worktrail") -> SparkSession:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("worktrail.spread", cores)
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
@@ -58,9 +59,8 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(f"spark.sql.adaptive.{name}", "true")
 
 
-def spread(df: DataFrame, few: int = 8) -> DataFrame:
-    """Give a table of a few file splits to all cores. Only tiny inputs have so few; a
-    large table keeps its own splits and is not shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    parts = df.rdd.getNumPartitions()
-    return df.repartition(cores) if parts < min(few, cores) else df
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table out to as many partitions as the session asks for in worktrail.spread.
+    Only local sessions ask, whose inputs are single files; elsewhere tables keep their splits."""
+    parts = df.sparkSession.conf.get("worktrail.spread", None)
+    return df.repartition(int(parts)) if parts else df

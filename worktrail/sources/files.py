@@ -2,38 +2,69 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+from urllib.parse import quote, unquote, urlparse
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from worktrail.operators.ordering import joined_list, top_rows
-
-MAX_HASHED_BYTES = 1 << 30
-
-
-def file_inventory(spark: SparkSession, path: str, pattern: str = "*", max_bytes: int = MAX_HASHED_BYTES) -> DataFrame:
-    """Path, kind, bytes and sha256 of every file. Content is read only below the limit,
-    since one file is one row; larger files keep their length alone."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    small = files.filter(F.col("length") <= max_bytes).select("path", "length", F.sha2("content", 256).alias("sha256"))
-    large = files.filter(F.col("length") > max_bytes).select("path", "length", F.lit(None).cast("string").alias("sha256"))
-    kind = F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)
-    return small.unionByName(large).select("path", F.lower(kind).alias("kind"), F.col("length").alias("bytes"), "sha256")
-
-
-def directory_digest(inventory: DataFrame, buckets: int = 256) -> DataFrame:
-    """One digest per folder in two levels: path-sorted digests of hash buckets, then the
-    digest of the buckets in order. A folder of any size thus spreads over tasks."""
-    rows = inventory.withColumn("folder", F.regexp_replace("path", "/[^/]*$", "")).withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(buckets)))
-    entry = F.concat("path", F.lit("\u0000"), F.coalesce("sha256", F.col("bytes").cast("string")))
-    parts = rows.groupBy("folder", "bucket").agg(
-        F.sha2(F.array_join(joined_list(F.col("path"), entry), "\n"), 256).alias("digest"), F.count("*").alias("n"), F.sum("bytes").alias("bytes")
-    )
-    return parts.groupBy("folder").agg(
-        F.sum("n").alias("files"),
-        F.sum("bytes").alias("bytes"),
-        F.sha2(F.array_join(joined_list(F.col("bucket"), F.concat(F.col("bucket").cast("string"), F.lit("="), "digest")), "\n"), 256).alias("sha256"),
+from worktrail.operators.ordering import top_rows
+
+#: Bytes that a task holds of a file while it hashes it; files of any size are hashed alike.
+CHUNK_BYTES = 1 << 22
+
+
+def _sha256_of(uri: str, chunk: int) -> str:
+    if uri.startswith("file:"):
+        store, name = fs.LocalFileSystem(), re.sub("^file:/+", "/", uri)
+    else:
+        store, name = fs.FileSystem.from_uri(quote(uri, safe=":/@"))
+    total = hashlib.sha256()
+    with store.open_input_stream(name) as stream:
+        while data := stream.read(chunk):
+            total.update(data)
+    return total.hexdigest()
+
+
+def file_inventory(spark: SparkSession, path: str, pattern: str = "*", chunk: int = CHUNK_BYTES) -> DataFrame:
+    """(path, name, kind, bytes, sha256) of every file below a folder; ``name`` is the path
+    inside it. Spark lists the files without their content; each task then reads its files
+    in chunks from the store that the executors share."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    sized = found.select("path", F.col("length").alias("bytes"))
+    # Readers skip empty files; the driver's listing has them.
+    names = [(re.sub("^file:/+", "file:/", unquote(uri)),) for uri in found.inputFiles()]
+    empty = spark.createDataFrame(names, "path string").join(sized, "path", "left_anti").withColumn("bytes", F.lit(0).cast("long"))
+    listed = sized.unionByName(empty)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [_sha256_of(uri, chunk) for uri in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.string())], names=["path", "bytes", "sha256"])
+
+    root = urlparse(path).path.rstrip("/") + "/"
+    inside = F.regexp_replace("path", "^.*?" + re.escape(root), "")
+    rows = listed.mapInArrow(hashed, "path string, bytes long, sha256 string").withColumn("name", inside)
+    return rows.select("path", "name", F.lower(F.regexp_extract("name", r"\.([A-Za-z0-9]+)$", 1)).alias("kind"), "bytes", "sha256")
+
+
+def directory_digest(inventory: DataFrame, name: str = "name") -> DataFrame:
+    """(folder, files, bytes, sha256) per folder of an inventory. Every entry is hashed with
+    its path inside the inventoried folder, and the hashes are added up in four lanes: the
+    sum needs no order, so no task ever holds a folder's entries."""
+    folder = F.regexp_replace(F.col(name), "/?[^/]*$", "")
+    entry = F.sha2(F.concat(F.col(name), F.lit("\n"), F.coalesce(F.col("sha256"), F.col("bytes").cast("string"))), 256)
+    lanes = [F.conv(F.substring("entry", 15 * k + 1, 15), 16, 10).cast("decimal(38,0)") for k in range(4)]
+    sums = inventory.select(folder.alias("folder"), "bytes", entry.alias("entry")).groupBy("folder").agg(
+        F.count("*").alias("files"), F.sum("bytes").alias("bytes"), *[F.sum(lane).alias(f"lane{k}") for k, lane in enumerate(lanes)]
     )
+    whole = F.concat_ws("|", F.col("files").cast("string"), *[F.col(f"lane{k}").cast("string") for k in range(4)])
+    return sums.select("folder", "files", "bytes", F.sha2(whole, 256).alias("sha256"))
 
 
 SAMPLE_SCHEMA = T.StructType(

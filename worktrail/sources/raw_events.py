@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worktrail.functions.ids import content_hash, iso_seconds, safe_id
+from worktrail.operators.ordering import group_positions, top_rows
 from worktrail.schemas import RAW_EVENT, SECTION_KEYS
 
 # Raw event types and the names they get.
@@ -29,32 +32,46 @@ SOURCE_DATASET = "gharchive"
 EVENT_LICENSE = "GitHub public event stream; repository licenses vary"
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """Adds the file of each row and ``place``, which grows inside the file: where its split
+    begins plus the row's place in its task. A split holds fewer rows than bytes and a task
+    no more bytes than a split, so splits never overlap; gzip files have one split only."""
+    place = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.select("*", F.col("_metadata.file_path").alias("source_file"), place.alias("place"))
+
+
 def read_raw_events(spark: SparkSession, path: str) -> DataFrame:
-    """JSON Lines, gzip or not, plus .json files that hold one object or an array.
+    """JSON Lines, gzip or not, and .json files that hold lines, one object or an array.
 
-    Malformed JSON raises. Rows carry their file and a position that grows inside it:
-    a gzip file is never split, a plain file splits in order.
+    Malformed JSON raises. ``ord`` orders rows by file name and place in the file, whatever
+    the split settings.
     """
-    lines = (
-        spark.read.schema(RAW_EVENT)
-        .option("mode", "FAILFAST")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.{jsonl,jsonl.gz,json.gz}")
-        .json(path)
-    )
-    documents = (
-        spark.read.schema(RAW_EVENT)
-        .option("mode", "FAILFAST")
-        .option("multiLine", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.json")
-        .json(path)
+
+    def below(glob: str):
+        return spark.read.option("recursiveFileLookup", "true").option("mode", "FAILFAST").option("pathGlobFilter", glob)
+
+    lines = _placed(below("*.{jsonl,gz}").schema(RAW_EVENT).json(path))
+    # A .json file holds lines if its first line that isn't blank is a whole object.
+    texts = _placed(below("*.json").text(path)).filter(F.trim("value") != "")
+    whole = F.trim("value").startswith("{") & F.try_parse_json(F.col("value")).isNotNull()
+    kinds = top_rows(texts.select("source_file", "place", whole.alias("as_lines")), ["source_file"], [F.col("place")], 1)
+    # The test stands inside the expression too, or a filter on a field would parse all lines.
+    line = F.when(F.col("as_lines"), F.col("value"))
+    parsed = texts.join(kinds.filter("as_lines").select("source_file", "as_lines"), "source_file")
+    parsed = parsed.select(F.from_json(line, RAW_EVENT, {"mode": "FAILFAST"}).alias("r"), "source_file", "place").select("r.*", "source_file", "place")
+    documents = _placed(below("*.json").schema(RAW_EVENT).option("multiLine", "true").json(path)).join(
+        kinds.filter("not as_lines").select("source_file"), "source_file", "left_semi"
     )
+    rows = lines.unionByName(parsed).unionByName(documents)
+    # The driver lists the files anyway; their places in name order fill the upper bits.
+    bare = "^[a-z]+:/+"
+    names = sorted({re.sub(bare, "/", f) for f in rows.inputFiles()})
+    ranks = spark.createDataFrame(list(enumerate(names)), "file_rank long, file_name string")
+    ranked = rows.join(ranks, F.regexp_replace("source_file", bare, "/") == F.col("file_name"))
     return (
-        lines.select("*", F.col("_metadata.file_path").alias("source_file"))
-        .unionByName(documents.select("*", F.col("_metadata.file_path").alias("source_file")))
+        ranked.withColumn("ord", F.shiftleft("file_rank", 36) + F.col("place"))
+        .drop("file_rank", "file_name", "place")
         .filter("type is not null or id is not null or repo is not null or payload is not null")
-        .withColumn("ord", F.monotonically_increasing_id())
     )
 
 
@@ -167,7 +184,8 @@ def canonical_events(
     if actor:
         kept = kept.filter(F.col("actor.login") == actor)
     if max_records:
-        kept = kept.orderBy("source_file", "ord").limit(max_records)
+        placed = group_positions(kept.withColumn("all", F.lit(0)), ["all"], ["source_file", "ord"])
+        kept = placed.filter(F.col("pos") < max_records).drop("all", "pos", "group_rows")
     record = F.to_json(F.struct("actor", "created_at", "id", "payload", "repo", "type"))
     base = kept.select(
         project_id.alias("project_id"),

@@ -189,7 +189,16 @@ def prompt_rows(spark, sf):
     return prompts(spark, sf).select("prompt_id", "pack_id", "annotation_id", "candidate_type", masked.alias("user_prompt"))
 
 
-@query("pack_jobs")
+@query(
+    "pack_jobs",
+    f"""WITH RECURSIVE sized AS (SELECT row_number() OVER (ORDER BY pack_id, prompt_id) AS i, pack_id, greatest(1, (length('{A.SYSTEM_PROMPT}') + 1 + length(user_prompt)
+          + 63 * ((length(user_prompt) - length(replace(user_prompt, '"H"', ''))) // 3) + 1 + length({_boundary_json}) + 3) // 4) AS tokens FROM prompt),
+        bins AS (SELECT i, 1 AS job, 1 AS c, tokens AS used FROM sized WHERE i = 1 UNION ALL
+          SELECT s.i, CASE WHEN c >= 100 OR used + tokens > 120000 THEN job + 1 ELSE job END, CASE WHEN c >= 100 OR used + tokens > 120000 THEN 1 ELSE c + 1 END,
+            CASE WHEN c >= 100 OR used + tokens > 120000 THEN tokens ELSE used + tokens END FROM bins b JOIN sized s ON s.i = b.i + 1)
+        SELECT 'rewrite_job_0000_' || lpad(CAST(job AS VARCHAR), 4, '0') AS job_id, count(*) AS prompts, CAST(sum(tokens) AS BIGINT) AS estimated_tokens, count(DISTINCT pack_id) AS packs
+        FROM bins JOIN sized USING (i) GROUP BY job""",
+)
 def pack_jobs(spark, sf):
     return A.job_summary(A.pack_jobs(prompts(spark, sf)))
 

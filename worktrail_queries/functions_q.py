@@ -51,9 +51,9 @@ def fn_tokens(spark, sf):
     )
 
 
-@query("fn_normalize_text", f"SELECT item_id, array_to_string({toks('text')}, ' ') AS normalized FROM benchmark")
+@query("fn_normalize_text", f"SELECT doc_id, array_to_string({toks('text')}, ' ') AS normalized FROM documents")
 def fn_normalize_text(spark, sf):
-    return read(spark, sf, "benchmark").select("item_id", X.normalize_text(F.col("text")).alias("normalized"))
+    return read(spark, sf, "documents").select("doc_id", X.normalize_text(F.col("text")).alias("normalized"))
 
 
 @query("fn_humanize", "SELECT page_id, translate(url, '_-', '  ') AS humanized FROM pages")

@@ -18,7 +18,7 @@ from worktrail_queries.gold import gold
 from worktrail_queries.inputs import candidates, profile, raw, read, windows
 from worktrail_queries.mining_q import split_sql
 from worktrail_queries.registry import query
-from worktrail_queries.scoring_q import scored
+from worktrail_queries.scoring_q import scored, scored_submission
 from worktrail_queries.sqlkit import in_list, rnd, sql_list, table
 
 
@@ -166,7 +166,7 @@ def _gate_checks(spark, sf):
         stage_plan(spark, sf).select(F.lit("stage_plan").alias("family"), "check", "status")
         .unionByName(assess_scale(spark, sf).select(F.lit("scale").alias("family"), "check", "status"))
         .unionByName(_sources(spark, sf).select(F.lit("sources").alias("family"), F.col("dataset_kind").alias("check"), "status"))
-        .unionByName(row(verdict, "release", "project_benchmark_release", F.col("ok")))
+        .unionByName(row(verdict, "release", "project_release", F.col("ok")))
         .unionByName(row(splits, "release", "splits", F.col("n") == 0))
     )
 
@@ -174,7 +174,7 @@ def _gate_checks(spark, sf):
 table(
     "gatechecks",
     """SELECT 'stage_plan' AS family, "check", status FROM stage UNION ALL SELECT 'scale', "check", status FROM scale UNION ALL SELECT 'sources', dataset_kind, status FROM srca
-UNION ALL SELECT 'release', 'project_benchmark_release', CASE WHEN bool_and(passed) THEN 'pass' ELSE 'fail' END FROM verified UNION ALL SELECT 'release', 'splits', CASE WHEN count(*) = 0 THEN 'pass' ELSE 'fail' END FROM split_issues""",
+UNION ALL SELECT 'release', 'project_release', CASE WHEN bool_and(passed) THEN 'pass' ELSE 'fail' END FROM verified UNION ALL SELECT 'release', 'splits', CASE WHEN count(*) = 0 THEN 'pass' ELSE 'fail' END FROM split_issues""",
 )
 
 
@@ -223,7 +223,7 @@ _RELEASED = ["project_submission_inputs", "project_release_baselines", "baseline
 def domain_gate_matrix(spark, sf):
     kinds = F.create_map(*[F.lit(x) for pair in R.SOURCE_DOMAINS.items() for x in pair])
     sources = _sources(spark, sf).select(F.try_element_at(kinds, F.col("dataset_kind")).alias("domain"), F.col("usable").alias("sources")).filter("domain is not null")
-    verdict = verified(spark, sf).agg(F.bool_and("passed").alias("passed")).select(F.lit("project_benchmark_release").alias("check"), "passed")
+    verdict = verified(spark, sf).agg(F.bool_and("passed").alias("passed")).select(F.lit("project_release").alias("check"), "passed")
     done = spark.createDataFrame([(c, True) for c in _RELEASED], "check string, passed boolean")
     return R.domain_matrix(R.domain_gates(_coverage(spark, sf), sources, verdict.unionByName(done), verdict.select("passed")))
 
@@ -252,9 +252,25 @@ def result_tables(spark, sf):
     return tasks.unionByName(T.breakdown(S.metrics_by_capability(rows, "baseline"), "capability"))
 
 
-@query("bootstrap_ci")
+_times = " + ".join(f"CASE WHEN draw >= {edge} THEN 1 ELSE 0 END" for edge in T._POISSON)
+_sums = ", ".join(f"CAST(sum(times * CAST({m} AS DECIMAL(18,9))) AS DOUBLE) / sum(times) AS {m}" for m in T.INTERVAL_METRICS)
+_cells = " UNION ALL ".join(
+    f"SELECT baseline AS system_name, '{m}' AS metric, n_units, {rnd(f'b.{m}')} AS mean, {rnd(f'CASE WHEN n_units = 1 THEN b.{m} ELSE e.{m}_low END')} AS ci_low, {rnd(f'CASE WHEN n_units = 1 THEN b.{m} ELSE e.{m}_high END')} AS ci_high FROM bplain b JOIN bends e USING (baseline)"
+    for m in T.INTERVAL_METRICS
+)
+table("bplain", f"SELECT baseline, count(*) AS n_units, {', '.join(f'CAST(sum(CAST({m} AS DECIMAL(18,9))) AS DOUBLE) / count(*) AS {m}' for m in T.INTERVAL_METRICS)} FROM repsub GROUP BY baseline")
+table(
+    "bdraws",
+    f"""SELECT *, {_times} AS times FROM (SELECT *, CAST('0x' || substr(md5(concat_ws('|', '0', project_id, replicate)), 1, 8) AS BIGINT) AS draw
+  FROM repsub, (SELECT unnest(range(1, 1001)) AS replicate))""",
+)
+table("bmeans", f"SELECT baseline, replicate, {_sums} FROM bdraws WHERE times > 0 GROUP BY baseline, replicate")
+table("bends", f"SELECT baseline, {', '.join(f'quantile_cont({m}, 0.025) AS {m}_low, quantile_cont({m}, 0.975) AS {m}_high' for m in T.INTERVAL_METRICS)} FROM bmeans GROUP BY baseline")
+
+
+@query("bootstrap_ci", _cells)
 def bootstrap_ci(spark, sf):
-    rows = scored(spark, sf)
+    rows = scored_submission(spark, sf)
     report = S.project_report(rows, gold(spark, sf).probes, rows.select("baseline").distinct())
     return T.bootstrap_ci(report)
 

@@ -176,20 +176,38 @@ def manifest_preflight(spark, sf):
 
 
 # Mail folders ------------------------------------------------------------------------------
+_SUBJECT = "CASE doc_id % 3 WHEN 0 THEN 'Meeting at ten' WHEN 1 THEN 'Fwd: confidential note' ELSE 'Hello' END"
+
+
 def _messages(spark, sf):
+    """One message per document; every eleventh lies in another folder than that of sent mail."""
     head = F.concat(
-        F.lit("Date: Mon, 1 Jan 2024 10:00:00 +0100\nFrom: user"), (F.col("doc_id") % 10).cast("string"), F.lit("@example.com\nTo: a@example.org; b@example.org\nSubject: "),
-        F.when(F.col("doc_id") % 3 == 0, "Meeting at ten").when(F.col("doc_id") % 3 == 1, "Fwd: confidential note").otherwise("Hello"),
-        F.lit('\nContent-Type: text/plain; charset="utf-8"\n\n> quoted line\n'),
+        F.lit("Date: Mon, 1 Jan 2024 10:00:00 +0100\nFrom: user"), (F.col("doc_id") % 10).cast("string"), F.lit("@example.com\nTo: a@example.org;\n b@example.org\nSubject: "),
+        F.expr(_SUBJECT), F.lit('\nContent-Type: text/plain; charset="utf-8"\n\n> quoted line\n'),
     )
-    return read(spark, sf, "documents").select(
-        F.concat(F.lit("sent/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".")).alias("path"), F.concat(head, "text").alias("text")
-    )
+    folder = F.when(F.col("doc_id") % 11 == 5, "inbox").otherwise("sent")
+    path = F.concat_ws("/", F.lit("box"), folder, "source", F.col("doc_id").cast("string"))
+    return read(spark, sf, "documents").select(path.alias("path"), F.encode(F.concat(head, "text"), "UTF-8").alias("raw"))
 
 
-@query("ingest_maildir")
+_CLEAN = "trim(regexp_replace(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT starts_with(x, '>')), ' '), '\\s+', ' ', 'g'))"
+table(
+    "sentmail",
+    f"""SELECT *, lower(subject || ' > quoted line' || chr(10) || text) AS low, {_CLEAN} AS body FROM (SELECT doc_id, source, text, {_SUBJECT} AS subject FROM documents WHERE doc_id % 11 <> 5)
+  WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) + 3 >= 15""",
+)
+
+
+@query(
+    "ingest_maildir",
+    f"""SELECT 'box/sent/' || source || '/' || doc_id AS path, '2024-01-01T09:00:00+00:00' AS timestamp, subject, '[REDACTED_EMAIL]' AS sender, '[REDACTED_EMAIL]|[REDACTED_EMAIL]' AS recipients,
+         CASE WHEN regexp_matches(low, 'meeting|schedule|call') THEN 'email_scheduling_thread' WHEN regexp_matches(low, 'forward|fwd') THEN 'email_forwarding_thread' ELSE 'email_external_or_internal_thread' END AS event_type,
+         CASE WHEN NOT regexp_matches(low, 'meeting|schedule|call|forward|confidential|privileged') THEN 'email_workflow_context' ELSE concat_ws('|', CASE WHEN regexp_matches(low, 'meeting|schedule|call') THEN 'scheduling_context' END,
+           CASE WHEN regexp_matches(low, 'forward|confidential|privileged') THEN 'sensitive_forwarding_context' END) END AS claims, sha256({redact_sql('body')}) AS content_hash FROM sentmail""",
+)
 def ingest_maildir(spark, sf):
-    return E.mail_records(_messages(spark, sf)).select(
+    messages = _messages(spark, sf)
+    return E.mail_records(messages.filter(E.in_sent_folder(F.col("path")))).select(
         "path", "timestamp", "subject", "sender", F.array_join("recipients", "|").alias("recipients"), "event_type",
         F.array_join("claims", "|").alias("claims"), F.sha2("content", 256).alias("content_hash"),
     )
@@ -253,14 +271,37 @@ def discover_sources(spark, sf):
     return found.groupBy("dataset_kind", "confidence", "usable").agg(F.count("*").alias("n"))
 
 
-@query("file_inventory")
+def _listed(spark, sf):
+    """Document numbers by source, one file each, written beside the checkpoints."""
+    path = scratch_path(spark, "listed")
+    lines = read(spark, sf, "documents").select("source", F.concat_ws(" ", "doc_id", "n_chars").alias("value"))
+    lines.repartition("source").sortWithinPartitions("source", "value").write.partitionBy("source").text(path)
+    # Spark's file names are random; the folder stands for its one file.
+    return X.file_inventory(spark, path, "*.txt").withColumn("name", F.regexp_replace("name", "/[^/]*$", "/numbers.txt"))
+
+
+table(
+    "listed",
+    """SELECT 'source=' || source || '/numbers.txt' AS name, strlen(body) AS bytes, sha256(body) AS sha256 FROM (
+         SELECT source, string_agg(line || chr(10), '' ORDER BY line) AS body FROM (SELECT source, doc_id || ' ' || n_chars AS line FROM documents) GROUP BY source)""",
+)
+
+
+@query("file_inventory", "SELECT name, 'txt' AS kind, CAST(bytes AS BIGINT) AS bytes, sha256 FROM listed")
 def file_inventory(spark, sf):
-    return X.file_inventory(spark, sf, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "kind", "bytes", "sha256")
+    return _listed(spark, sf).select("name", "kind", "bytes", "sha256")
+
 
+_LANES = ", ".join(f"sum(CAST('0x' || substr(e, {15 * k + 1}, 15) AS BIGINT)::HUGEINT) AS s{k}" for k in range(4))
 
-@query("directory_digest")
+
+@query(
+    "directory_digest",
+    f"""SELECT folder, files, CAST(bytes AS BIGINT) AS bytes, sha256(concat_ws('|', files, s0, s1, s2, s3)) AS sha256 FROM (
+         SELECT regexp_replace(name, '/.*', '') AS folder, count(*) AS files, sum(bytes) AS bytes, {_LANES} FROM (SELECT *, sha256(name || chr(10) || sha256) AS e FROM listed) GROUP BY 1)""",
+)
 def directory_digest(spark, sf):
-    return X.directory_digest(X.file_inventory(spark, sf, "*.parquet")).select("files", "bytes", "sha256")
+    return X.directory_digest(_listed(spark, sf))
 
 
 @query(
@@ -272,33 +313,47 @@ def write_project(spark, sf):
     return K.write_tables({"artifacts": g.artifacts, "events": g.events, "memories": g.memories, "probes": g.probes}, scratch_path(spark, "project"))
 
 
-@query("jsonl_csv_sink", "SELECT 'csv' AS format, count(*) AS rows, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'jsonl', count(*), CAST(sum(n_chars) AS BIGINT) FROM documents")
+@query(
+    "jsonl_csv_sink",
+    """SELECT format, doc_id, lang, source, n_chars, sha256(text || chr(10) || '"quoted", ' || source) AS text_hash, source || '|' || lang AS tags
+       FROM documents, (VALUES ('csv'), ('jsonl')) AS f(format)""",
+)
 def jsonl_csv_sink(spark, sf):
+    """All columns, with newlines, quotes and a nested list, written both ways and read back."""
     path = scratch_path(spark, "sink")
-    docs = read(spark, sf, "documents")
+    docs = read(spark, sf, "documents").withColumn("text", F.concat("text", F.lit('\n"quoted", '), "source")).withColumn("tags", F.array("source", "lang"))
     K.write_jsonl(docs, f"{path}/jsonl")
-    K.write_csv(docs.filter("doc_id % 2 = 0").select("doc_id", "source", "n_chars"), f"{path}/csv")
+    K.write_csv(docs, f"{path}/csv")
+    flat = "doc_id bigint, lang string, n_chars bigint, source string, tags string, text string"
+    csv = spark.read.schema(flat).option("header", "true").option("escape", '"').option("multiLine", "true").csv(f"{path}/csv")
     back = [
-        spark.read.schema(docs.schema).json(f"{path}/jsonl").select(F.lit("jsonl").alias("format"), "n_chars"),
-        spark.read.schema("doc_id bigint, n_chars bigint, source string").option("header", "true").csv(f"{path}/csv").select(F.lit("csv").alias("format"), "n_chars"),
+        spark.read.schema(docs.schema).json(f"{path}/jsonl").withColumn("format", F.lit("jsonl")),
+        csv.withColumn("tags", F.from_json("tags", "array<string>")).withColumn("format", F.lit("csv")),
     ]
-    return union_all(back).groupBy("format").agg(F.count("*").alias("rows"), F.sum("n_chars").alias("chars"))
+    return union_all(back).select("format", "doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_hash"), F.array_join("tags", "|").alias("tags"))
 
 
 # Plug-ins ----------------------------------------------------------------------------------
-def newest_two(frame):
-    """A tiny predictor: name the best two events."""
-    ids = [i for i in frame["event_id"].tolist()[:2] if i]
-    return "Based on " + ", ".join(ids), ids
+def first_and_last(probes, events):
+    """A tiny predictor: name the first and the last event of the project, and their number."""
+    first = last = ""
+    n = 0
+    for batch in events:
+        first = first or batch["event_id"].iloc[0]
+        last = batch["event_id"].iloc[-1]
+        n += len(batch)
+    for probe in probes["probe_id"]:
+        yield probe, f"{n} events from {first} to {last}", [first, last]
 
 
 @query(
     "apply_predictor",
-    """SELECT project_id, probe_id, 'Based on ' || string_agg(event_id, ', ' ORDER BY rank) AS prediction FROM tk_sub_raw WHERE rank <= 2 GROUP BY project_id, probe_id""",
+    """SELECT project_id, probe_id, n || ' events from ' || a || ' to ' || b AS prediction, a || '|' || b AS ids FROM probe
+       JOIN (SELECT project_id, count(*) AS n, arg_min(event_id, ord) AS a, arg_max(event_id, ord) AS b FROM pev GROUP BY project_id) USING (project_id)""",
 )
 def apply_predictor(spark, sf):
     g = gold(spark, sf)
-    return G.apply_predictor(newest_two, g.events, g.probes, 10).select("project_id", "probe_id", "prediction")
+    return G.apply_predictor(first_and_last, g.events, g.probes).select("project_id", "probe_id", "prediction", F.array_join("retrieved_event_ids", "|").alias("ids"))
 
 
 @query(

@@ -33,6 +33,8 @@ def expand(sql: str) -> str:
     heads = [f"{n} AS (\n{TABLES[n]}\n)" for n in order]
     if not heads:
         return sql
+    if sql[:14].upper() == "WITH RECURSIVE":
+        return "WITH RECURSIVE " + ",\n".join(heads) + ",\n" + sql[14:].lstrip()
     if sql[:4].upper() == "WITH":
         return "WITH " + ",\n".join(heads) + ",\n" + sql[4:].lstrip()
     return "WITH " + ",\n".join(heads) + "\n" + sql
