@@ -64,28 +64,28 @@ def requirement_matched(requirement: Column, pred_tokens: Column, pred_norm: Col
     )
 
 
-def negated_context(requirement: Column, pred_tokens: Column, pred_norm: Column) -> Column:
-    """A refusal word stands near a requirement word, or a refusal phrase stands anywhere."""
+def words_near_refusals(pred_tokens: Column) -> Column:
+    """Distinct words of a text with a refusal word at most six places before or seven behind
+    them. Refusal words are few, so this costs one pass over the text."""
+    none = F.array().cast("array<int>")
+    at = F.filter(F.transform(pred_tokens, lambda t, i: F.when(t.isin(NEGATION_WORDS), i + 1)), lambda i: i.isNotNull())
+    around = lambda i: F.slice(pred_tokens, F.greatest(F.lit(1), i - 7), i + 7 - F.greatest(F.lit(1), i - 7))
+    return F.array_distinct(F.flatten(F.transform(F.coalesce(at, none), around)))
+
+
+def negated_context(requirement: Column, pred_tokens: Column, pred_norm: Column, near: Column | None = None) -> Column:
+    """A refusal word stands near a requirement word, or a refusal phrase stands anywhere.
+    ``near`` is words_near_refusals() of the text, where a row tests many requirements."""
     req = tokens(requirement)
-    size = F.size(pred_tokens)
-    near = F.exists(
-        F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.array_contains(req, F.element_at(pred_tokens, i))
-        & F.arrays_overlap(
-            F.slice(pred_tokens, F.greatest(F.lit(1), i - 6), i + 8 - F.greatest(F.lit(1), i - 6)),
-            str_array(NEGATION_WORDS),
-        ),
-    )
     phrase = F.lit(False)
     for p in NEGATION_PHRASES:
         phrase = phrase | pred_norm.contains(p)
-    return (F.size(req) > 0) & (near | phrase)
+    found = F.coalesce(F.arrays_overlap(req, words_near_refusals(pred_tokens) if near is None else near), F.lit(False))
+    return (F.size(req) > 0) & (found | phrase)
 
 
-def must_not_violated(requirement: Column, pred_tokens: Column, pred_norm: Column) -> Column:
-    return requirement_matched(requirement, pred_tokens, pred_norm) & ~negated_context(
-        requirement, pred_tokens, pred_norm
-    )
+def must_not_violated(requirement: Column, pred_tokens: Column, pred_norm: Column, near: Column | None = None) -> Column:
+    return requirement_matched(requirement, pred_tokens, pred_norm) & ~negated_context(requirement, pred_tokens, pred_norm, near)
 
 
 def ordered_subsequence(needle: Column, haystack: Column) -> Column:

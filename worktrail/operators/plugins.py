@@ -60,6 +60,12 @@ def read_submissions(spark, path: str) -> DataFrame:
     rows = spark.read.schema(PREDICTION).option("mode", "FAILFAST").option("recursiveFileLookup", "true").json(path)
     stem = F.regexp_extract(F.url_decode("_metadata.file_path"), r"/([^/]+)\.jsonl(?:/[^/]*)?$", 1)
     named = F.regexp_replace(F.regexp_replace(stem, r"[^\p{L}\p{N}_-]", "_"), "^_+|_+$", "")
+    rows = rows.withColumn("row_no", F.monotonically_increasing_id())
     return rows.withColumn("baseline", F.when(named == "", "submission").otherwise(named)).withColumn(
         "memory_ids", F.coalesce("retrieved_memory_ids", F.array().cast("array<string>"))
     )
+
+
+def retrieved_events(submissions: DataFrame) -> DataFrame:
+    """One row per event that a submitted row names."""
+    return submissions.select("baseline", "row_no", "project_id", "probe_id", F.explode("retrieved_event_ids").alias("event_id"))

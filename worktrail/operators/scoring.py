@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worktrail.functions.ids import exact_round, stable_mean
-from worktrail.functions.text import fraction_true, must_not_violated, no_strings, requirement_matched, str_array, tokens
+from worktrail.functions.text import fraction_true, must_not_violated, no_strings, requirement_matched, str_array, tokens, words_near_refusals
 from worktrail.operators.ordering import beside, joined_list
 
 METRICS = ["must_include_recall", "must_not_violation_rate", "evidence_recall", "boundary_action_recall"]
@@ -80,14 +80,16 @@ def required_events(probes: DataFrame, memory_events: DataFrame) -> DataFrame:
 
 
 def evidence_hits(retrieved: DataFrame, probes: DataFrame, memory_events: DataFrame, system: str = "baseline") -> DataFrame:
-    """Required and retrieved required events per prediction key, counted, never listed."""
+    """Required and retrieved required events per prediction key, counted, never listed. Where
+    ``retrieved`` tells the rows of a submission apart (row_no), so does the count."""
     required = required_events(probes, memory_events)
     totals = required.groupBy("project_id", "probe_id").agg(F.count("*").alias("n_required"))
+    keys = [c for c in (system, "project_id", "probe_id", "row_no") if c in retrieved.columns]
     found = (
-        retrieved.select(system, "project_id", "probe_id", "event_id")
+        retrieved.select(*keys, "event_id")
         .distinct()
         .join(required, ["project_id", "probe_id", "event_id"])
-        .groupBy(system, "project_id", "probe_id")
+        .groupBy(*keys)
         .agg(F.count("*").alias("n_found"))
     )
     return found, totals
@@ -114,7 +116,7 @@ def score_predictions(
     base = (
         predictions.join(known, ["project_id", "probe_id"], "left")
         .join(totals, ["project_id", "probe_id"], "left")
-        .join(found, [system, "project_id", "probe_id"], "left")
+        .join(found, [c for c in found.columns if c != "n_found"], "left")
         .withColumn("known", F.coalesce("known", F.lit(False)))
         .withColumn("words", tokens(F.col("prediction")))
     )
@@ -124,13 +126,19 @@ def score_predictions(
     def misses(field: str) -> Column:
         return F.filter(F.coalesce(field, none), lambda r: ~requirement_matched(r, words, F.col("norm")))
 
-    base = base.withColumn("norm", norm)
+    base = base.withColumn("norm", norm).withColumn("near", words_near_refusals(words))
     base = (
         base.withColumn("missing_include", misses("must_include"))
-        .withColumn("violated", F.filter(F.coalesce("must_not_include", none), lambda r: must_not_violated(r, words, F.col("norm"))))
+        .withColumn("violated", F.filter(F.coalesce("must_not_include", none), lambda r: must_not_violated(r, words, F.col("norm"), F.col("near"))))
         .withColumn("missing_boundary", misses("boundary_entries"))
     )
 
+    return finished(base).drop("words", "norm", "near")
+
+
+def finished(base: DataFrame) -> DataFrame:
+    """Metrics, issues, pass flag and labels of rows that know their probe's lists and what
+    they miss or violate of each."""
     def share(kept: Column, of: str) -> Column:
         return F.when(F.size(of) == 0, F.lit(1.0)).otherwise(kept / F.size(of))
 
@@ -168,7 +176,7 @@ def score_predictions(
         scored.withColumn("issues", issues)
         .withColumn("passed", F.size("issues") == 0)
         .withColumn("labels", diagnostic_labels())
-        .drop("words", "norm", "words_p", "words_pn", "n_found", "n_required", *[f"combined_{f}" for f in SCORED_FIELDS])
+        .drop("words_p", "words_pn", "n_found", "n_required", *[f"combined_{f}" for f in SCORED_FIELDS])
     )
 
 

@@ -18,7 +18,7 @@ def local_session(cores: str = "8", app: str = "worktrail") -> SparkSession:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
-        .config("worktrail.spread", cores)
+        .config("spark.worktrail.spread", cores)
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
@@ -60,7 +60,7 @@ def prepare(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a table out to as many partitions as the session asks for in worktrail.spread.
+    """Deal a table out to as many partitions as the session asks for in spark.worktrail.spread.
     Only local sessions ask, whose inputs are single files; elsewhere tables keep their splits."""
-    parts = df.sparkSession.conf.get("worktrail.spread", None)
+    parts = df.sparkSession.conf.get("spark.worktrail.spread", None)
     return df.repartition(int(parts)) if parts else df

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from worktrail.functions.ids import exact_round
 from worktrail.operators import predictors as D
+from worktrail.operators.full_log import score_full_log
 from worktrail.operators import projects as J
 from worktrail.operators import scoring as S
 from worktrail.operators import traces as T
@@ -14,8 +15,8 @@ from worktrail_queries.functions_q import action_sql, matched_sql, negated_sql
 from worktrail_queries.gold import gold
 from worktrail_queries.registry import query
 from worktrail_queries.retrieval_q import RELEASE_BASELINES
-from worktrail_queries.sqlkit import rnd, sql_list, table, toks
-from worktrail_queries.submissions import submission, traces
+from worktrail_queries.sqlkit import iso, rnd, sql_list, table, toks
+from worktrail_queries.submissions import retrieved_ids, submission, traces
 
 _uq = lambda e: f"list_filter({e}, lambda x, i: list_position({e}, x) = i)"
 table(
@@ -44,14 +45,14 @@ FROM probe JOIN pgold0 USING (project_id, probe_id)""",
 table("req", "SELECT DISTINCT p.project_id, p.probe_id, event_id FROM (SELECT project_id, probe_id, unnest(positive) AS memory_id FROM probe) p JOIN mem_ev USING (project_id, memory_id)")
 table(
     "hits",
-    """SELECT baseline, project_id, probe_id, count(*) AS n_found FROM (SELECT DISTINCT baseline, project_id, probe_id, event_id FROM retr) JOIN req USING (project_id, probe_id, event_id) GROUP BY ALL""",
+    """SELECT baseline, project_id, probe_id, count(*) AS n_found FROM (SELECT DISTINCT baseline, project_id, probe_id, event_id FROM retr UNION ALL SELECT 'full_event_log', project_id, probe_id, event_id FROM probe JOIN pev USING (project_id)) JOIN req USING (project_id, probe_id, event_id) GROUP BY ALL""",
 )
 
 
 def scored_tables(prefix: str, preds: str, with_hits: bool) -> None:
     """CTE chain <prefix>0..: requirement hits per prediction row, metrics, labels."""
-    hits = "LEFT JOIN hits h ON h.baseline = p.baseline AND h.project_id = p.project_id AND h.probe_id = p.probe_id" if with_hits else ""
-    found = "coalesce(h.n_found, 0)" if with_hits else "0"
+    hits = "LEFT JOIN hits h ON h.baseline = p.baseline AND h.project_id = p.project_id AND h.probe_id = p.probe_id" if with_hits else "LEFT JOIN subhits h ON h.row_no = p.row_no"
+    found = "coalesce(h.n_found, 0)"
     table(
         f"{prefix}0",
         f"""SELECT p.*, g.task_type, g.capabilities, g.must_include, g.must_not_include, g.entries, g.types, g.words_p, g.words_pn, g.project_id IS NOT NULL AS known,
@@ -106,7 +107,12 @@ FROM {prefix}1 s LEFT JOIN {prefix}_mi mi USING (row_no) LEFT JOIN {prefix}_mn m
     )
 
 
-scored_tables("sc", "preds", True)
+table(
+    "predlog",
+    f"""SELECT * FROM preds UNION ALL BY NAME SELECT 'full_event_log' AS baseline, project_id, probe_id, log AS prediction FROM probe JOIN (
+         SELECT project_id, string_agg({iso('ts')} || ' ' || event_id || ' ' || event_type || ': ' || content, chr(10) ORDER BY ts, ord) AS log FROM pev GROUP BY project_id) USING (project_id)""",
+)
+scored_tables("sc", "predlog", True)
 table("subrel", "SELECT s.*, 'conversation_system' AS baseline FROM subm s WHERE project_id IN (SELECT project_id FROM proj)")
 scored_tables("ss", "subm", False)
 table("ssr", "SELECT *, 'conversation_system' AS baseline FROM ss WHERE project_id IN (SELECT project_id FROM proj)")
@@ -121,15 +127,17 @@ def scored(spark, sf):
     if key not in _STAGED:
         g = gold(spark, sf)
         predictions, retrieved = D.run_predictors(RELEASE_BASELINES, g.events, g.probes, g.memories, g.memory_events)
-        _STAGED[key] = pinned(S.score_predictions(predictions, retrieved, g.probes, g.memories, g.memory_events))
+        given = S.score_predictions(predictions, retrieved, g.probes, g.memories, g.memory_events)
+        log = score_full_log(g.events, g.probes, g.memories, g.memory_events)
+        _STAGED[key] = pinned(given.unionByName(log))
     return _STAGED[key]
 
 
 def scored_submission(spark, sf):
     g = gold(spark, sf)
     rows = submission(spark, sf)
-    none = rows.select("baseline", "project_id", "probe_id", F.lit("").alias("event_id")).filter("false")
-    return S.score_predictions(rows, none, g.probes, g.memories, g.memory_events)
+    given = retrieved_ids(spark, sf, S.required_events(g.probes, g.memory_events))
+    return S.score_predictions(rows, given, g.probes, g.memories, g.memory_events)
 
 
 _M = ", ".join(f"{rnd(m, 6)} AS {m}" for m in S.METRICS)

@@ -21,7 +21,7 @@ from worktrail_queries.inputs import raw, read
 from worktrail_queries.registry import query
 from worktrail_queries.scoring_q import _MEANS
 from worktrail_queries.sqlkit import table
-from worktrail_queries.submissions import submission
+from worktrail_queries.submissions import retrieved_ids, submission
 
 
 @query("scan_events", "SELECT event_id, repo, actor, event_type, content FROM ev")
@@ -363,15 +363,15 @@ def apply_predictor(spark, sf):
 def score_many_systems(spark, sf):
     """Two submissions written as files, then read as one folder and scored together."""
     path = scratch_path(spark, "submissions")
-    rows = submission(spark, sf).select(
-        "row_no", "prediction_id", "project_id", "probe_id", "prediction", F.lit(None).cast("array<string>").alias("retrieved_memory_ids")
-    )
+    g = gold(spark, sf)
+    named = retrieved_ids(spark, sf, S.required_events(g.probes, g.memory_events)).groupBy("row_no").agg(F.collect_list("event_id").alias("retrieved_event_ids"))
+    rows = submission(spark, sf).join(named, "row_no", "left").select(
+        "row_no", "prediction_id", "project_id", "probe_id", "prediction", F.lit(None).cast("array<string>").alias("retrieved_memory_ids"), "retrieved_event_ids",
+    )
     for name, part in (("alpha", 0), ("beta 2", 1)):
         rows.filter((F.expr("row_no div 1000") % 2) == part).drop("row_no").write.json(f"{path}/{name}.jsonl")
-    g = gold(spark, sf)
     given = G.read_submissions(spark, path)
-    none = given.select("baseline", "project_id", "probe_id", F.lit("").alias("event_id")).filter("false")
-    return S.metrics_by(S.score_predictions(given, none, g.probes, g.memories, g.memory_events), "baseline")
+    return S.metrics_by(S.score_predictions(given, G.retrieved_events(given), g.probes, g.memories, g.memory_events), "baseline")
 
 
 # Annotation release ------------------------------------------------------------------------
@@ -381,31 +381,74 @@ table(
 )
 
 
+_PACK_FAULTS = {
+    "pack_content_hash_mismatch": "b = 1", "duplicate_prompt_export_pack_id": "b = 1", "duplicate_split_pack_id": "b = 2", "pack_task_count_mismatch": "b = 2", "task_count_per_pack_mismatch": "b IN (1, 2, 5)",
+    "split_missing_manifest_pack": "b = 3", "split_pack_assignment_mismatch": "b = 4 AND split <> 'test'", "task_splits_manifest_mismatch": "b = 3 OR b = 4 AND split <> 'test'",
+    "prompt_export_missing_release_pack": "b = 6", "pack_file_missing": "b = 6", "prompt_annotation_coverage_mismatch": "b IN (5, 6)", "pack_id_mismatch": "b = 8", "pack_repo_mismatch": "b = 8",
+    "prompt_export_count_mismatch": "b = 8", "pack_path_missing": "b = 9", "prompt_export_file_missing": "b = 0",
+}
+_TASK_FAULTS = {
+    "duplicate_all_task": "b = 1", "task_unknown_source_pack": "b = 5", "prompt_unknown_annotation": "b = 5", "prompt_missing_positive_event_constraints": "b = 7",
+    "prompt_missing_action_boundary_constraint": "b = 7", "task_split_field_mismatch": "b = 9 AND split <> 'train'", "prompt_pack_id_mismatch": "b = 0",
+}
+_WHOLE_FAULTS = [
+    "release_llm_generation_allowed_not_false", "release_rewrite_validation_not_required", "pack_count_mismatch", "split_task_total_mismatch", "pack_task_total_mismatch", "all_task_count_mismatch",
+    "all_tasks_not_equal_split_union", "split_task_count_mismatch", "split_references_unknown_pack", "prompt_export_llm_generation_not_false", "prompt_export_validation_not_required",
+    "prompt_summary_pack_count_mismatch", "prompt_summary_total_mismatch", "prompt_export_unknown_pack", "prompt_export_empty",
+]
+
+
 @query(
     "release_integrity",
-    """SELECT code, count(*) AS n FROM (SELECT 'pack_content_hash_mismatch' AS code FROM packb WHERE b = 1 UNION ALL SELECT 'task_count_per_pack_mismatch' FROM packb WHERE b = 2
-       UNION ALL SELECT 'split_missing_manifest_pack' FROM packb WHERE b = 3 UNION ALL SELECT 'split_pack_assignment_mismatch' FROM packb WHERE b = 4 AND split <> 'test'
-       UNION ALL SELECT 'task_unknown_source_pack' FROM task JOIN packb USING (pack_id) WHERE b = 5 UNION ALL SELECT 'task_count_per_pack_mismatch' FROM packb WHERE b = 5
-       UNION ALL SELECT 'prompt_export_missing_release_pack' FROM packb WHERE b = 6 UNION ALL SELECT 'prompt_annotation_coverage_mismatch' FROM packb WHERE b IN (5, 6)
-       UNION ALL SELECT 'prompt_missing_positive_event_constraints' FROM task JOIN packb USING (pack_id) WHERE b = 7 UNION ALL SELECT 'prompt_unknown_annotation' FROM task JOIN packb USING (pack_id) WHERE b = 5) GROUP BY code""",
+    " UNION ALL ".join(
+        [
+            *[f"SELECT '{c}' AS code, count(*) AS n FROM packb WHERE {w} HAVING count(*) > 0" for c, w in _PACK_FAULTS.items()],
+            *[f"SELECT '{c}', count(*) FROM task JOIN packb USING (pack_id) WHERE {w} HAVING count(*) > 0" for c, w in _TASK_FAULTS.items()],
+            *[f"SELECT '{c}', 1" for c in _WHOLE_FAULTS],
+        ]
+    ),
 )
 def release_integrity(spark, sf):
-    """A release with faults by the number of the repository."""
+    """A release with faults by the number of the repository, and in its totals."""
     from worktrail.operators import integrity as Q
     from worktrail.operators.annotation import release_tasks
     from worktrail_queries.annotation_q import pack_rows, prompts, staged
 
     tasks, _ = staged(spark, sf)
+    b = F.col("b")
     packs = pack_rows(spark, sf).withColumn("b", F.regexp_extract("repo", "([0-9]+)$", 1).cast("bigint") % 10)
-    files = packs.select("pack_id", F.when(F.col("b") == 1, "other").otherwise(F.col("content_hash")).alias("content_hash"))
-    declared = packs.withColumn("tasks", F.when(F.col("b") == 2, F.col("tasks") + 1).otherwise(F.col("tasks")))
-    members = packs.filter("b <> 3").select("pack_id", F.when(F.col("b") == 4, "test").otherwise(F.col("split")).alias("split"))
+    other = F.lit("other")
+    files = packs.filter("b <> 6").select(
+        "pack_id", F.when(b == 8, other).otherwise(F.col("pack_id")).alias("file_pack_id"), F.when(b == 8, other).otherwise(F.col("repo")).alias("repo"),
+        "tasks", F.when(b == 1, other).otherwise(F.col("content_hash")).alias("content_hash"),
+    )
+    declared = packs.withColumn("tasks", F.when(b == 2, F.col("tasks") + 1).otherwise(F.col("tasks"))).withColumn("path", F.when(b != 9, F.concat("pack_id", F.lit(".json"))))
+    unknown = packs.limit(1).select(F.lit("pack_unknown").alias("pack_id"))
+    members = packs.filter("b <> 3").select("pack_id", F.when(b == 4, "test").otherwise(F.col("split")).alias("split"))
+    members = members.unionByName(packs.filter("b = 2").select("pack_id", "split")).unionByName(unknown.withColumn("split", F.lit("test")))
     rows = release_tasks(tasks, packs).join(packs.select("pack_id", "b"), "pack_id")
-    rows = rows.withColumn("pack_id", F.when(F.col("b") == 5, F.concat("pack_id", F.lit("_gone"))).otherwise(F.col("pack_id")))
+    rows = rows.withColumn("pack_id", F.when(b == 5, F.concat("pack_id", F.lit("_gone"))).otherwise(F.col("pack_id"))).select("split", "pack_id", "annotation_id", "b")
+    split_tasks = rows.filter("b <> 3").withColumn("file_split", F.when(b == 9, "train").otherwise(F.col("split")))
+    all_tasks = rows.unionByName(rows.filter("b = 1"))
     exported = prompts(spark, sf).join(packs.select("pack_id", "b"), "pack_id").filter("b <> 6")
-    exported = exported.withColumn(
-        "allowed_positive_event_ids", F.when(F.col("b") == 7, F.array().cast("array<string>")).otherwise(F.col("allowed_positive_event_ids"))
+    exported = exported.withColumns(
+        {
+            "allowed_positive_event_ids": F.when(b == 7, F.array().cast("array<string>")).otherwise(F.col("allowed_positive_event_ids")),
+            "action_boundary": F.when(b != 7, F.col("action_boundary")),
+            "export_pack_id": F.when(b == 0, other).otherwise(F.col("pack_id")),
+        }
     )
-    return Q.release_issues(declared, files, members, rows, exported).groupBy("code").agg(F.count("*").alias("n"))
-
-
+    counts = packs.filter("b <> 6").select("pack_id", (F.col("tasks") + F.when(b == 8, 1).otherwise(0)).alias("prompts"), "b")
+    exports = counts.unionByName(counts.filter("b = 1")).drop("b").unionByName(unknown.withColumn("prompts", F.lit(0).cast("long")))
+    n = lambda s: F.count_if(F.col("file_split") == s)
+    manifest = split_tasks.agg((n("train") + 1).alias("train"), n("dev").alias("dev"), n("test").alias("test")).withColumns(
+        {
+            "packs": packs.agg(F.count("*") + 1).scalar(), "tasks": rows.agg(F.count("*")).scalar(),
+            "generation_allowed": F.lit(True), "validation_required": F.lit(False),
+        }
+    )
+    batch = exports.agg((F.count("*") + 1).alias("packs")).withColumns(
+        {"prompts": exported.agg(F.count("*") + 1).scalar(), "generation_performed": F.lit(True), "validation_required": F.lit(False)}
+    )
+    release = Q.Release(manifest, declared, files, members, split_tasks, all_tasks, exported, exports, batch)
+    return Q.release_issues(release).groupBy("code").agg(F.count("*").alias("n"))

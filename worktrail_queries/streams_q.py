@@ -9,6 +9,7 @@ from worktrail.session import scratch_path
 from worktrail.sources import bridge
 from worktrail.sources.raw_events import light_events
 from worktrail.streaming import streams as W
+from worktrail_queries.inputs import read
 from worktrail_queries.registry import query
 from worktrail_queries.sqlkit import COUNTS, iso
 
@@ -46,13 +47,26 @@ def stream_window_profile(spark, sf):
     return W.latest(spark, path, "repo", "window_start").select("repo", iso_seconds(F.col("window_start")).alias("window_start"), *_NAMES)
 
 
-@query("stream_prediction_dedupe", "SELECT DISTINCT 'project_' || user_id AS project_id, 'probe_' || event_type AS probe_id FROM events")
+_PART = "least(3, (day(ts) - 1) {div} 8)"
+
+
+@query(
+    "stream_prediction_dedupe",
+    f"""SELECT 'project_' || user_id AS project_id, 'probe_' || event_type AS probe_id, CAST(min({_PART.format(div='//')}) AS INTEGER) AS part, count(DISTINCT {_PART.format(div='//')}) > 1 AS came_again
+        FROM events GROUP BY ALL""",
+)
 def stream_prediction_dedupe(spark, sf):
-    """Events as prediction rows: the first per project and probe stays."""
+    """Events as prediction rows in four files, one batch each: the first per project and
+    probe stays, whatever later batches bring."""
     path = scratch_path(spark, "stream-dedupe")
-    rows = _table_stream(spark, sf).select(
+    events = read(spark, sf, "events").withColumn("part", F.expr(_PART.format(div="div")).cast("int"))
+    rows = events.select(
         F.concat(F.lit("project_"), "user_id").alias("project_id"), F.concat(F.lit("probe_"), "event_type").alias("probe_id"),
-        F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("string").alias("prediction_id"),
+        F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("string").alias("prediction_id"), "part",
     )
-    W.run_append(W.first_predictions(rows, "60 days"), path)
-    return spark.read.parquet(f"{path}/rows").select("project_id", "probe_id")
+    for part in range(4):
+        rows.filter(F.col("part") == part).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    W.run_append(W.first_predictions(stream, "400 days"), path)
+    again = rows.groupBy("project_id", "probe_id").agg((F.count_distinct("part") > 1).alias("came_again"))
+    return spark.read.parquet(f"{path}/rows").join(again, ["project_id", "probe_id"]).select("project_id", "probe_id", "part", "came_again")

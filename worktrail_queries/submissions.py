@@ -5,6 +5,7 @@ duplicate ids and empty texts all occur."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from worktrail.operators import projects as J  # noqa: F401
 from worktrail_queries.inputs import read
@@ -35,6 +36,23 @@ table(
 )
 
 
+table(
+    "subret",
+    """SELECT DISTINCT row_no, project_id, probe_id, event_id FROM (SELECT s.*, r.event_id FROM subm s JOIN req r USING (project_id, probe_id) WHERE (row_no + CAST(regexp_extract(r.event_id, '[0-9]+$') AS BIGINT)) % 3 > 0
+  UNION ALL SELECT *, 'event_gone' FROM subm WHERE row_no % 2 = 0)""",
+)
+table("subhits", "SELECT row_no, count(*) AS n_found FROM subret JOIN req USING (project_id, probe_id, event_id) GROUP BY row_no")
+
+
+def retrieved_ids(spark, sf, required: DataFrame) -> DataFrame:
+    """Events that each submitted row names: two of three required ones, and an unknown one."""
+    rows = submission(spark, sf).select("baseline", "row_no", "project_id", "probe_id")
+    number = F.regexp_extract("event_id", "[0-9]+$", 0).cast("bigint")
+    named = rows.join(required, ["project_id", "probe_id"]).filter((F.col("row_no") + number) % 3 > 0)
+    gone = rows.filter("row_no % 2 = 0").withColumn("event_id", F.lit("event_gone"))
+    return named.unionByName(gone).distinct()
+
+
 def submission(spark, sf) -> DataFrame:
     """Predictions in file order (row_no), with the layout of a submission."""
     return read(spark, sf, "conversations").selectExpr(
