@@ -108,7 +108,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from worktrail.llm.pii import pseudonymise
 
-    secret = spark.conf.get("worktrail.pii.secret", "one secret per corpus")
+    secret = spark.conf.get("spark.worktrail.pii.secret", "one secret per corpus")
     return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), secret)
 
 
