@@ -280,14 +280,61 @@ def project_record(spark, sf):
     )
 
 
+table("relb", "SELECT r.*, CAST(regexp_extract(project_id, '[0-9]+$') AS BIGINT) // 2 % 10 AS b FROM rel_projects r")
+_PROJECT_FAULTS = {
+    "split_missing_manifest_project": "b = 1", "probe_splits_manifest_mismatch": "b = 1 OR b = 6 AND split <> 'test'", "duplicate_split_project_id": "b = 3", "split_project_assignment_mismatch": "b = 6 AND split <> 'test'",
+    "probe_count_per_project_mismatch": "b IN (2, 8, 9)", "project_file_hash_missing": "b = 3", "project_file_hash_mismatch": "b = 4", "project_release_file_missing": "b = 5",
+    "project_dir_missing": "b = 0", "project_profile_id_mismatch": "b = 7", "project_verifier_not_passed": "NOT passed",
+}
+_PROBE_FAULTS = {"project_probe_split_field_mismatch": "b = 4 AND split <> 'train'", "probe_unknown_source_project": "b = 9", "duplicate_all_probe": "b = 8"}
+_RELEASE_FAULTS = [
+    "project_count_mismatch", "project_split_probe_total_mismatch", "project_split_probe_count_mismatch", "project_release_verifier_not_required",
+    "project_release_unvalidated_llm_generation", "split_references_unknown_project",
+]
+_IF_ANY = {"project_probe_total_mismatch": "b = 2", "all_project_probe_count_mismatch": "b = 8", "all_project_probes_not_equal_split_union": "b = 1"}
+
+
 @query(
     "verify_release",
-    """SELECT code, count(*) AS n FROM (SELECT code FROM split_issues UNION ALL SELECT 'project_verifier_not_passed' FROM verified WHERE NOT passed) GROUP BY code""",
+    " UNION ALL ".join(
+        [
+            *[f"SELECT '{c}' AS code, count(*) AS n FROM relb WHERE {w} HAVING count(*) > 0" for c, w in _PROJECT_FAULTS.items()],
+            *[f"SELECT '{c}', count(*) FROM relb JOIN probe USING (project_id) WHERE {w} HAVING count(*) > 0" for c, w in _PROBE_FAULTS.items()],
+            *[f"SELECT '{c}', 1" for c in _RELEASE_FAULTS],
+            *[f"SELECT '{c}', 1 FROM relb WHERE {w} HAVING count(*) > 0" for c, w in _IF_ANY.items()],
+        ]
+    ),
 )
 def verify_release(spark, sf):
-    """Split checks and the verifier gate of one release, as issue counts."""
-    gate = C.issue(verified(spark, sf).filter(~F.col("passed")), "project_verifier_not_passed", "project_id").select("project_id", "code")
-    return split_consistency(spark, sf).unionByName(gate).groupBy("code").agg(F.count("*").alias("n"))
+    """The release of all projects with faults by the number of the project, and in its totals."""
+    from worktrail.operators import release_checks as P
+
+    b = F.col("b")
+    probes = gold(spark, sf).probes.select("project_id", "probe_id")
+    made = release_projects(spark, sf).select("project_id", "split", "verifier_passed").withColumn("b", F.expr("cast(regexp_extract(project_id, '([0-9]+)$', 1) as bigint) div 2 % 10"))
+    counts = probes.groupBy("project_id").agg(F.count("*").alias("probes"))
+    made = made.join(counts, "project_id")
+    projects = made.withColumn("probes", F.when(b == 2, F.col("probes") + 1).otherwise(F.col("probes")))
+    unknown = made.limit(1).select(F.lit("project_unknown").alias("project_id"), F.lit("test").alias("split"))
+    members = made.filter("b <> 1").select("project_id", F.when(b == 6, "test").otherwise(F.col("split")).alias("split"))
+    members = members.unionByName(made.filter("b = 3").select("project_id", "split")).unionByName(unknown)
+    files = made.select("project_id", "b", F.explode(F.array(F.lit("events"), F.lit("profile"))).alias("file")).withColumn("sha256", F.sha2(F.concat("project_id", "file"), 256))
+    profile = F.col("file") == "profile"
+    listed = files.withColumn("sha256", F.when(~((b == 3) & profile), F.col("sha256"))).drop("b")
+    found = files.filter(~((b == 0) | (b == 5) & ~profile)).select(
+        "project_id", "file", F.when((b == 4) & profile, "other").otherwise(F.col("sha256")).alias("sha256"), F.when(profile, F.when(b == 7, "other").otherwise(F.col("project_id"))).alias("profile_id")
+    )
+    rows = probes.join(made.select("project_id", "split", "b"), "project_id").withColumn("project_id", F.when(b == 9, F.concat("project_id", F.lit("_gone"))).otherwise(F.col("project_id")))
+    split_probes = rows.filter("b <> 1").withColumn("file_split", F.when(b == 4, "train").otherwise(F.col("split")))
+    n = lambda s: F.count_if(F.col("file_split") == s)
+    manifest = split_probes.agg((n("train") + 1).alias("train"), n("dev").alias("dev"), n("test").alias("test")).withColumns(
+        {
+            "projects": made.agg(F.count("*") + 1).scalar(), "probes": rows.agg(F.count("*")).scalar(),
+            "verifier_required": F.lit(False), "generation_used": F.lit(True), "generation_validated": F.lit(False),
+        }
+    )
+    release = P.ProjectRelease(manifest, projects, members, listed, found, split_probes, rows.unionByName(rows.filter("b = 8")))
+    return P.project_release_issues(release).groupBy("code").agg(F.count("*").alias("n"))
 
 
 # Submission inputs --------------------------------------------------------------------------
