@@ -146,12 +146,13 @@ def _matches(a: np.ndarray, b: np.ndarray, both_ends: bool) -> list[tuple[int, i
         new[1:] = np.maximum(table[i - 1, 1:] + EDIT, table[i - 1, :-1] + np.where(b == a[i - 1], SAME, EDIT))
         table[i] = np.maximum.accumulate(new - place) + place
     i, j = (n, m) if both_ends else (int(x) for x in np.unravel_index(np.argmax(table), table.shape))
+    rows, a, b = table.tolist(), a.tolist(), b.tolist()
     out = []
     while i or j:
-        if i and j and table[i, j] == table[i - 1, j - 1] + (SAME if a[i - 1] == b[j - 1] else EDIT):
+        if i and j and rows[i][j] == rows[i - 1][j - 1] + (SAME if a[i - 1] == b[j - 1] else EDIT):
             i, j = i - 1, j - 1
             out.append((i, j))
-        elif i and table[i, j] == table[i - 1, j] + EDIT:
+        elif i and rows[i][j] == rows[i - 1][j] + EDIT:
             i -= 1
             out.append((i, -1))
         else:
@@ -161,11 +162,12 @@ def _matches(a: np.ndarray, b: np.ndarray, both_ends: bool) -> list[tuple[int, i
 
 
 def _shared_run(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether both hold the same five words in a row somewhere."""
-    if min(len(a), len(b)) < 1 - EDIT:
+    """Whether both hold the same five words in a row somewhere (never false if they do)."""
+    size = 1 - EDIT
+    if min(len(a), len(b)) < size:
         return False
-    grams = [np.lib.stride_tricks.sliding_window_view(x, 1 - EDIT) @ _ODD[: 1 - EDIT] for x in (a, b)]
-    return bool(np.isin(*grams).any())
+    grams = [sum(int(_ODD[k]) * x[k : len(x) - size + 1 + k].astype(np.int64) for k in range(size)).tolist() for x in (a, b)]
+    return not set(grams[0]).isdisjoint(grams[1])
 
 
 def _extend(a: np.ndarray, b: np.ndarray) -> np.ndarray:
