@@ -53,7 +53,6 @@ def sampled(walk: int, width: int) -> np.ndarray:
 def embed(hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray, widths: list[int]) -> Iterator[tuple[int, int, np.ndarray]]:
     """(width, repetition, key per window) of windows at ``starts``; what lies at or past
     ``stops`` or outside the width is emitted as nothing."""
-    wide = max(widths)
     for walk in range(WALKS):
         wanted = {w: sampled(walk, w) for w in widths}
         needed = {int(s) for w in widths for s in wanted[w].ravel()}
@@ -73,7 +72,7 @@ def embed(hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray, widths: lis
             np.bitwise_and(turn, np.uint64(1), out=turn)
             np.add(at, turn.view(np.int64), out=at)
         for w in widths:
-            inside = {int(s): shown[int(s)][0] if w == wide else np.where(shown[int(s)][1] < w, shown[int(s)][0], np.uint64(0)) for s in np.unique(wanted[w])}
+            inside = {int(s): np.where(shown[int(s)][1] < w, shown[int(s)][0], np.uint64(0)) for s in np.unique(wanted[w])}
             for k, row in enumerate(wanted[w]):
                 key = np.full(len(starts), _salt(walk, w, k), dtype=np.uint64)
                 for s in row:
