@@ -16,9 +16,10 @@ def brute(net, ids):
     total = 0.0
     for i, t in enumerate(ids):
         around = [ids[i + s] if 0 <= i + s < len(ids) else lm.WORDS for s in lm.AROUND]
-        hidden = np.tanh(sum(net.embed[k][a] for k, a in enumerate(around)) + net.bias)
-        first = hidden @ net.group + net.group_bias
-        second = hidden @ net.word[t // lm.GROUPS] + net.word_bias[t // lm.GROUPS]
+        x = sum(net.embed[k][a] for k, a in enumerate(around)) + net.bias
+        y = x + net.lift[t // lm.GROUPS]
+        first = (x / (1 + abs(x))) @ net.group + net.group_bias
+        second = (y / (1 + abs(y))) @ net.word + net.word_bias[t // lm.GROUPS]
         for logits, at in ((first, t // lm.GROUPS), (second, t % lm.GROUPS)):
             total += logits[at] - np.log(np.exp(logits.astype(float)).sum())
     return total

@@ -23,7 +23,7 @@ from worktrail.session import pinned
 #: Words predicted: GROUPS * GROUPS ids, of which BUCKETS stand for all rarer words.
 GROUPS, BUCKETS = 32, 24
 WORDS = GROUPS * GROUPS
-HIDDEN, ROUNDS, BATCH, RATE, SEED = 24, 2, 2048, 0.15, 5
+HIDDEN, ROUNDS, BATCH, RATE, SEED = 16, 2, 2048, 0.8, 5
 #: Places around a word that it is predicted from.
 AROUND = (-2, -1, 1, 2)
 #: Weight blobs that one task of the averaging tree adds up.
@@ -32,15 +32,16 @@ FAN = 16
 
 @dataclass
 class Net:
-    """Weights: an embedding per place around, a hidden layer, and a softmax in two steps,
-    over groups of words and over the words of a group."""
+    """Weights: an embedding per place around, a hidden layer, and a softmax in two steps: over
+    groups of words, then over the words of a group from a hidden layer that the group lifts."""
 
     embed: np.ndarray  # place x (WORDS + 1) x HIDDEN; the last word is the edge of a text
     bias: np.ndarray
     group: np.ndarray  # HIDDEN x GROUPS
     group_bias: np.ndarray
-    word: np.ndarray  # GROUPS x HIDDEN x GROUPS
-    word_bias: np.ndarray
+    lift: np.ndarray  # GROUPS x HIDDEN
+    word: np.ndarray  # HIDDEN x GROUPS
+    word_bias: np.ndarray  # GROUPS x GROUPS
 
     @classmethod
     def fresh(cls, counts: np.ndarray) -> Net:
@@ -50,7 +51,7 @@ class Net:
         share = (counts + 1.0).reshape(GROUPS, GROUPS)
         log = lambda x: np.log(x / x.sum(axis=-1, keepdims=True)).astype(np.float32)
         zero = np.zeros(HIDDEN, dtype=np.float32)
-        return cls(small(len(AROUND), WORDS + 1, HIDDEN), zero, small(HIDDEN, GROUPS), log(share.sum(axis=1)), small(GROUPS, HIDDEN, GROUPS), log(share))
+        return cls(small(len(AROUND), WORDS + 1, HIDDEN), zero, small(HIDDEN, GROUPS), log(share.sum(axis=1)), small(GROUPS, HIDDEN), small(HIDDEN, GROUPS), log(share))
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, f.name).ravel() for f in fields(self)])
@@ -64,68 +65,73 @@ class Net:
             at += size
         return Net(*out)
 
-    def _hidden(self, around: np.ndarray) -> np.ndarray:
-        total = self.embed[0][around[0]]
+    def _hidden(self, which: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hidden layers that choose the group, and the word of the given groups."""
+        total = np.take(self.embed[0], around[0], axis=0, mode="clip")
         for k in range(1, len(AROUND)):
-            total += self.embed[k][around[k]]
-        return np.tanh(total + self.bias)
+            total += np.take(self.embed[k], around[k], axis=0, mode="clip")
+        total += self.bias
+        return _squash(total), _squash(total + np.take(self.lift, which, axis=0, mode="clip"))
 
     def log_probs(self, target: np.ndarray, around: np.ndarray) -> np.ndarray:
         """log P(target | around) for each place."""
-        hidden = self._hidden(around)
-        out = np.empty(len(target))
-        which = target // GROUPS
-        rows = np.arange(len(target))
-        logits = hidden @ self.group + self.group_bias
-        out[:] = logits[rows, which] - _log_sum(logits)
-        for rows, g in _by_group(which):
-            logits = hidden[rows] @ self.word[g] + self.word_bias[g]
-            out[rows] += logits[np.arange(len(rows)), target[rows] % GROUPS] - _log_sum(logits)
-        return out
+        which, rows = target // GROUPS, np.arange(len(target))
+        first, second = self._hidden(which, around)
+        groups, words = first @ self.group + self.group_bias, second @ self.word + self.word_bias[which]
+        return groups[rows, which] - _log_sum(groups) + words[rows, target % GROUPS] - _log_sum(words)
 
     def gradient(self, target: np.ndarray, around: np.ndarray) -> Net:
         """Gradient of the mean negative log probability of a batch."""
-        n = np.float32(len(target))
-        hidden = self._hidden(around)
-        which = target // GROUPS
-        error = _softmax(hidden @ self.group + self.group_bias)
-        error[np.arange(len(target)), which] -= 1
-        error /= n
-        down = error @ self.group.T
-        word, word_bias = np.zeros_like(self.word), np.zeros_like(self.word_bias)
-        for rows, g in _by_group(which):
-            h = hidden[rows]
-            e = _softmax(h @ self.word[g] + self.word_bias[g])
-            e[np.arange(len(rows)), target[rows] % GROUPS] -= 1
-            e /= n
-            word[g], word_bias[g] = h.T @ e, e.sum(axis=0)
-            down[rows] += e @ self.word[g].T
-        down *= 1 - hidden * hidden
-        embed = np.zeros_like(self.embed)
-        for k in range(len(AROUND)):
-            order = np.argsort(around[k], kind="stable")
-            ids = around[k][order]
-            begin = np.flatnonzero(np.diff(ids, prepend=-1))
-            embed[k][ids[begin]] = np.add.reduceat(down[order], begin, axis=0)
-        return Net(embed, down.sum(axis=0), hidden.T @ error, error.sum(axis=0), word, word_bias)
-
-
-def _by_group(which: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
-    order = np.argsort(which, kind="stable")
-    ends = np.searchsorted(which[order], np.arange(GROUPS + 1))
-    for g in range(GROUPS):
-        if ends[g + 1] > ends[g]:
-            yield order[ends[g] : ends[g + 1]], g
+        which, rows = target // GROUPS, np.arange(len(target))
+        first, second = self._hidden(which, around)
+        errors = []
+        for logits, right in ((first @ self.group + self.group_bias, which), (second @ self.word + self.word_bias[which], target % GROUPS)):
+            e = _softmax(logits)
+            e[rows, right] -= 1
+            e /= np.float32(len(target))
+            errors.append(e)
+        lifted = (errors[1] @ self.word.T) * _slope(second)
+        down = (errors[0] @ self.group.T) * _slope(first) + lifted
+        embed = np.stack([_sums(around[k], down, WORDS + 1) for k in range(len(AROUND))])
+        chosen = np.zeros((GROUPS, len(target)), dtype=np.float32)
+        chosen[which, rows] = 1
+        return Net(embed, down.sum(axis=0), first.T @ errors[0], errors[0].sum(axis=0), chosen @ lifted, second.T @ errors[1], chosen @ errors[1])
+
+
+def _squash(x: np.ndarray) -> np.ndarray:
+    return x / (1 + np.abs(x))
+
+
+def _slope(y: np.ndarray) -> np.ndarray:
+    """Derivative of the squash where its value is y."""
+    left = 1 - np.abs(y)
+    return left * left
+
+
+def _sums(ids: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sum of the rows of each id."""
+    wide = rows.shape[1]
+    cells = (ids.astype(np.int64)[:, None] * wide + np.arange(wide)).ravel()
+    return np.bincount(cells, rows.ravel(), size * wide).reshape(size, wide).astype(rows.dtype)
+
+
+def _exp(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """exp(logits - top), its row sums, and top. Logits of a small net lie within a few units
+    of each other, so one top for all rows is enough; sums are kept above zero."""
+    top = float(logits.max(initial=0))
+    e = np.exp(logits - np.float32(top))
+    return e, np.maximum(e @ np.ones(e.shape[1], dtype=e.dtype), np.float32(1e-30)), top
 
 
 def _log_sum(logits: np.ndarray) -> np.ndarray:
-    top = logits.max(axis=1)
-    return top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
+    _, total, top = _exp(logits)
+    return np.log(total) + top
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
-    e = np.exp(logits - logits.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+    e, total, _ = _exp(logits)
+    e /= total[:, None]
+    return e
 
 
 def _windows(tokens: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
