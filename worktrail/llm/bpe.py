@@ -56,7 +56,10 @@ class Codec:
         merger = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         self.pieces = regex.compile(pattern, regex.V0)
         self.merged = _Merged(merger.encode_ordinary)
-        self.raw = {rank: token for token, rank in ranks.items()}
+        self.raw = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            self.raw[rank] = token
+        self.decimal = [str(i).encode() for i in range(len(self.raw))]
 
     def cut(self, text: str) -> list[str]:
         return self.pieces.findall(text)
@@ -106,7 +109,7 @@ class Digests:
 
     def add(self, ids: list[int]) -> None:
         if ids:
-            self.ids.update(b" " * (self.n > 0) + " ".join(map(str, ids)).encode())
+            self.ids.update(b" " * (self.n > 0) + b" ".join(map(self.codec.decimal.__getitem__, ids)))
             self.raw.update(self.codec.decode(ids))
             self.n += len(ids)
 
