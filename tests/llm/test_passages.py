@@ -103,3 +103,43 @@ def test_edge_cases(spark):
     got = {(r.doc_id, r.source, r.start, r.end) for r in passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(2, 1, 1, 61), (None, 1, 0, 60), (None, 1, 1, 61), (7, 6, 0, 69)}
     assert passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def brute_stretch(same):
+    """Longest run of columns, its outer ones equal, of which at least 0.8 are equal."""
+    runs = [(y - x, -x) for x in range(len(same)) for y in range(x + 1, len(same) + 1) if same[x] and same[y - 1] and 5 * sum(same[x:y]) >= 4 * (y - x)]
+    n, x = max(runs, default=(0, 0))
+    return (-x, n - x) if n >= op.LEAST_WORDS else None
+
+
+def test_stretches_are_the_longest():
+    rng = random.Random(5)
+    for _ in range(150):
+        share = rng.choice([0.75, 0.8, 0.85, 0.9])
+        same = np.array([rng.random() < share for _ in range(rng.randint(30, 120))])
+        got, best = stretches(same), brute_stretch(same.tolist())
+        assert (best in got) if best else not got
+        assert all(5 * same[x:y].sum() >= 4 * (y - x) >= 4 * op.LEAST_WORDS for x, y in got)
+
+
+@pytest.mark.parametrize("share", [0.82, 0.85, 0.9])
+def test_edited_passages_are_whole(share):
+    """Passages of 50 to 60 words with words replaced at random places, from any run of five
+    equal words in them: what is found is as long as the best of all stretches."""
+    rng = random.Random(int(100 * share))
+    cases = 0
+    while cases < 60:
+        n = rng.randint(50, 60)
+        wrong = set(rng.sample(range(n), int((1 - share) * n + 1e-9)))
+        seeds = [i for i in range(n - op.K + 1) if not wrong & set(range(i, i + op.K))]
+        if not seeds:
+            continue
+        cases += 1
+        head, seed = rng.randrange(30), rng.choice(seeds)
+        a = np.concatenate([np.arange(500, 500 + head), np.arange(n), np.arange(600, 630)])
+        b = np.concatenate([np.arange(700, 710), [800 + i if i in wrong else i for i in range(n)], np.arange(900, 940)])
+        pairs = align(a, b, np.array([(head + seed, 10 + seed)]))
+        same = np.array([i >= 0 and j >= 0 and a[i] == b[j] for i, j in pairs.tolist()])
+        found = stretches(same, pairs[:, 0] >= 0)
+        x, y = brute_stretch([i not in wrong for i in range(n)])
+        assert op.alike(a, b) and max((pairs[q - 1, 0] + 1 - pairs[p, 0] for p, q in found), default=0) >= y - x

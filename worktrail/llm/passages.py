@@ -133,9 +133,8 @@ def chains(at: np.ndarray, source: np.ndarray) -> list[list[int]]:
     return out
 
 
-def _matches(a: np.ndarray, b: np.ndarray, both_ends: bool) -> list[tuple[int, int]]:
-    """Aligned pairs (i, j), -1 for a gap, of two stretches that begin together; unless they
-    end together too, the alignment ends where its score is best."""
+def _table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Best score of aligning every two beginnings of two stretches."""
     n, m = len(a), len(b)
     table = np.zeros((n + 1, m + 1), dtype=np.int32)
     place = np.arange(m + 1, dtype=np.int32) * EDIT
@@ -145,7 +144,20 @@ def _matches(a: np.ndarray, b: np.ndarray, both_ends: bool) -> list[tuple[int, i
         new[0] = table[i - 1, 0] + EDIT
         new[1:] = np.maximum(table[i - 1, 1:] + EDIT, table[i - 1, :-1] + np.where(b == a[i - 1], SAME, EDIT))
         table[i] = np.maximum.accumulate(new - place) + place
-    i, j = (n, m) if both_ends else (int(x) for x in np.unravel_index(np.argmax(table), table.shape))
+    return table
+
+
+def _matches(a: np.ndarray, b: np.ndarray, table: np.ndarray | None = None, spare: int = 0) -> np.ndarray:
+    """Aligned pairs (i, j), -1 for a gap, of two stretches that begin together. They end
+    together too, or, with a table, at the farthest place whose score is -spare or more."""
+    if table is None:
+        table = _table(a, b)
+        i, j = len(a), len(b)
+    else:
+        far = np.add.outer(np.arange(len(a) + 1), np.arange(len(b) + 1))
+        far[table < -spare] = -1
+        top = np.argwhere(far == far.max())
+        i, j = (int(x) for x in top[np.argmax(table[top[:, 0], top[:, 1]])])
     rows, a, b = table.tolist(), a.tolist(), b.tolist()
     out = []
     while i or j:
@@ -158,38 +170,47 @@ def _matches(a: np.ndarray, b: np.ndarray, both_ends: bool) -> list[tuple[int, i
         else:
             j -= 1
             out.append((-1, j))
-    return out[::-1]
+    return np.array(out[::-1], dtype=np.int64).reshape(-1, 2)
 
 
-def _shared_run(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether both hold the same five words in a row somewhere (never false if they do)."""
-    size = 1 - EDIT
-    if min(len(a), len(b)) < size:
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two stretches share as many runs of three words as a passage must (never false
+    if they hold one): of n columns with e edits, n - 3 e - 2 begin three equal ones."""
+    if min(len(a), len(b)) < LEAST_WORDS * 4 // 5:
         return False
-    grams = [sum(int(_ODD[k]) * x[k : len(x) - size + 1 + k].astype(np.int64) for k in range(size)).tolist() for x in (a, b)]
-    return not set(grams[0]).isdisjoint(grams[1])
-
-
-def _extend(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Alignment from a common beginning: equal words first, then as far as it pays. To pay
-    for an edit, a run of more words than it costs must follow somewhere."""
-    n = min(len(a), len(b))
-    differ = np.flatnonzero(a[:n] != b[:n])
-    run = int(differ[0]) if len(differ) else n
-    out = np.stack([np.arange(run)] * 2, axis=1)
-    p, q = a[run : run + REACH], b[run : run + REACH]
-    if run < n and _shared_run(p, q):
-        rest = np.array(_matches(p, q, False), dtype=np.int64).reshape(-1, 2)
-        out = np.concatenate([out, np.where(rest >= 0, rest + run, -1)])
-    return out
+    p, q = (sum(int(_ODD[k]) * x[k : len(x) - 2 + k].astype(np.int64) for k in range(3)) for x in (a, b))
+    return int(np.isin(p, q).sum()) >= LEAST_WORDS - 3 * (LEAST_WORDS // (1 - EDIT)) - 2
+
+
+class _Side:
+    """What follows a common beginning: equal words first, then up to REACH words aligned."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        n = min(len(a), len(b))
+        differ = np.flatnonzero(a[:n] != b[:n])
+        self.run = int(differ[0]) if len(differ) else n
+        self.rest = tuple(x[self.run : self.run + REACH] for x in (a, b))
+        self.table = _table(*self.rest)
+        self.best = SAME * self.run + int(self.table.max())
+
+    def pairs(self, spare: int) -> np.ndarray:
+        """Alignment to the farthest place that ``spare`` and its own words still pay for."""
+        rest = _matches(*self.rest, self.table, spare + SAME * self.run)
+        return np.concatenate([np.stack([np.arange(self.run)] * 2, axis=1), np.where(rest >= 0, rest + self.run, -1)])
+
+
+def _gains(a: np.ndarray, b: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    same = (pairs >= 0).all(axis=1)
+    same[same] = a[pairs[same, 0]] == b[pairs[same, 1]]
+    return np.where(same, SAME, EDIT)
 
 
 def align(a: np.ndarray, b: np.ndarray, anchors: np.ndarray) -> np.ndarray:
     """Alignment (pairs of places, -1 for a gap) of two stretches through a chain of anchors:
     k-mers that both share. Stretches of one diagonal go word by word unless they differ much."""
     i, j = (int(x) for x in anchors[0])
-    back = _extend(a[:i][::-1], b[:j][::-1])[::-1]
-    out = [np.where(back >= 0, np.array([i - 1, j - 1]) - back, -1)]
+    first, back = np.array([i - 1, j - 1]), _Side(a[:i][::-1], b[:j][::-1])
+    out: list[np.ndarray] = []
 
     def straight(x: int, y: int, n: int) -> None:
         out.append(np.stack([np.arange(x, x + n), np.arange(y, y + n)], axis=1))
@@ -204,7 +225,7 @@ def align(a: np.ndarray, b: np.ndarray, anchors: np.ndarray) -> np.ndarray:
         if x >= end:
             continue
         if x > i or y > j:
-            pairs = np.array(_matches(a[i:x], b[j:y], True), dtype=np.int64).reshape(-1, 2)
+            pairs = _matches(a[i:x], b[j:y])
             out.append(np.where(pairs >= 0, pairs + np.array([i, j]), -1))
         n = end - x
         wrong = np.flatnonzero(a[x:end] != b[y : y + n])
@@ -214,34 +235,43 @@ def align(a: np.ndarray, b: np.ndarray, anchors: np.ndarray) -> np.ndarray:
             for u in (anchors[s:e, 0]).tolist():
                 v = u - int(diagonal[s])
                 if u > x:
-                    pairs = np.array(_matches(a[x:u], b[y:v], True), dtype=np.int64).reshape(-1, 2)
+                    pairs = _matches(a[x:u], b[y:v])
                     out.append(np.where(pairs >= 0, pairs + np.array([x, y]), -1))
                     x, y = u, v
                 if u + K > x:
                     straight(x, y, u + K - x)
                     x, y = u + K, v + K
         i, j = end, end - int(diagonal[s])
-    ahead = _extend(a[i:], b[j:])
-    out.append(np.where(ahead >= 0, ahead + np.array([i, j]), -1))
-    return np.concatenate(out)
-
-
-def stretches(same: np.ndarray) -> list[tuple[int, int]]:
-    """Disjoint stretches of columns with the largest scores, while they can hold a passage."""
+    ahead = _Side(a[i:], b[j:])
+    core = np.concatenate(out)
+    gain = _gains(a, b, core)
+    # Each side may spend what the best stretch up to it has gained.
+    up, total = np.cumsum(gain), int(gain.sum())
+    before = back.pairs(max(int(up.max()), total + ahead.best))[::-1]
+    after = ahead.pairs(max(int((total - up + gain).max()), total + back.best))
+    return np.concatenate([np.where(before >= 0, first - before, -1), core, np.where(after >= 0, after + np.array([i, j]), -1)])
+
+
+def stretches(same: np.ndarray, own: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Disjoint longest stretches of columns of which at least 0.8 agree, their outer ones too.
+    Their length is counted in columns, or in those that are ``own`` (hold a word of the text)."""
     out, work = [], [(0, len(same))]
-    gain = np.where(same, SAME, EDIT)
+    total = np.concatenate([[0], np.cumsum(np.where(same, SAME, EDIT))])
+    words = np.concatenate([[0], np.cumsum(np.ones(len(same), dtype=bool) if own is None else own)])
     while work:
         low, high = work.pop()
-        if high - low < LEAST_WORDS:
+        begins = low + np.flatnonzero(same[low:high])
+        if not len(begins) or words[high] - words[low] < LEAST_WORDS:
             continue
-        total = np.concatenate([[0], np.cumsum(gain[low:high])])
-        under = np.minimum.accumulate(total)
-        end = int(np.argmax(total - under))
-        begin = int(np.flatnonzero(total[: end + 1] == under[end])[-1])
-        if total[end] - under[end] <= 0:
+        # The farthest end whose sum is no lower: the best sum from an end on never rises.
+        ahead = np.maximum.accumulate(total[begins + 1][::-1])
+        ends = begins[len(begins) - 1 - np.searchsorted(ahead, total[begins])] + 1
+        k = int(np.argmax(words[ends] - words[begins]))
+        begin, end = int(begins[k]), int(ends[k])
+        if words[end] - words[begin] < LEAST_WORDS:
             continue
-        work += [(low, low + begin), (low + end, high)]
-        out.append((low + begin, low + end))
+        work += [(low, begin), (end, high)]
+        out.append((begin, end))
     return sorted(out)
 
 
@@ -360,15 +390,13 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             lists = [(batch.column(c).flatten().to_numpy(), batch.column(c).value_lengths().to_numpy().cumsum()) for c in range(4, 8)]
             for r, (k, s, lo, slo) in enumerate(zip(*keys, strict=True)):
                 at, of, a, b = (v[ends[r - 1] if r else 0 : ends[r]] for v, ends in lists)
-                if min(len(a), len(b)) < LEAST_WORDS * 4 // 5:
-                    continue  # too few words for any passage
+                if not alike(a, b):
+                    continue  # no room for a passage
                 pairs = align(a, b, np.stack([at - lo, of - slo], axis=1))
-                same = (pairs >= 0).all(axis=1)
-                same[same] = a[pairs[same, 0]] == b[pairs[same, 1]]
-                for x, y in stretches(same):
+                same = _gains(a, b, pairs) == SAME
+                for x, y in stretches(same, pairs[:, 0] >= 0):
                     i, j = (pairs[x:y, c][pairs[x:y, c] >= 0] for c in (0, 1))
-                    if len(i) >= LEAST_WORDS:
-                        rows.append((k, s, lo + int(i[0]), lo + int(i[-1]) + 1, slo + int(j[0]), slo + int(j[-1]) + 1, int(same[x:y].sum())))
+                    rows.append((k, s, lo + int(i[0]), lo + int(i[-1]) + 1, slo + int(j[0]), slo + int(j[-1]) + 1, int(same[x:y].sum())))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 7
             kinds = [batch.schema.field("key").type, batch.schema.field("source").type, *[pa.int32()] * 5]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["key", "source", "start", "end", "source_start", "source_end", "matched"])
