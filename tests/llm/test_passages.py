@@ -143,3 +143,19 @@ def test_edited_passages_are_whole(share):
         found = stretches(same, pairs[:, 0] >= 0)
         x, y = brute_stretch([i not in wrong for i in range(n)])
         assert op.alike(a, b) and max((pairs[q - 1, 0] + 1 - pairs[p, 0] for p, q in found), default=0) >= y - x
+
+
+def test_passages_of_known_lines(spark):
+    """Lines of a passage that stand singly in earlier documents don't hide the document that
+    holds them together, nor do pairs of its lines."""
+    rng = random.Random(6)
+    words = vocabulary(rng)
+    prose = lambda n: [rng.choice(words) for _ in range(n)]
+    lines = [prose(15) for _ in range(8)]
+    rows = []
+    for size in (1, 2):
+        rows += [(len(rows) + x, " ".join(prose(50) + sum(lines[x : x + size], []) + prose(50))) for x in range(len(lines) + 1 - size)]
+    n, whole = len(rows), sum(lines, [])
+    rows += [(n, " ".join(prose(30) + whole + prose(30))), (n + 1, " ".join(prose(70) + whole + prose(20))), (n + 2, " ".join(whole[20:72]))]
+    got = {(r.doc_id, r.source): (r.start, r.end) for r in passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(n + 1, n): (70, 190), (n + 2, n): (0, 52)}

@@ -2,7 +2,8 @@
 
 Seeds are k-mers of words, thinned to window minimisers, so every verbatim run of at least
 ``K + WINDOW - 1`` words shares one. A repeated seed links each of its places to the first
-place anywhere, never all places to each other. The links of two documents are put into
+place anywhere, never all places to each other; so do the longer runs that begin at it, whose
+first place may be in another document. The links of two documents are put into
 chains in order of both texts by dynamic programming with gap costs, its prefix maxima in a
 Fenwick tree. Words are fetched for the chains only; gaps and ends are aligned, and stretches
 where at least four of five aligned words agree are the passages.
@@ -24,6 +25,9 @@ K, WINDOW = 5, 10
 #: Words of a passage at least, and how far beyond its outer seeds a chain is aligned. A
 #: passage of 50 words with edits near its ends still has 40 between them.
 LEAST_WORDS, REACH = 40, 64
+#: A seed also stands for the runs of so many words that begin with it, each linked to its own
+#: first place. Every verbatim passage of 49 words or more holds a whole run of the last size.
+RUNS = (10, 20, 40)
 #: Cost of a word that a chain skips in either text, in words gained.
 GAP = 0.1
 #: Score of an aligned pair of equal words and of an edit: 0.8 similarity breaks even.
@@ -78,6 +82,22 @@ def minimisers(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner[kept], at[kept] - words.first[owner[kept]], grams[kept]
 
 
+def runs(words: Words, owner: np.ndarray, place: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per size of RUNS: 32-bit hash of the run that begins at each seed, and whether its text
+    is long enough for it."""
+    h = _lowered(words)
+    at = words.first[owner] + place
+    left = words.first[owner + 1] - at
+    out = []
+    for size in RUNS:
+        whole = left >= size
+        total = np.zeros(len(at), dtype=np.uint64)
+        for k in range(size):
+            total[whole] = (total[whole] + h[at[whole] + k]) * np.uint64(0x9E3779B97F4A7C15)
+        out.append(((mix(total + np.uint64(size)) >> np.uint64(32)).astype(np.uint32).view(np.int32), whole))
+    return out
+
+
 class Fenwick:
     """Prefix maxima over ranks, each with the item that reached it."""
 
@@ -282,15 +302,27 @@ def _identity(key: str, text: str) -> list[Column]:
     return [F.coalesce(F.col(key).cast("long"), F.xxhash64(text)).alias("id"), F.when(F.col(key).isNull(), -1 - tag).otherwise(tag).alias("tag")]
 
 
+_RUNS = [f"run{size}" for size in RUNS]
+
+
 def _seeds(rows: DataFrame) -> DataFrame:
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, words in slices(batch):
                 owner, place, h = minimisers(words)
                 who = pa.array(owner, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column(0).take(who), part.column(1).take(who), pa.array(place, pa.int32())], names=["h", "id", "tag", "pos"])
+                longer = [pa.array(x, pa.int32(), mask=~whole) for x, whole in runs(words, owner, place)]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column(0).take(who), part.column(1).take(who), pa.array(place, pa.int32()), *longer], names=["h", "id", "tag", "pos", *_RUNS])
+
+    return rows.select("id", "tag", "text").mapInArrow(tasks, "h long, id long, tag int, pos int" + "".join(f", {c} int" for c in _RUNS))
+
 
-    return rows.select("id", "tag", "text").mapInArrow(tasks, "h long, id long, tag int, pos int")
+def _anchors(hits: DataFrame, by: list[str]) -> DataFrame:
+    """Each place of a seed (or of a longer run) that repeats with its first place, if that is
+    in another document."""
+    earliest = F.min(F.struct(F.expr("tag < 0").alias("unnamed"), "id", "tag", "pos")).alias("f")
+    first = hits.groupBy(*by).agg(earliest, F.count("*").alias("n")).filter("n > 1").select(*by, F.col("f.id").alias("sid"), F.col("f.tag").alias("stag"), F.col("f.pos").alias("spos"))
+    return hits.join(first, by).filter("id != sid OR tag != stag").select("id", "tag", "sid", "stag", "pos", "spos")
 
 
 _CHAIN = "id long, tag int, sid long, stag int, at array<int>, of array<int>"
@@ -353,8 +385,9 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     words of a document that an earlier one holds too, word positions from 0, ends exclusive.
 
     At least 0.8 of the aligned words agree (``matched`` of them), in any ASCII case. Every
-    repeated seed is linked to its first document, by key and for equal keys by a hash of the
-    text, so a document may hold stretches of several sources. Passages repeated within one
+    repeated seed, and every repeated run of RUNS words from one on, is linked to its first
+    document, by key and for equal keys by a hash of the text, so a document may hold stretches
+    of several sources. Passages repeated within one
     document only don't count. Null and short texts hold none. Rows equal in key and text
     are one document; rows with a null key are told apart by their texts. Keys are integers;
     other columns are neither read nor returned.
@@ -363,10 +396,12 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("key"), *_identity(key, text), body.alias("text"))
     seeds = _seeds(rows)
-    often = seeds.groupBy("h").count().filter("count > 1").select("h")
+    often = seeds.select("h").groupBy("h").count().filter("count > 1").select("h")
     hits = pinned(seeds.join(often.hint("shuffle_hash"), "h"))
-    first = hits.groupBy("h").agg(F.min(F.struct(F.expr("tag < 0").alias("unnamed"), "id", "tag", "pos")).alias("f")).select("h", "f.id", "f.tag", "f.pos").toDF("h", "sid", "stag", "spos")
-    anchors = hits.join(first, "h").filter("id != sid OR tag != stag").select("id", "tag", "sid", "stag", "pos", "spos").distinct()
+    anchors = _anchors(hits, ["h"])
+    for c in _RUNS:  # a null run joins nothing
+        anchors = anchors.union(_anchors(hits.filter(F.col(c).isNotNull()), ["h", c]))
+    anchors = anchors.distinct()
     pair = ["id", "tag", "sid", "stag"]
     found = pinned(anchors.repartition(*pair).sortWithinPartitions(*pair, "pos", "spos").mapInArrow(_chain_tasks, _CHAIN))
     last = lambda c: F.element_at(c, -1) + K + REACH
