@@ -101,3 +101,28 @@ def test_averaging_tree(spark, parts):
     n = rng.integers(1, 9, parts).astype(float)
     blobs = spark.createDataFrame([(i, float(n[i]), bytearray((w[i] * n[i]).tobytes())) for i in range(parts)], "part int, n double, w binary")
     assert np.allclose(lm._averaged(blobs, parts), (w * n[:, None]).sum(axis=0) / n.sum())
+
+
+def test_every_rare_word_is_predicted(spark):
+    """Rare words add log(n(word) / n(bucket)) each; the query asks for them."""
+    from worktrail.llm.queries import QUERIES
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    # Only ASCII letters are lowered and only ASCII blanks part words.
+    words = {r.doc_id: (r.text or "").encode().lower().split() for r in docs.collect()}
+    known, ids, counts = lm.vocabulary(docs, "text")
+    table = {r.key: np.frombuffer(bytes(r.tokens), dtype=np.int16).tolist() for r in lm.tokens(docs, known, ids, "doc_id", "text").collect()}
+    total = Counter(w for ws in words.values() for w in ws)
+    kept = lm.WORDS - lm.BUCKETS
+    plain = {r.doc_id: r for r in score(docs).collect()}
+    out = QUERIES["op9_lm_scoring"](spark, SF)
+    assert out.columns == ["doc_id", "n_tokens", "log_prob", "mean_log_prob"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert len(got) == len(plain) and any(t >= kept for ts in table.values() for t in ts)
+    for d, ws in words.items():
+        more = sum(np.log(total[w] / counts[t]) for w, t in zip(ws, table[d], strict=True) if t >= kept)
+        assert abs(got[d].log_prob - plain[d].log_prob - more) < 1e-3 * max(1, len(ws))
+        assert abs(got[d].mean_log_prob - got[d].log_prob / max(1, len(ws))) < 1e-9 and got[d].n_tokens == len(ws)
+    same = [(1, "a b"), (1, "a b"), (None, "a c"), (None, None)]
+    rows = score(spark.createDataFrame(same, "doc_id long, text string"), every_word=True).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in rows) == [(0, 0), (0, 2), (1, 2), (1, 2)] and all(r.log_prob <= 0 for r in rows)

@@ -162,8 +162,8 @@ def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             at = to
 
 
-def vocabulary(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted hashes of the commonest words, their ids, counts per id) over all documents."""
+def word_counts(docs: DataFrame, text: str) -> DataFrame:
+    """(h, n): how often each word of the corpus occurs, by hash."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,8 +171,12 @@ def vocabulary(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, np.n
                 h, n = np.unique(words.hashes(LOWER[words.data]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
-    counts = docs.select(text).mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    counts = pinned(counts)
+    return pinned(docs.select(text).mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+
+
+def vocabulary(docs: DataFrame, text: str, counts: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted hashes of the commonest words, their ids, counts per id) over all documents."""
+    counts = word_counts(docs, text) if counts is None else counts
     kept = WORDS - BUCKETS
     top = counts.orderBy(F.desc("n"), "h").limit(kept)
     rows = [(r.h, r.n) for r in top.collect()]  # at most `kept` rows
@@ -186,23 +190,39 @@ def vocabulary(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, np.n
     return hashes[order], np.arange(len(rows), dtype=np.int16)[order], total
 
 
-def tokens(docs: DataFrame, known: np.ndarray, ids: np.ndarray, key: str, text: str) -> DataFrame:
-    """(key, tokens): 16-bit word ids of each whole text, as bytes."""
+def tokens(docs: DataFrame, known: np.ndarray, ids: np.ndarray, key: str, text: str, rare: bool = False) -> DataFrame:
+    """(key, tokens): 16-bit word ids of each whole text, as bytes; if ``rare``, also the
+    distinct words without an id of their own (rare) and how often each stands there (times)."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, words in slices(batch):
                 h = words.hashes(LOWER[words.data])
+                other = np.ones(len(h), dtype=bool)
                 out = (WORDS - BUCKETS + (h.view(np.int64) % BUCKETS)).astype(np.int16)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     hit = known[at] == h
                     out[hit] = ids[at[hit]]
+                    other = ~hit
                 raw = [out[s:e].tobytes() for s, e in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], names=["key", "tokens"])
+                columns, names = [part.column(0), pa.array(raw, pa.binary())], ["key", "tokens"]
+                if rare:
+                    own = [np.unique(h[s:e][other[s:e]].view(np.int64), return_counts=True) for s, e in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)]
+                    columns += [pa.array([u for u, _ in own], pa.list_(pa.int64())), pa.array([n.astype(np.int32) for _, n in own], pa.list_(pa.int32()))]
+                    names += ["rare", "times"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(tasks, plus(rows.select("key").schema, "tokens binary"))
+    return rows.mapInArrow(tasks, plus(rows.select("key").schema, "tokens binary" + (", rare array<long>, times array<int>" if rare else "")))
+
+
+def rare_log_probs(table: DataFrame, counts: DataFrame, totals: np.ndarray) -> DataFrame:
+    """(row, more): per row the sum of log P(word | its bucket) over its rare words."""
+    logs = F.array(*[F.lit(float(np.log(max(n, 1.0)))) for n in totals[WORDS - BUCKETS :]])
+    each = counts.select("h", (F.log("n") - F.get(logs, F.pmod("h", F.lit(BUCKETS)).cast("int"))).alias("p"))
+    rows = table.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
+    return rows.join(each, "h").groupBy("row").agg(F.sum(F.col("times") * F.col("p")).alias("more"))
 
 
 def _averaged(blobs: DataFrame, parts: int) -> np.ndarray | None:
@@ -260,16 +280,21 @@ def train(table: DataFrame, counts: np.ndarray) -> Net:
     return net
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", every_word: bool = False) -> DataFrame:
     """Per row of ``docs``: key, ``n_tokens``, ``log_prob`` (sum over its words) and
     ``mean_log_prob`` (0 for texts without words).
 
     Words are compared in any ASCII case. Null texts have no words; repeated rows train and
     score as rows each. Only key and text are read. An empty table gives an empty result.
+    With ``every_word``, a rare word's probability is its bucket's times its share of the
+    bucket in the corpus; without it, all words of a bucket count as one.
     """
     settle(docs.sparkSession)
-    known, ids, counts = vocabulary(docs, text)
-    table = pinned(tokens(docs, known, ids, key, text))
+    counted = word_counts(docs, text)
+    known, ids, counts = vocabulary(docs, text, counted)
+    table = tokens(docs, known, ids, key, text, every_word)
+    # Rows are numbered once and written, so that a row keeps its number.
+    table = pinned(table.withColumn("row", F.monotonically_increasing_id()) if every_word else table)
     net = train(table, counts)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -281,8 +306,13 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 some = slice(at, at + (1 << 15))
                 total += np.bincount(owner[some], shared.value.log_probs(ids[some], around[:, some]), portion.num_rows)
             n = np.bincount(owner, minlength=portion.num_rows)
-            columns = [portion.column("key").combine_chunks(), pa.array(n, pa.int64()), pa.array(total), pa.array(total / np.maximum(n, 1))]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "n_tokens", "log_prob", "mean_log_prob"])
-
-    out = table.mapInArrow(tasks, plus(table.select("key").schema, "n_tokens long, log_prob double, mean_log_prob double"))
+            columns = [*(portion.column(c).combine_chunks() for c in named), pa.array(n, pa.int64()), pa.array(total), pa.array(total / np.maximum(n, 1))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*named, "n_tokens", "log_prob", "mean_log_prob"])
+
+    named = ["key", "row"] if every_word else ["key"]
+    shape = plus(table.select(*named).schema, "n_tokens long, log_prob double, mean_log_prob double")
+    out = table.select(*named, "tokens").mapInArrow(tasks, shape)
+    if every_word:
+        both = F.col("log_prob") + F.coalesce("more", F.lit(0.0))
+        out = out.join(rare_log_probs(table, counted, counts), "row", "left").select("key", "n_tokens", both.alias("log_prob"), (both / F.greatest("n_tokens", F.lit(1))).alias("mean_log_prob"))
     return out.withColumnRenamed("key", key)

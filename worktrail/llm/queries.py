@@ -123,4 +123,4 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from worktrail.llm.pseudo_lm import score
 
-    return score(table(spark, sf_dir, "documents"))
+    return score(table(spark, sf_dir, "documents"), every_word=True)
