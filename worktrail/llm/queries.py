@@ -124,3 +124,76 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from worktrail.llm.pseudo_lm import score
 
     return score(table(spark, sf_dir, "documents"), every_word=True)
+
+
+#: crc32 of a list of bytes in DuckDB, bit by bit.
+CRC = (
+    "xor(list_reduce({}, lambda c, b: list_reduce(range(8), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(c, b)), 4294967295), 4294967295)"
+)
+_DECIMAL = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+OP12_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, coalesce('=' || lang, '-') AS tree,
+    sha256({" || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS leaf,
+    CASE WHEN {CRC.format(_DECIMAL)} % 3 = 0 THEN
+      sha256({" || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"))}) END AS altered
+  FROM documents
+),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n,
+    row_number() OVER (ORDER BY tree, doc_id NULLS FIRST, leaf) AS rid FROM d
+),
+nodes(tree, level, idx, n, digest) AS (
+  SELECT tree, 0, idx, n, leaf FROM p
+  UNION ALL
+  SELECT tree, level + 1, idx // 8, (any_value(n) + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY tree, level, idx // 8
+),
+subs AS (SELECT tree, max(level) AS levels, max_by(digest, level) AS subroot FROM nodes GROUP BY tree),
+tops AS (
+  SELECT subs.*, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM subs JOIN (SELECT DISTINCT tree, lang FROM p) USING (tree)
+),
+above(level, idx, n, digest) AS (
+  SELECT 0, idx, n, subroot FROM tops
+  UNION ALL
+  SELECT level + 1, idx // 8, (any_value(n) + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM above WHERE n > 1 GROUP BY level, idx // 8
+),
+top AS (SELECT max_by(digest, level) AS root, max(level) AS levels FROM above),
+own AS (
+  SELECT rid, p.tree, unnest(range(subs.levels)) AS level, p.idx FROM p JOIN subs USING (tree)
+),
+own_top AS (SELECT rid, tops.levels AS below, unnest(range((SELECT levels FROM top))) AS level, tops.idx FROM p JOIN tops USING (tree)),
+path AS (
+  SELECT rid, own.level AS step, coalesce(string_agg(x.digest, '' ORDER BY x.idx) FILTER (WHERE x.idx < own.idx // pow(8, own.level)::BIGINT), '') AS before,
+    coalesce(string_agg(x.digest, '' ORDER BY x.idx) FILTER (WHERE x.idx > own.idx // pow(8, own.level)::BIGINT), '') AS after
+  FROM own JOIN nodes x ON x.tree = own.tree AND x.level = own.level AND x.idx // 8 = own.idx // pow(8, own.level + 1)::BIGINT GROUP BY rid, own.level
+  UNION ALL
+  SELECT rid, o.below + o.level, coalesce(string_agg(x.digest, '' ORDER BY x.idx) FILTER (WHERE x.idx < o.idx // pow(8, o.level)::BIGINT), ''),
+    coalesce(string_agg(x.digest, '' ORDER BY x.idx) FILTER (WHERE x.idx > o.idx // pow(8, o.level)::BIGINT), '')
+  FROM own_top o JOIN above x ON x.level = o.level AND x.idx // 8 = o.idx // pow(8, o.level + 1)::BIGINT GROUP BY rid, o.below, o.level
+),
+folds(rid, step, digest) AS (
+  SELECT rid, 0, coalesce(altered, leaf) FROM p
+  UNION ALL
+  SELECT f.rid, f.step + 1, sha256(path.before || f.digest || path.after) FROM folds f JOIN path ON path.rid = f.rid AND path.step = f.step
+),
+proof AS (SELECT rid, sha256(string_agg(before || after, '' ORDER BY step)) AS proof_sha256 FROM path GROUP BY rid),
+folded AS (SELECT rid, max_by(digest, step) AS folded_root FROM folds GROUP BY rid)
+SELECT p.doc_id, p.leaf, subs.subroot, top.root, coalesce(proof.proof_sha256, sha256('')) AS proof_sha256, folded.folded_root, folded.folded_root = top.root AS verified
+FROM p JOIN subs USING (tree) JOIN folded USING (rid) LEFT JOIN proof USING (rid), top
+"""
+
+
+@query("op12_merkle_manifest", OP12_SQL)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from worktrail.llm.merkle import manifest, proofs, tampered
+
+    docs = tampered(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 3 == 0)
+    return proofs(manifest(docs)).withColumnRenamed("key", "doc_id")
