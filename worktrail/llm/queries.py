@@ -197,3 +197,43 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = tampered(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 3 == 0)
     return proofs(manifest(docs)).withColumnRenamed("key", "doc_id")
+
+
+_UTF8 = "list_transform(range(strlen(s)), lambda i: CAST('0x' || substr(hex(encode(s)), 2 * i + 1, 2) AS BIGINT))"
+OP13_SQL = f"""
+WITH RECURSIVE found AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents
+),
+runs AS (SELECT run, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s, count(*) AS n FROM found WHERE length(run) >= 7 GROUP BY doc_id, run),
+sums AS (SELECT run, n, {CRC.format(_UTF8)} AS h FROM runs),
+slips AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM sums),
+vocab AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slips WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+places AS (SELECT word, unnest(range(length(word))) AS p FROM vocab),
+cut AS (SELECT word, p, left(word, p) || substr(word, p + 2) AS rest FROM places),
+pairs AS (
+  SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION SELECT cut.word, vocab.word FROM cut JOIN vocab ON vocab.word = cut.rest
+  UNION SELECT vocab.word, cut.word FROM cut JOIN vocab ON vocab.word = cut.rest
+),
+ranked AS (
+  SELECT pairs.word, other, v.n AS other_n, count(*) OVER (PARTITION BY pairs.word) AS n_near, row_number() OVER (PARTITION BY pairs.word ORDER BY v.n DESC, other) AS rn
+  FROM pairs JOIN vocab v ON v.word = pairs.other
+),
+formed AS (
+  SELECT vocab.word, vocab.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * vocab.n THEN other END AS form, CASE WHEN other_n >= 10 * vocab.n THEN other_n END AS form_n
+  FROM vocab LEFT JOIN ranked ON ranked.word = vocab.word AND rn = 1
+),
+chain(word, last, step) AS (
+  SELECT word, word, 0 FROM formed
+  UNION ALL SELECT chain.word, formed.form, step + 1 FROM chain JOIN formed ON formed.word = chain.last WHERE formed.form IS NOT NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, max_by(last, step) AS root FROM chain GROUP BY word) USING (word)
+"""
+
+
+@query("op13_spelling_variants", OP13_SQL)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from worktrail.llm.spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"))
