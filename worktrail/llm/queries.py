@@ -237,3 +237,10 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from worktrail.llm.spelling import variants
 
     return variants(table(spark, sf_dir, "documents"))
+
+
+@query("op11_jaccard_join")
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from worktrail.llm.shingle_join import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents"))
