@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worktrail.llm.words import gathered
-from worktrail.operators.ordering import group_positions
+from worktrail.operators.ordering import beside, group_positions
 from worktrail.session import pinned
 
 FAN = 8
@@ -291,13 +291,11 @@ def proofs(tables: dict[str, DataFrame], sink=Digests) -> DataFrame:
     above = siblings(ranges.select("range", "tree", "n", F.col("range").alias("idx")), log, TIER)
     above = above.select("tree", "range", F.lit(1).alias("kind"), "level", F.col("sib").alias("idx"), F.lit(None).cast("long").alias("address"), "digest")
     # What all ranges of a tree share: its place among the trees, and the root (one row).
-    root = F.broadcast(top_log.groupBy().agg(F.max_by("digest", "address").alias("digest")).withColumn("forest", F.lit(TOP)))
+    root = top_log.groupBy().agg(F.max_by("digest", "address").alias("digest"))
     shared = trees.select("tree", F.lit(2).alias("kind"), F.lit(0).alias("level"), "idx", F.col("trees").alias("address"), F.col("subroot").alias("digest"))
-    shared = shared.unionAll(
-        trees.withColumn("forest", F.lit(TOP)).join(root, "forest").select("tree", F.lit(3), F.lit(0), F.lit(None).cast("long"), F.lit(None).cast("long"), "digest")
-    )
-    beside = siblings(trees.select(F.col("tree").alias("of"), F.lit(TOP).alias("tree"), F.col("trees").alias("n"), "idx"), top_log)
-    shared = shared.unionAll(beside.select("of", F.lit(4), "level", "sib", F.lit(None).cast("long"), "digest"))
+    shared = shared.unionAll(beside(trees.select("tree"), root).select("tree", F.lit(3), F.lit(0), F.lit(None).cast("long"), F.lit(None).cast("long"), "digest"))
+    around = siblings(trees.select(F.col("tree").alias("of"), F.lit(TOP).alias("tree"), F.col("trees").alias("n"), "idx"), top_log)
+    shared = shared.unionAll(around.select("of", F.lit(4), "level", "sib", F.lit(None).cast("long"), "digest"))
     shared = ranges.select("tree", "range").join(shared, "tree").select("tree", "range", "kind", "level", "idx", "address", "digest")
     stretch = inner.unionAll(above).unionAll(shared)
     return stretch.groupBy("tree", "range").cogroup(asked.groupBy("tree", "range")).applyInArrow(_extracted(sink), sink.shape)
