@@ -94,3 +94,13 @@ def test_common_tokens_change_nothing(spark, monkeypatch):
     assert got(similar_documents(docs)) == want
     monkeypatch.setattr(shingle_join, "LEAST", 10**9)
     assert got(similar_documents(docs)) == want
+
+
+def test_namesakes_are_told_apart(spark, monkeypatch):
+    """With class names of a single byte, many sets share one; the components stay the same."""
+    rng = random.Random(6)
+    texts = [family(rng, [f"f{f}w{i}" for i in range(50)], rng.randint(0, 3)) for f in range(60) for _ in range(8)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(shingle_join, "CLASS_BYTES", 1)
+    assert got(similar_documents(docs)) == brute(rows)

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from worktrail.llm import spelling
+from worktrail.llm import bitmap, spelling
 from worktrail.llm.spelling import near_pairs, one_edit, variants
 
 
@@ -102,8 +102,8 @@ def test_a_full_bitmap_loses_nothing(spark, monkeypatch):
     words = {"".join(rng.choices("abc", k=rng.randint(7, 9))) for _ in range(400)}
     vocab = spark.createDataFrame([(w, 2) for w in words], "word string, n long")
     want = sorted((a, b) for a in words for b in words if near(a, b))
-    monkeypatch.setattr(spelling, "BITMAP", 10)
-    monkeypatch.setattr(spelling, "SEGMENT", 9)
+    monkeypatch.setattr(bitmap, "BITS", 10)
+    monkeypatch.setattr(bitmap, "SEGMENT", 9)
     assert sorted((r.word, r.other) for r in near_pairs(vocab).collect()) == want
 
 

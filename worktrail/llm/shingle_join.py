@@ -9,13 +9,17 @@ meet all of them before its sets are compared:
 * order 2 is by the magnitude of the document count, order 3 by a hash alone, both after the
   tokens of one document: their prefixes are compared for the pairs that order 1 offers.
 
+A third of each set comes first: the tokens of lowest hash, in which two similar sets share a
+known number too. Only sets that share that many there with others at all go on, so few sets
+have all their tokens counted and sorted by rarity.
+
 Equal sets are one class and meet as one. Classes need their components, not all their links:
 in each bucket of the index, members outside the bucket's largest component so far are compared
 with one member of it, so a large group of near copies becomes one component in linear work.
 What still shares a bucket across components is compared pair by pair, whatever there is.
 
-Tokens that a large share of all documents hold are set apart while sets are built (their rows
-need no counting, they come last in every prefix by rarity), so no task counts a hot token.
+Tokens that a large share of all documents hold are found while sets are built; their rows need
+no counting, they come last in every prefix by rarity, so no task counts a hot token.
 """
 
 from __future__ import annotations
@@ -25,9 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from worktrail.llm.bitmap import bitmap, may_hold
 from worktrail.llm.components import components
 from worktrail.llm.words import LOWER, gathered, mix, settle, slices
 from worktrail.session import pinned
@@ -40,6 +46,8 @@ LOCAL, LEAST, GLOBAL = 64, 8, 200
 #: Pairs per index row up to which all pairs across components are compared at once.
 PAIRS = 4
 _COMMON = 1 << 40
+#: Bytes of the name of a class; two sets may share one.
+CLASS_BYTES = 8
 
 
 def _sets(words) -> Iterator[np.ndarray]:
@@ -74,110 +82,217 @@ def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=missing)
 
 
-_SETS = "key long, n long, sig binary, tokens array<long>, counts array<long>"
+def _sig(s: np.ndarray) -> bytes | None:
+    return hashlib.md5(s.tobytes()).digest() if len(s) else None
+
+
+def _class(sigs: list[bytes | None]) -> pa.Array:
+    """A 64-bit name of each set. Two sets of one name are told apart by their ``sig``."""
+    return pa.array([None if s is None else int.from_bytes(s[:CLASS_BYTES], "big", signed=True) for s in sigs], pa.int64())
+
+
+def _first(size: np.ndarray) -> np.ndarray:
+    """Tokens of lowest hash that sets of a size show first."""
+    return np.minimum(size, 2 * (size // 5 + 1))
+
+
+_DOCS = "key long, n long, sig binary, class long, tokens array<long>, counts array<long>"
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document. Only the first of equal sets in a task carries its tokens. A last
-    row (n = -1) has the tokens that many documents of some slice hold, with their counts."""
-    seen: set[bytes] = set()
+    """A row per document. A last row (n = -1) has the tokens that many documents of some slice
+    hold, with their counts."""
     common: dict[int, int] = {}
-    names = ["key", "n", "sig", "tokens", "counts"]
+    names = ["key", "n", "sig", "class", "tokens", "counts"]
     for batch in batches:
         for part, words in slices(batch):
             sets = list(_sets(words))
-            n, sigs, kept = [len(s) for s in sets], [], []
-            for s in sets:
-                sig = hashlib.md5(s.tobytes()).digest() if len(s) else None
-                new = sig is not None and sig not in seen
-                if new:
-                    seen.add(sig)
-                sigs.append(sig)
-                kept.append(s if new else None)
-            carried = [s for s in kept if s is not None]
-            if len(carried) >= LEAST:
-                token, count = np.unique(np.concatenate(carried), return_counts=True)
-                often = count >= max(LEAST, len(carried) / LOCAL)
+            sigs = [_sig(s) for s in sets]
+            distinct = list(dict(zip(sigs, sets, strict=True)).values())
+            if len(distinct) >= LEAST:
+                token, count = np.unique(np.concatenate(distinct), return_counts=True)
+                often = count >= max(LEAST, len(distinct) / LOCAL)
                 for t, c in zip(token[often].tolist(), count[often].tolist(), strict=True):
                     common[t] = common.get(t, 0) + c
-            rows = part.num_rows
-            columns = [part.column(0), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), _lists(kept), pa.nulls(rows, pa.list_(pa.int64()))]
+            none = pa.nulls(part.num_rows, pa.list_(pa.int64()))
+            columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary()), _class(sigs), none, none]
             yield pa.RecordBatch.from_arrays(columns, names=names)
     if common:
         tokens, counts = np.array(list(common), dtype=np.uint64), np.array(list(common.values()), dtype=np.int64)
-        last = [pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.binary()), _lists([tokens]), _lists([counts])]
+        last = [pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), _lists([tokens]), _lists([counts])]
         yield pa.RecordBatch.from_arrays(last, names=names)
 
 
-def _common_tokens(sets: DataFrame) -> np.ndarray:
+def _common_tokens(rows: DataFrame) -> np.ndarray:
     """Tokens of a large share of all documents, rarest first: at most GLOBAL times the mean set."""
-    docs = sets.filter("tokens IS NOT NULL AND n > 0").count()
-    found = sets.filter("n = -1").select(F.explode(F.arrays_zip("tokens", "counts")).alias("t")).groupBy("t.tokens").agg(F.sum("t.counts").alias("held"))
-    rows = found.filter(F.col("held") * GLOBAL >= docs).orderBy("held", "tokens").select("tokens").toPandas()
-    return rows["tokens"].to_numpy(dtype=np.int64)
+    docs = rows.filter("n > 0").count()
+    found = rows.filter("n = -1").select(F.explode(F.arrays_zip("tokens", "counts")).alias("t")).groupBy("t.tokens").agg(F.sum("t.counts").alias("held"))
+    listed = found.filter(F.col("held") * GLOBAL >= docs).orderBy("held", "tokens").select("tokens").toPandas()
+    return listed["tokens"].to_numpy(dtype=np.int64)
+
+
+def _place(listed: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Place of each token in a sorted array, -1 where it isn't there."""
+    if not len(listed):
+        return np.full(len(tokens), -1, dtype=np.int64)
+    at = np.minimum(np.searchsorted(listed, tokens), len(listed) - 1)
+    return np.where(listed[at] == tokens, at, -1)
+
+
+_ROWS = "h long, id long, held long"
+_ROW_NAMES = ["h", "id", "held"]
+
+
+def _showing(shared):
+    """The first tokens of each set (once a task), a row each; common ones only as a number."""
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed, _ = shared.value
+        seen: set[bytes] = set()
+        for batch in batches:
+            for _, words in slices(batch):
+                sets, names = [], []
+                for s in _sets(words):
+                    sig = _sig(s)
+                    if sig is not None and sig not in seen:
+                        seen.add(sig)
+                        sets.append(s[: int(_first(np.int64(len(s))))])
+                        names.append(sig)
+                if not sets:
+                    continue
+                name = _class(names).to_numpy()
+                token = np.concatenate(sets).view(np.int64)
+                owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                rare = _place(listed, token) < 0
+                often = np.bincount(owner[~rare], minlength=len(sets))
+                some = np.flatnonzero(often)
+                columns = [
+                    pa.array(np.concatenate([token[rare], name[some]])),
+                    pa.array(np.concatenate([name[owner[rare]], name[some]])),
+                    pa.concat_arrays([pa.nulls(int(rare.sum()), pa.int64()), pa.array(often[some].astype(np.int64))]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=_ROW_NAMES)
+
+    return tasks
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]]:
+    """Of rows sorted by token and id: (token, id, number of ids of the token), repeated rows
+    once, for whole tokens; and the rows that bring their number along."""
+    held = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
 
+    def counted(token: np.ndarray, who: np.ndarray):
+        new = np.ones(len(token), dtype=bool)
+        new[1:] = (token[1:] != token[:-1]) | (who[1:] != who[:-1])
+        token, who = token[new], who[new]
+        begins = np.ones(len(token), dtype=bool)
+        begins[1:] = token[1:] != token[:-1]
+        first = np.flatnonzero(begins)
+        return token, who, np.diff(np.append(first, len(token)))[np.cumsum(begins) - 1] if len(token) else first
+
+    known = None
+    for table in gathered(batches):
+        bare = table.column("held").combine_chunks().is_null()
+        known = table.filter(pc.invert(bare))
+        table = table.filter(bare)
+        token = np.concatenate([held[0], table.column("h").to_numpy()])
+        who = np.concatenate([held[1], table.column("id").to_numpy()])
+        cut = int(np.searchsorted(token, token[-1])) if len(token) else 0
+        yield *counted(token[:cut], who[:cut]), known
+        held = token[cut:], who[cut:]
+    if known is not None:
+        yield *counted(*held), known.slice(0, 0)
+
+
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, held): how many of a set's tokens other sets hold too, in parts."""
+    for _, who, df, known in _runs(batches):
+        ids, many = np.unique(who[df > 1], return_counts=True)
+        columns = [pa.concat_arrays([pa.array(ids, pa.int64()), *known.column("id").chunks]), pa.concat_arrays([pa.array(many, pa.int64()), *known.column("held").chunks])]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "held"])
+
+
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, id, held) of tokens that two sets or more hold."""
+    for token, who, df, known in _runs(batches):
+        many = df > 1
+        yield pa.RecordBatch.from_arrays([pa.array(token[many]), pa.array(who[many]), pa.array(df[many].astype(np.int64))], names=_ROW_NAMES)
+        yield from known.select(_ROW_NAMES).to_batches()
 
-def _flat(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(row id, token) of the lists of a table."""
-    lists = table.column("tokens").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    sizes = np.diff(lists.offsets.to_numpy())
-    return np.repeat(table.column("rid").to_numpy(), sizes), lists.flatten().to_numpy()
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows of a token together and sorted; those that bring their number along lie anywhere."""
+    return rows.repartition(F.when(F.col("held").isNull(), F.col("h")).otherwise(F.col("id"))).sortWithinPartitions("h", "id")
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token: those whose token has two or more, with their number."""
-    held = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
 
-    def counted(token: np.ndarray, rid: np.ndarray) -> pa.RecordBatch:
-        new = np.ones(len(token), dtype=bool)
-        new[1:] = token[1:] != token[:-1]
-        begin = np.flatnonzero(new)
-        df = np.diff(np.append(begin, len(token)))[np.cumsum(new) - 1]
-        many = df > 1
-        return pa.RecordBatch.from_arrays([pa.array(rid[many]), pa.array(df[many].astype(np.int64)), pa.array(token[many])], names=["rid", "df", "h"])
+def _whole_sets(held):
+    """(sig, tokens) of sets whose class a bitmap may hold, once a task."""
 
-    for table in gathered(batches):
-        token = np.concatenate([held[0], table.column(0).to_numpy()])
-        rid = np.concatenate([held[1], table.column(1).to_numpy()])
-        cut = int(np.searchsorted(token, token[-1]))
-        yield counted(token[:cut], rid[:cut])
-        held = token[cut:], rid[cut:]
-    if len(held[0]):
-        yield counted(*held)
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
+        seen: set[bytes] = set()
+        for batch in batches:
+            for _, words in slices(batch):
+                sets = [(sig, s) for s in _sets(words) if (sig := _sig(s)) is not None]
+                if not sets:
+                    continue
+                wanted = may_hold(bits, _class([sig for sig, _ in sets]).to_numpy().view(np.uint64))
+                kept = []
+                for ok, (sig, s) in zip(wanted.tolist(), sets, strict=True):
+                    if ok and sig not in seen:
+                        seen.add(sig)
+                        kept.append((sig, s))
+                if kept:
+                    yield pa.RecordBatch.from_arrays([pa.array([sig for sig, _ in kept], pa.binary()), _lists([s for _, s in kept])], names=["sig", "tokens"])
+
+    return tasks
+
+
+def _exploded(shared):
+    """(h, id, held) of whole sets; a common token brings its place in the order by rarity."""
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed, rank = shared.value
+        for batch in batches:
+            lists = batch.column(1)
+            token, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            at = _place(listed, token)
+            number = rank[at] + _COMMON if len(listed) else at
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(number, mask=at < 0)], names=_ROW_NAMES)
+
+    return tasks
 
 
 #: Tokens of a set of n that every set similar enough must share in part, in any order.
-_PREFIX = "n - (4 * n + 4) div 5 + 1"
-_MEMBERS = "rid long, n long, at long, tokens array<long>, first array<long>, second array<long>, third array<long>"
+_PREFIX = "n div 5 + 1"
+_MEMBERS = "rid long, n long, tokens array<long>, marks binary, first array<long>"
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The tokens that others share, sorted, and what the prefixes of three orders hold of
-    them. Tokens of one document come first in every order; there are ``at`` of them."""
-    names = ["rid", "n", "at", "tokens", "first", "second", "third"]
+    """Per set: the tokens that others share, sorted; what its prefixes hold of them by order 1
+    (``first``), 2 and 3 (``marks``). Tokens of one set come first in every order."""
     for batch in batches:
-        rid, n = batch.column(0), batch.column(1).to_numpy()
+        n = batch.column(1).to_numpy()
         lists = batch.column(2)
         ends = lists.offsets.to_numpy()
         flat = lists.flatten()
         df, h = flat.field(0).to_numpy(), flat.field(1).to_numpy()
         ends = ends - ends[0]
-        out: list[list] = [[], [], [], []]
-        alone = []
+        tokens, marks, first = [], [], []
         for k in range(len(n)):
             d, t = df[ends[k] : ends[k + 1]], h[ends[k] : ends[k + 1]]
+            order = np.argsort(t, kind="stable")
+            d, t = d[order], t[order]
             size = int(n[k])
-            alone.append(size - len(t))
-            take = size - (4 * size + 4) // 5 + 1 - alone[-1]
+            take = size // 5 + 1 - (size - len(t))
             u = t.view(np.uint64)
-            by_hash = mix(u + np.uint64(0x632BE59BD9B4E019))
-            magnitude = np.frexp(d.astype(np.float64))[1]
-            out[0].append(np.sort(t))
-            out[1].append(t[np.lexsort((t, d))[:take]])
-            out[2].append(np.sort(t[np.lexsort((mix(u ^ np.uint64(0xD1B54A32D192ED03)), magnitude))[:take]]))
-            out[3].append(np.sort(t[np.argsort(by_hash, kind="stable")[:take]]))
-        yield pa.RecordBatch.from_arrays([rid, batch.column(1), pa.array(alone, pa.int64()), *(_lists([x.view(np.uint64) for x in o]) for o in out)], names=names)
+            mark = np.zeros(len(t), dtype=np.uint8)
+            mark[np.lexsort((mix(u ^ np.uint64(0xD1B54A32D192ED03)), np.frexp(d.astype(np.float64))[1]))[:take]] |= 1
+            mark[np.argsort(mix(u + np.uint64(0x632BE59BD9B4E019)), kind="stable")[:take]] |= 2
+            tokens.append(u)
+            marks.append(mark.tobytes())
+            first.append(u[np.lexsort((t, d))[:take]])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(tokens), pa.array(marks, pa.binary()), _lists(first)], names=["rid", "n", "tokens", "marks", "first"])
 
 
 def _meet(x: np.ndarray, y: np.ndarray) -> int:
@@ -186,74 +301,64 @@ def _meet(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def _arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
-
-
-def _under_all_orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose prefixes meet under orders 2 and 3 as well."""
-    for batch in batches:
-        (x2, i2), (x3, i3), (y2, j2), (y3, j3) = (_arrays(batch.column(k)) for k in range(2, 6))
-        keep = [
-            _meet(x2[i2[k] : i2[k + 1]], y2[j2[k] : j2[k + 1]]) > 0 and _meet(x3[i3[k] : i3[k + 1]], y3[j3[k] : j3[k + 1]]) > 0 for k in range(batch.num_rows)
-        ]
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose whole sets are similar enough: 100 * both >= 80 * either."""
+    """Pairs whose prefixes meet under orders 2 and 3 too, and whose whole sets then are similar
+    enough: 100 * both >= 80 * either."""
     for batch in batches:
-        sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-        (x, i), (y, j) = (_arrays(batch.column(k)) for k in (4, 5))
-        both = np.array([_meet(x[i[k] : i[k + 1]], y[j[k] : j[k + 1]]) for k in range(batch.num_rows)], dtype=np.int64)
-        yield batch.select([0, 1]).filter(pa.array(9 * both >= 4 * sizes, pa.bool_()))
-
+        sizes = (batch.column("x_n").to_numpy() + batch.column("y_n").to_numpy()).tolist()
+        sides = []
+        for side in "xy":
+            lists = batch.column(f"{side}_tokens")
+            sides.append((lists.flatten().to_numpy(), (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist(), batch.column(f"{side}_marks")))
+        (x, i, x_marks), (y, j, y_marks) = sides
+        keep = []
+        for k, size in enumerate(sizes):
+            a, b = x[i[k] : i[k + 1]], y[j[k] : j[k + 1]]
+            am, bm = (np.frombuffer(m[k].as_buffer(), dtype=np.uint8) for m in (x_marks, y_marks))
+            passed = all(_meet(a[(am & order) > 0], b[(bm & order) > 0]) for order in (1, 2))
+            keep.append(passed and 9 * _meet(a, b) >= 4 * size)
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-def _sided(pairs: DataFrame, members: DataFrame, columns: list[str], test) -> DataFrame:
-    """Pairs (a, b) that pass ``test``, which sees these columns of both sides."""
-    left = members.select(F.col("rid").alias("a"), *[F.col(c).alias(f"x_{c}") for c in columns])
-    right = members.select(F.col("rid").alias("b"), *[F.col(c).alias(f"y_{c}") for c in columns])
-    both = pairs.join(left, "a").join(right, "b")
-    return both.select("a", "b", *([f"{s}_{c}" for c in columns for s in "xy"] if "n" in columns else [f"{s}_{c}" for s in "xy" for c in columns])).mapInArrow(test, "a long, b long")
 
+def _verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) that are similar. Both joins read one shuffle of the members."""
+    sets = members.select("rid", "n", "tokens", "marks")
+    left = pairs.join(sets, pairs["a"] == sets["rid"]).select("a", "b", *[F.col(c).alias(f"x_{c}") for c in ("n", "tokens", "marks")])
+    both = left.join(sets, left["b"] == sets["rid"]).select(*left.columns, *[F.col(c).alias(f"y_{c}") for c in ("n", "tokens", "marks")])
+    return both.mapInArrow(_similar, "a long, b long")
 
-#: Two rows of a bucket can still be similar enough, by their sizes and their token's places.
-_CAN_MEET = (
-    "5 * least({x}.n, {y}.n) >= 4 * greatest({x}.n, {y}.n) AND "
-    "9 * (least({x}.pos, {y}.pos) + 1 + least({x}.n - {x}.pos, {y}.n - {y}.pos) - 1) >= 4 * ({x}.n + {y}.n)"
-)
 
-
-def _verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    passed = _sided(pairs, members, ["second", "third"], _under_all_orders)
-    return _sided(passed, members, ["n", "tokens"], _similar)
+#: Two sets of a bucket can still be similar enough, by their sizes.
+_CAN_MEET = "5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)"
 
 
 def _links(members: DataFrame) -> DataFrame | None:
     """Links (a, b) of members that connect exactly what all similar pairs connect."""
-    index = pinned(members.select("rid", "n", "at", F.posexplode("first").alias("i", "h")).select("h", "rid", "n", (F.col("at") + F.col("i")).alias("pos")))
+    index = pinned(members.select(F.explode("first").alias("h"), "rid", "n"))
+    rows = index.count()
     tested = links = roots = None
-    turn = 0
+    grew, turn = True, 0
     while True:
         now = index.withColumn("root", F.col("rid")) if roots is None else index.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
         order = F.col("rid") if turn == 0 else F.xxhash64("rid", F.lit(turn))
-        parts = now.groupBy("h", "root").agg(F.count("*").alias("held"), F.min(F.struct(order.alias("o"), "rid", "n", "pos")).alias("head"))
+        parts = now.groupBy("h", "root").agg(F.count("*").alias("held"), F.min(F.struct(order.alias("o"), "rid", "n")).alias("head"))
         lead = F.max(F.struct("held", (-F.col("root")).alias("low"), "root", "head")).alias("lead")
         buckets = parts.groupBy("h").agg(lead, F.count("*").alias("parts"), F.sum("held").alias("all"), F.sum(F.col("held") * F.col("held")).alias("same"))
-        open_ = pinned(buckets.filter("parts > 1").select("h", "lead.root", "lead.head", (F.col("all") * F.col("all") - F.col("same")).alias("twice")))
-        size = open_.agg(F.sum("twice"), F.count("*")).first()
-        if not size[1]:
+        split = pinned(buckets.filter("parts > 1").select("h", "lead.root", "lead.head", (F.col("all") * F.col("all") - F.col("same")).alias("twice")))
+        left_over, open_buckets = split.agg(F.sum("twice"), F.count("*")).first()
+        if not open_buckets:
             return links
-        last = size[0] <= 2 * PAIRS * index.count() or (turn > 0 and not grew)
+        last = left_over <= 2 * PAIRS * rows or not grew
         if last:
-            left = now.join(open_.select("h"), "h", "left_semi")
-            met = left.alias("x").join(left.alias("y"), F.expr(f"x.h = y.h AND x.rid < y.rid AND x.root != y.root AND {_CAN_MEET.format(x='x', y='y')}"))
-            pairs = met.selectExpr("x.rid AS a", "y.rid AS b")
+            kept = now.join(split.select("h"), "h", "left_semi")
+            met = kept.alias("x").join(kept.alias("y"), F.expr(f"x.h = y.h AND x.rid < y.rid AND x.root != y.root AND {_CAN_MEET}"))
+            pairs = met.selectExpr("x.rid AS a", "y.rid AS b").distinct()
         else:
-            heads = open_.select("h", F.col("root").alias("lead"), F.col("head").alias("y"))
-            met = now.alias("x").join(heads, "h").filter(F.expr(f"root != lead AND {_CAN_MEET.format(x='x', y='y')}"))
-            pairs = met.select(F.least("rid", "y.rid").alias("a"), F.greatest("rid", "y.rid").alias("b"))
-        pairs = pairs.distinct()
+            heads = split.select("h", F.col("root").alias("lead"), F.col("head").alias("y"))
+            met = now.alias("x").join(heads, "h").filter(F.expr(f"root != lead AND {_CAN_MEET}")).select(F.col("rid").alias("x"), F.col("y.rid").alias("y"))
+            # Of a member's leaders, the one that it shares most buckets with.
+            often = met.groupBy("x", "y").count().groupBy("x").agg(F.max(F.struct("count", (-F.col("y")).alias("low"), "y")).alias("m"))
+            pairs = often.select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = pinned(pairs)
@@ -268,6 +373,19 @@ def _links(members: DataFrame) -> DataFrame | None:
         turn += 1
 
 
+def _live(classes: DataFrame, docs: DataFrame, shared) -> DataFrame:
+    """Classes whose first tokens others share to the extent that a similar set must; so
+    must those that share their 64-bit name."""
+    shown = docs.mapInArrow(_showing(shared), _ROWS)
+    tally = _spread(shown).mapInArrow(_tallied, "id long, held long").groupBy("id").agg(F.sum("held").alias("held"))
+    names = classes.groupBy("class").agg(F.count("*").alias("namesakes"))
+    least = "(4 * n + 4) div 5"
+    first = f"least({least}, 2 * ({least} div 5 + 1))"
+    needed = F.expr(f"{first} - ({least} div 5 + 1) + 1")
+    every = classes.join(names, "class").join(tally.withColumnRenamed("id", "class"), "class", "left")
+    return every.filter((F.coalesce("held", F.lit(0)) >= needed) | (F.col("namesakes") > 1)).select("rid", "sig", "class", "n")
+
+
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: key, ``n_shingles`` (distinct shingles of WORDS words; a shorter text
     is one) and ``component_id``, the smallest key that links of Jaccard 0.8 or more reach.
@@ -277,37 +395,23 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
     texts. Rows that repeat a key stay separate rows; a null key names no component unless all
     keys in it are null. Only key and text are read; empty tables give no rows.
     """
-    settle(docs.sparkSession)
-    read = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(_documents, _SETS)
-    sets = pinned(read.withColumn("rid", F.monotonically_increasing_id()))
-    classes = sets.filter("n > 0").groupBy("sig").agg(
-        F.min("key").alias("low"), F.min("n").alias("n"), F.min(F.struct(F.col("tokens").isNull().alias("bare"), "rid"))["rid"].alias("rid")
-    )
-    classes = pinned(classes)
-    common = _common_tokens(sets)
+    spark = docs.sparkSession
+    settle(spark)
+    read = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    rows = pinned(read.mapInArrow(_documents, _DOCS))
+    # Numbered as they are written, so the numbers stay.
+    classes = rows.filter("n > 0").groupBy("sig").agg(F.min("key").alias("low"), F.min("n").alias("n"), F.min("class").alias("class"))
+    classes = pinned(classes.withColumn("rid", F.monotonically_increasing_id()))
+    common = _common_tokens(rows)
     rank = np.argsort(common)
-    shared = docs.sparkSession.sparkContext.broadcast((common[rank], rank))
-
-    def split(want_common: bool):
-        def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            listed, place = shared.value
-            for table in gathered(batches, 1 << 10):
-                rid, token = _flat(table)
-                at = np.minimum(np.searchsorted(listed, token), max(0, len(listed) - 1))
-                known = listed[at] == token if len(listed) else np.zeros(len(token), dtype=bool)
-                if want_common:
-                    yield pa.RecordBatch.from_arrays([pa.array(rid[known]), pa.array(place[at[known]] + _COMMON if known.any() else np.empty(0, dtype=np.int64)), pa.array(token[known])], names=["rid", "df", "h"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(token[~known]), pa.array(rid[~known])], names=["h", "rid"])
-
-        return tasks
-
-    carried = sets.filter("tokens IS NOT NULL AND n > 0").select("rid", "tokens")
-    rare = carried.mapInArrow(split(False), "h long, rid long").repartition("h").sortWithinPartitions("h").mapInArrow(_shared, "rid long, df long, h long")
-    rows = rare.unionAll(carried.mapInArrow(split(True), "rid long, df long, h long")) if len(common) else rare
-    lists = rows.groupBy("rid").agg(F.collect_list(F.struct("df", "h")).alias("t"))
-    live = lists.join(classes.select("rid", "n"), "rid").filter(f"n - size(t) < {_PREFIX}")
-    members = pinned(live.select("rid", "n", "t").mapInArrow(_prefixes, _MEMBERS))
+    shared = spark.sparkContext.broadcast((common[rank], rank))
+    live = pinned(_live(classes, read, shared))
+    held = spark.sparkContext.broadcast(bitmap(live, "class"))
+    whole = read.mapInArrow(_whole_sets(held), "sig binary, tokens array<long>").join(live.select("sig", "rid").hint("shuffle_hash"), "sig").select("rid", "tokens")
+    ranked = _spread(whole.mapInArrow(_exploded(shared), _ROWS)).mapInArrow(_ranked, _ROWS)
+    lists = ranked.groupBy("id").agg(F.collect_set(F.struct(F.col("held").alias("df"), "h")).alias("t")).withColumnRenamed("id", "rid")
+    close = lists.join(live.select("rid", "n"), "rid").filter(f"n - size(t) < {_PREFIX}")
+    members = pinned(close.select("rid", "n", "t").mapInArrow(_prefixes, _MEMBERS))
     links = _links(members)
     named = classes.select("sig", "low", "rid")
     if links is None:
@@ -317,5 +421,5 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
         named = pinned(named.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid")))
         lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
         named = named.join(lowest, "root")
-    whole = sets.filter("n >= 0").select("key", "n", "sig").join(named.select("sig", "component_id"), "sig", "left")
-    return whole.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
+    every = rows.filter("n >= 0").select("key", "n", "sig").join(named.select("sig", "component_id"), "sig", "left")
+    return every.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("component_id")).alias("component_id"))

@@ -21,12 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from worktrail.llm.bitmap import bitmap, may_hold
 from worktrail.llm.words import buffers, gathered, mix, settle
 from worktrail.session import pinned
 
 SYMBOLS = 8
-#: Bits of the bitmap over the reduced vocabulary, in segments of 2 ** SEGMENT bits.
-BITMAP, SEGMENT = 27, 20
 MIN_LETTERS, MIN_COUNT, DOMINANCE = 7, 2, 10
 #: One in so many runs of a document loses a letter.
 SLIP = 31
@@ -184,30 +183,11 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_arrays([pa.array(keys.view(np.int64)), table.column("word"), table.column("n")], names=["key", "word", "n"]).to_batches()
 
 
-def _bitmap(keyed: DataFrame) -> np.ndarray:
-    """The reduced vocabulary as 2 ** BITMAP bits, whatever its size."""
-
-    def bits(table: pa.Table) -> pa.Table:
-        low = table.column("low").to_numpy()
-        held = np.zeros(1 << SEGMENT, dtype=bool)
-        held[low] = True
-        return pa.table({"segment": table.column("segment").slice(0, 1), "bits": pa.array([np.packbits(held).tobytes()], pa.binary())})
-
-    places = keyed.select(F.shiftrightunsigned("key", 64 - BITMAP).alias("place")).distinct()
-    split = places.select(F.shiftright("place", SEGMENT).alias("segment"), F.col("place").bitwiseAND((1 << SEGMENT) - 1).alias("low"))
-    # A row of fixed size for each segment: 2 ** (BITMAP - 3) bytes in all.
-    out = np.zeros(1 << (BITMAP - 3), dtype=np.uint8)
-    wide = 1 << (SEGMENT - 3)
-    for row in split.groupBy("segment").applyInArrow(bits, "segment long, bits binary").toLocalIterator():
-        out[row.segment * wide : (row.segment + 1) * wide] = np.frombuffer(row.bits, dtype=np.uint8)
-    return out
-
-
 def near_pairs(vocab: DataFrame) -> DataFrame:
     """(word, n, other, other_n): each word with each that differs from it by exactly one
     inserted, deleted or replaced letter; both directions. ``vocab``: (word, n), words distinct."""
     keyed = pinned(vocab.select("word", "n").mapInArrow(_own, _KEYED))
-    shared = vocab.sparkSession.sparkContext.broadcast(_bitmap(keyed))
+    shared = vocab.sparkSession.sparkContext.broadcast(bitmap(keyed, "key"))
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
@@ -215,9 +195,7 @@ def near_pairs(vocab: DataFrame) -> DataFrame:
             words = table.column("word").combine_chunks()
             for rows, symbols in _by_length(words):
                 keys = _neighbourhood(symbols)
-                place = keys >> np.uint64(64 - BITMAP)
-                hit = (held[(place >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8)) & 1
-                who, at = np.nonzero(hit)
+                who, at = np.nonzero(may_hold(held, keys))
                 found = keys[who, at]
                 order = np.lexsort((found, who))
                 who, found = who[order], found[order]
