@@ -348,11 +348,11 @@ def test_predictor_gets_all_events_of_its_project(spark):
         apply_predictor(lambda asked, stream: [("other", "", [])], events, probes).collect()
 
 
-def test_full_log_flags_equal_those_of_the_joined_text(spark, monkeypatch):
-    from worktrail.operators import full_log
+def test_full_log_flags_equal_those_of_the_joined_text(spark):
+    """Phrases within and across lines, with ends inside longer words, repeated words, refusals
+    before and behind; also in a project with one line and in one without a refusal."""
+    from worktrail.operators import full_log, predictors
 
-    monkeypatch.setattr(full_log, "SEGMENT", 5)
-    monkeypatch.setattr(full_log, "OVERLAP", 4)
     random.seed(5)
     vocabulary = ["merge", "ci", "wait", "never", "not", "review", "label", "default", "emergency", "stored"]
     events = []
@@ -361,10 +361,10 @@ def test_full_log_flags_equal_those_of_the_joined_text(spark, monkeypatch):
             content = " ".join(random.choice(vocabulary[: 4 if i % 9 else 10]) for _ in range(random.randrange(4)))
             events.append((p, T0 + timedelta(minutes=i), i, f"e{i}", "kind", content, ["a"]))
     ev = spark.createDataFrame(events, "project_id string, ts timestamp, ord long, event_id string, event_type string, content string, artifacts array<string>")
-    asked = ["merge ci", "wait", "never merge", "label default emergency", "kind merge", "i wai", "stored", "", "review " * 3, "e3 kind ci wait"]
+    asked = ["merge ci", "wait", "never merge", "label default emergency", "kind merge", "i wai", "stored", "", "review " * 3, "e3 kind ci wait", "erge c", "rge wai", "ait", "t", "do not", "never never", "ci wait merge never", "w wait", "not stored default review label ci"]
     reqs = spark.createDataFrame([(p, r) for p in ("p1", "p2") for r in asked], "project_id string, requirement string")
     got = {(r.project_id, r.requirement): (r.matched, r.violated) for r in full_log.requirement_flags(ev, reqs).collect()}
-    logs = full_log.full_log(ev).groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("log"))
+    logs = predictors.full_log(ev).groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("log"))
     whole = reqs.join(logs, "project_id").withColumn("t", text.tokens(F.col("log"))).withColumn("n", F.array_join("t", " "))
     want = whole.select("project_id", "requirement", text.requirement_matched(F.col("requirement"), F.col("t"), F.col("n")).alias("m"), text.must_not_violated(F.col("requirement"), F.col("t"), F.col("n")).alias("v"))
     assert got == {(r.project_id, r.requirement): (r.m, r.v) for r in want.collect()}

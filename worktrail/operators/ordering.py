@@ -23,23 +23,29 @@ def group_positions(df: DataFrame, keys: list[str], order: list[str]) -> DataFra
 
     ``order`` has to be unique inside a group.
     """
-    ranged = pinned(df.repartitionByRange(*keys, *order).withColumn("range_id", F.spark_partition_id()))
-    sizes = ranged.groupBy(*keys, "range_id").agg(F.count("*").alias("range_rows"))
+    return group_offsets(df, keys, order, F.lit(1)).withColumnsRenamed({"offset": "pos", "group_total": "group_rows"})
+
+
+def group_offsets(df: DataFrame, keys: list[str], order: list[str], weight: Column) -> DataFrame:
+    """Adds offset (sum of ``weight`` over the rows before, in the group's order) and
+    group_total, by ranges as group_positions does."""
+    ranged = pinned(df.withColumn("_weight", weight.cast("long")).repartitionByRange(*keys, *order).withColumn("range_id", F.spark_partition_id()))
+    sizes = ranged.groupBy(*keys, "range_id").agg(F.sum("_weight").alias("range_sum"))
     # One row per group and range: at most groups + ranges rows in all.
     before = W.partitionBy(*keys).orderBy("range_id").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*keys)
     offsets = sizes.select(
         *keys,
         "range_id",
-        F.coalesce(F.sum("range_rows").over(before), F.lit(0)).alias("offset"),
-        F.sum("range_rows").over(whole).alias("group_rows"),
+        F.coalesce(F.sum("range_sum").over(before), F.lit(0)).alias("_before"),
+        F.sum("range_sum").over(whole).alias("group_total"),
     )
-    inside = W.partitionBy(*keys, "range_id").orderBy(*order)
+    inside = W.partitionBy(*keys, "range_id").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
-        ranged.withColumn("place", F.row_number().over(inside) - 1)
+        ranged.withColumn("_inside", F.sum("_weight").over(inside) - F.col("_weight"))
         .join(offsets, [*keys, "range_id"])
-        .withColumn("pos", F.col("place") + F.col("offset"))
-        .drop("place", "offset", "range_id")
+        .withColumn("offset", F.col("_inside") + F.col("_before"))
+        .drop("_inside", "_before", "_weight", "range_id")
     )
 
 

@@ -83,6 +83,13 @@ def full_log(events: DataFrame) -> DataFrame:
     return placed.select("project_id", "event_id", "pos").join(lines, ["project_id", "event_id"])
 
 
+def full_log_answers(events: DataFrame, probes: DataFrame) -> DataFrame:
+    """A row without text per probe of a project with events: its answer is the whole log,
+    which full_log() has as lines and full_log.score_release() scores where it is."""
+    logged = probes.join(events.select("project_id").distinct(), "project_id", "left_semi")
+    return _prediction(logged, "full_event_log", F.lit(None).cast("string"))
+
+
 def from_retrieval(hits: DataFrame, events: DataFrame, baseline: str, head: str, line: Column) -> tuple[DataFrame, DataFrame]:
     """Prediction text out of the k retrieved events of each probe, and their ids."""
     rows = hits.join(events, ["project_id", "event_id"]).withColumn("line", line)
@@ -215,6 +222,7 @@ def run_predictors(
     makers = {
         "no_memory": lambda: (no_memory(probes), None),
         "raw_rag": lambda: raw_rag(events, probes, k),
+        "full_event_log": lambda: (full_log_answers(events, probes), None),
         "temporal_raw_rag": lambda: temporal_rag(events, probes, k),
         "oracle_policy_graph": lambda: oracle_graph(probes, memories, memory_events),
     }

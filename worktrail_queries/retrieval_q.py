@@ -180,7 +180,7 @@ def predict_event_profile(spark, sf):
     return predictions.select("baseline", "project_id", "probe_id", "prediction")
 
 
-RELEASE_BASELINES = ["no_memory", "raw_rag", "temporal_raw_rag", "oracle_policy_graph"]
+RELEASE_BASELINES = ["no_memory", "raw_rag", "full_event_log", "temporal_raw_rag", "oracle_policy_graph"]
 table(
     "preds",
     f"""SELECT 'no_memory' AS baseline, project_id, probe_id, '{D.NO_MEMORY}' AS prediction FROM probe
@@ -197,12 +197,15 @@ UNION ALL SELECT DISTINCT 'oracle_policy_graph', project_id, probe_id, event_id
 @query(
     "run_predictors",
     """SELECT baseline, project_id, probe_id, prediction, coalesce(n, 0) AS retrieved_events FROM preds LEFT JOIN
-       (SELECT baseline, project_id, probe_id, count(*) AS n FROM retr GROUP BY ALL) USING (baseline, project_id, probe_id)""",
+       (SELECT baseline, project_id, probe_id, count(*) AS n FROM retr GROUP BY ALL) USING (baseline, project_id, probe_id)
+       UNION ALL SELECT 'full_event_log', project_id, probe_id, NULL, n FROM probe JOIN (SELECT project_id, count(*) AS n FROM pev GROUP BY ALL) USING (project_id)""",
 )
 def run_predictors(spark, sf):
+    """The full log retrieves all events of its project; they are counted, never listed."""
     g = gold(spark, sf)
     predictions, retrieved = D.run_predictors(RELEASE_BASELINES, g.events, g.probes, g.memories, g.memory_events)
     counts = retrieved.groupBy("baseline", "project_id", "probe_id").agg(F.count("*").alias("n"))
-    return predictions.join(counts, ["baseline", "project_id", "probe_id"], "left").select(
-        "baseline", "project_id", "probe_id", "prediction", F.coalesce("n", F.lit(0)).alias("retrieved_events")
-    )
+    logged = g.events.groupBy("project_id").agg(F.count("*").alias("logged"))
+    rows = predictions.join(counts, ["baseline", "project_id", "probe_id"], "left").join(logged, "project_id", "left")
+    found = F.when(F.col("baseline") == "full_event_log", F.col("logged")).otherwise(F.coalesce("n", F.lit(0)))
+    return rows.select("baseline", "project_id", "probe_id", "prediction", found.alias("retrieved_events"))

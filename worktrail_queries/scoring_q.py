@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from worktrail.functions.ids import exact_round
 from worktrail.operators import predictors as D
-from worktrail.operators.full_log import score_full_log
+from worktrail.operators.full_log import score_release
 from worktrail.operators import projects as J
 from worktrail.operators import scoring as S
 from worktrail.operators import traces as T
@@ -127,9 +127,7 @@ def scored(spark, sf):
     if key not in _STAGED:
         g = gold(spark, sf)
         predictions, retrieved = D.run_predictors(RELEASE_BASELINES, g.events, g.probes, g.memories, g.memory_events)
-        given = S.score_predictions(predictions, retrieved, g.probes, g.memories, g.memory_events)
-        log = score_full_log(g.events, g.probes, g.memories, g.memory_events)
-        _STAGED[key] = pinned(given.unionByName(log))
+        _STAGED[key] = pinned(score_release(predictions, retrieved, g.events, g.probes, g.memories, g.memory_events))
     return _STAGED[key]
 
 

@@ -11,6 +11,7 @@ from worktrail.operators.checks import union_all
 from worktrail.session import scratch_path
 from worktrail.sources import files as X
 from worktrail.sources import mail as E
+from worktrail.sources import manifest_projects as P
 from worktrail.sources import manifests as N
 from worktrail.sources import raw_events as R
 from worktrail.sources import sinks as K
@@ -20,7 +21,7 @@ from worktrail_queries.gold import gold
 from worktrail_queries.inputs import raw, read
 from worktrail_queries.registry import query
 from worktrail_queries.scoring_q import _MEANS
-from worktrail_queries.sqlkit import table
+from worktrail_queries.sqlkit import sql_list, table
 from worktrail_queries.submissions import retrieved_ids, submission
 
 
@@ -157,22 +158,126 @@ def manifest_validate(spark, sf):
     return N.validate(rows.select("project_id", "event_id", "artifact_id"), rows.filter(number % 9 != 2), headers.filter("project_id <> 'project_mail_src1'"))
 
 
+# Projects out of manifests: the mail manifests with a memory and a probe per document, and
+# work manifests that bring neither graph nor probes. Faults follow from source and document:
+# graphs and probes of another project, records without a time, memories without content.
+_OTHER = "project_other"
+
+
+def manifest_tables(spark, sf):
+    """(headers, records, memories, probes) of all manifests."""
+    mail, records = mail_manifests(spark, sf)
+    work, more = work_manifests(spark, sf)
+    number = F.regexp_extract("source_dataset", "([0-9]+)$", 1).cast("bigint")
+    mail = mail.withColumn("graph_project_id", F.when(number % 4 == 1, _OTHER).otherwise(F.col("project_id")))
+    headers = mail.unionByName(work.withColumn("graph_project_id", F.lit(None).cast("string")))
+    source = F.regexp_extract("project_id", "([0-9]+)$", 1).cast("bigint")
+    late = (source % 3 == 2) & (F.regexp_extract("record_id", "([0-9]+)$", 1).cast("bigint") % 50 == 7)
+    records = records.withColumn("timestamp", F.when(~late, "2024-01-01T00:00:00Z"))
+    docs = read(spark, sf, "documents").withColumn("project_id", F.concat(F.lit("project_mail_"), "source")).withColumn("n", F.expr("cast(replace(source, 'src', '') as bigint)"))
+    i, third = F.col("doc_id"), F.col("doc_id") % 3
+    key = lambda name: F.concat(F.lit(name), i.cast("string"))
+    event, memory = F.array(key("event_email_doc_")), key("mem_")
+    kind = F.element_at(str_array(["user_policy", "work_habit", "negative_policy_example"]), (third + 1).cast("int"))
+    task = F.element_at(str_array(["implicit_policy_induction", "cross_day_habit_generalization", "negative_example_storage_gating"]), (third + 1).cast("int"))
+    none = F.array().cast("array<string>")
+    about = F.concat(F.lit("Ask user"), (i % 10).cast("string"), F.lit("@example.com first: "), "text")
+    memories = docs.select(
+        "project_id",
+        F.to_json(
+            F.struct(
+                memory.alias("memory_id"), "project_id", kind.alias("memory_type"), F.when((i % 50 != 11) | (F.col("n") % 5 != 2), about).alias("content"), event.alias("source_events"),
+                F.when(third == 2, event).otherwise(none).alias("negative_evidence"), F.struct(F.lit(0.5).alias("score"), none.alias("expected_tasks")).alias("future_utility"),
+                F.struct(F.array(F.lit("ask_first")).alias("allowed_actions")).alias("action_boundary"), F.struct(F.array(F.struct("text", i.alias("n"))).alias("deep")).alias("metadata"),
+            )
+        ).alias("memory"),
+    )
+    foreign = (i % 97 == 5) & (F.col("n") % 5 == 1)
+    leaky = (i % 7 == 3) & (F.col("n") % 6 == 2)
+    asked = F.concat(F.when(i % 5 == 1, "Should the user ask first about note ").otherwise("What about note "), i.cast("string"), F.lit("?"))
+    probes = docs.select(
+        "project_id",
+        F.to_json(
+            F.struct(
+                key("probe_").alias("probe_id"), F.when(foreign, _OTHER).otherwise(F.col("project_id")).alias("project_id"), F.lit("t").alias("trajectory_id"), task.alias("task_type"), asked.alias("query"),
+                F.struct(F.array(F.lit("ask first")).alias("must_include"), none.alias("must_not_include")).alias("expected_behavior"),
+                F.struct(F.array(memory).alias("positive"), F.when(third == 2, F.array(memory)).otherwise(none).alias("negative"), F.when(third == 0, F.array(memory)).otherwise(none).alias("distractor")).alias("evidence"),
+                F.array(task).alias("capabilities"), F.struct(F.when(leaky, "shown").alias("memory_graph"), F.lit("kept").alias("answer")).alias("metadata"),
+            )
+        ).alias("probe"),
+    )
+    return headers, records.unionByName(more, allowMissingColumns=True), memories, probes
+
+
+_PROJECTS: dict = {}
+
+
+def manifest_projects(spark, sf):
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _PROJECTS:
+        _PROJECTS[key] = P.build_projects(*manifest_tables(spark, sf))
+    return _PROJECTS[key]
+
+
+table("mdoc", f"SELECT *, 'project_mail_' || source AS project_id, {_N} AS n FROM documents")
+table(
+    "mproj0",
+    f"""SELECT project_id, n, {_PROBLEM} AS problem, count(*) AS docs, count(*) FILTER (doc_id % 97 = 5 AND n % 5 = 1) AS foreign_probes, count(*) FILTER (doc_id % 50 = 7 AND n % 3 = 2) AS late,
+  count(*) FILTER (doc_id % 50 = 11 AND n % 5 = 2) AS empty, count(DISTINCT doc_id % 3) AS kinds, count(*) FILTER (doc_id % 5 = 1) AS worded, count(*) FILTER (doc_id % 7 = 3 AND n % 6 = 2) AS leaky,
+  CASE WHEN n % 5 = 4 THEN 1 ELSE 0 END + CASE WHEN n % 7 = 3 THEN 1 ELSE 0 END + CASE WHEN n % 6 = 5 THEN 1 ELSE 0 END AS reasons FROM mdoc GROUP BY project_id, n""",
+)
+table("mproj", "SELECT *, problem = '' AND n % 4 <> 1 AND foreign_probes = 0 AS built, reasons + CASE WHEN n % 4 = 1 THEN 1 ELSE 0 END + foreign_probes + late + empty AS issues FROM mproj0")
+_WORK = "SELECT unnest(['project_chat_workflow', 'project_calendar_workflow', 'project_docs_workflow', 'project_browser_web_workflow']) AS project_id"
+
+
 @query(
     "project_from_manifest",
-    """SELECT project_id, count(*) AS events, 0 AS leaking FROM minge2 GROUP BY project_id""",
+    f"""SELECT project_id, built, CASE WHEN built THEN docs - late ELSE 0 END AS artifacts, CASE WHEN built THEN docs - late ELSE 0 END AS events, CASE WHEN built THEN docs - empty ELSE 0 END AS memories,
+         CASE WHEN built THEN docs ELSE 0 END AS probes, issues, 0 AS leaking FROM mproj
+       UNION ALL SELECT project_id, false, 0, 0, 0, 0, 2, 0 FROM ({_WORK})""",
 )
 def project_from_manifest(spark, sf):
-    return N.leakage(N.ingest(*mail_manifests(spark, sf)))
+    return P.project_summary(manifest_projects(spark, sf)).drop("domain")
+
+
+@query(
+    "manifest_project_issues",
+    f"""SELECT project_id, 'manifest_gate' AS code, unnest(list_filter([CASE WHEN n % 5 = 4 THEN 'license unknown' END, CASE WHEN n % 7 = 3 THEN 'redistribution not allowed' END,
+         CASE WHEN n % 6 = 5 THEN 'privacy review not passed' END], lambda x: x IS NOT NULL)) AS subject FROM mproj
+       UNION ALL SELECT project_id, 'memory_graph_project_mismatch', '{_OTHER}' FROM mproj WHERE n % 4 = 1
+       UNION ALL SELECT project_id, 'probe_project_mismatch', 'probe_' || doc_id FROM mdoc WHERE doc_id % 97 = 5 AND n % 5 = 1
+       UNION ALL SELECT project_id, 'record_lacks_timestamp', 'doc_' || doc_id FROM mdoc WHERE doc_id % 50 = 7 AND n % 3 = 2
+       UNION ALL SELECT project_id, 'memory_incomplete', 'mem_' || doc_id FROM mdoc WHERE doc_id % 50 = 11 AND n % 5 = 2
+       UNION ALL SELECT project_id, unnest(['memory_graph_missing', 'probes_missing']), '' FROM ({_WORK})""",
+)
+def manifest_project_issues(spark, sf):
+    return manifest_projects(spark, sf).issues
+
+
+@query(
+    "manifest_project_memories",
+    f"""SELECT project_id, 'mem_' || doc_id AS memory_id, sha256({redact_sql("'Ask user' || doc_id % 10 || '@example.com first: ' || text")}) AS content_hash, sha256({redact_sql('text')}) AS deep_hash,
+         CAST(doc_id AS VARCHAR) AS deep_number FROM mdoc JOIN mproj USING (project_id) WHERE built AND NOT (doc_id % 50 = 11 AND mdoc.n % 5 = 2)""",
+)
+def manifest_project_memories(spark, sf):
+    """What redaction leaves of plain and of deeply nested texts."""
+    deep = lambda path: F.get_json_object(F.col("metadata")["deep"], path)
+    return manifest_projects(spark, sf).memories.select(
+        "project_id", "memory_id", F.sha2("content", 256).alias("content_hash"), F.sha2(deep("$[0].text"), 256).alias("deep_hash"), deep("$[0].n").alias("deep_number")
+    )
 
 
 @query(
     "manifest_preflight",
-    f"""SELECT project_id, "check", CASE WHEN ok THEN 'pass' ELSE 'fail' END AS status FROM (
-         SELECT 'project_mail_' || source AS project_id, unnest(['manifest_gate', 'records_complete', 'events_present', 'unique_event_ids', 'no_privacy_leakage']) AS "check",
-           unnest([{_PROBLEM} = '', bad = 0, {_PROBLEM} = '' AND rows > bad, true, true]) AS ok FROM (SELECT source, {_N} AS n, count(*) AS rows, count(*) FILTER (doc_id % 50 = 7) AS bad FROM documents GROUP BY source))""",
+    f"""WITH m AS (SELECT *, built AND issues = 0 AND kinds = 3 AS verified FROM mproj),
+       r AS (SELECT *, CASE WHEN verified THEN docs ELSE 0 END AS released, CASE WHEN verified THEN worded ELSE 0 END AS shown FROM m)
+       SELECT project_id, "check", CASE WHEN ok THEN 'pass' ELSE 'fail' END AS status, CAST(measured AS BIGINT) AS measured FROM (
+         SELECT project_id, unnest({sql_list(P.PREFLIGHT)}) AS "check", unnest([verified, verified, verified AND leaky = 0, verified, built AND docs > late, true, true]) AS ok,
+           unnest([issues, released, released, 2 * released, CASE WHEN built THEN 2 * kinds ELSE 0 END, shown, shown]) AS measured FROM r
+         UNION ALL SELECT project_id, unnest({sql_list(P.PREFLIGHT)}), unnest([false, false, false, false, false, true, true]), unnest([2, 0, 0, 0, 0, 0, 0]) FROM ({_WORK}))""",
 )
 def manifest_preflight(spark, sf):
-    return N.preflight(*mail_manifests(spark, sf))
+    return P.preflight(manifest_projects(spark, sf))
 
 
 # Mail folders ------------------------------------------------------------------------------
