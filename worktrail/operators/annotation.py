@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -191,30 +192,70 @@ def estimated_tokens(prompts: DataFrame) -> Column:
     return F.greatest(F.lit(1), F.floor((F.length(text) + 3) / 4)).cast("bigint")
 
 
+def _next_starts(tokens: np.ndarray, max_prompts: int, max_tokens: int) -> np.ndarray:
+    """For each prompt, the place after the bin that opens at it."""
+    at = np.arange(len(tokens))
+    total = np.concatenate([[0], np.cumsum(tokens)])
+    full = np.searchsorted(total, total[:-1] + max_tokens, side="right") - 1
+    return np.maximum(at + 1, np.minimum(at + max_prompts, full))
+
+
 def pack_jobs(prompts: DataFrame, max_prompts: int = 100, max_tokens: int = 120000, shard_prompts: int = 100_000) -> DataFrame:
-    """Bins of prompts in order, closed at a prompt or token limit. The ordered prompts are
-    cut into shards of equal length, whatever their packs; bins never cross a shard, and a
-    shard streams through one running sum, so that no group is held in memory."""
+    """Bins of prompts in order, closed at a prompt or token limit: the bins of one running sum
+    over all prompts, found in parallel.
+
+    Each prompt points to the one that opens the next bin, at most ``max_prompts`` further. A
+    shard of the ordered prompts therefore maps the few places where a bin may enter it to the
+    places where bins enter the next shard, and to the number of bins between. These maps are
+    chained by doubling over the shards, then every shard numbers its own bins. ``shard_prompts``
+    bounds what a task holds and changes no bin.
+    """
+    size = max(shard_prompts, max_prompts)
     sized = prompts.select("prompt_id", "pack_id", "repo", estimated_tokens(prompts).alias("tokens"), F.lit(0).alias("all"))
-    placed = group_positions(sized, ["all"], ["pack_id", "prompt_id"])
-    sized = placed.select("prompt_id", "pack_id", "repo", "tokens", F.expr(f"pos div {shard_prompts}").alias("shard"))
-
-    def bins(frames):
-        state: dict[int, list[int]] = {}
-        for frame in frames:
-            jobs = []
-            for shard, tokens in zip(frame["shard"], frame["tokens"]):
-                number, count, used = state.get(shard, [1, 0, 0])
-                if count and (count >= max_prompts or used + tokens > max_tokens):
-                    number, count, used = number + 1, 0, 0
-                state[shard] = [number, count + 1, used + int(tokens)]
-                jobs.append(f"rewrite_job_{int(shard):04d}_{number:04d}")
-            yield pd.DataFrame(
-                {"prompt_id": frame["prompt_id"], "pack_id": frame["pack_id"], "repo": frame["repo"], "tokens": frame["tokens"], "job_id": jobs}
-            )
-
-    ordered = sized.repartition("shard").sortWithinPartitions("shard", "pack_id", "prompt_id")
-    return ordered.mapInPandas(bins, "prompt_id string, pack_id string, repo string, tokens long, job_id string")
+    placed = group_positions(sized, ["all"], ["pack_id", "prompt_id"]).select("prompt_id", "pack_id", "repo", "tokens", "pos")
+    placed = pinned(placed.withColumn("shard", F.expr(f"pos div {size}")))
+    # A shard also sees the prompts behind it that its last bin may hold.
+    seen = F.when((F.col("pos") % size < max_prompts) & (F.col("shard") > 0), F.array("shard", F.col("shard") - 1)).otherwise(F.array("shard"))
+    wide = placed.select("pos", "tokens", F.explode(seen).alias("shard"))
+
+    def crossed(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        steps = _next_starts(table.column("tokens").to_numpy(), max_prompts, max_tokens).tolist()
+        n = min(size, len(steps))
+        leave, bins = [0] * n, [0] * n
+        for i in range(n - 1, -1, -1):
+            to = steps[i]
+            leave[i], bins[i] = (to - size, 1) if to >= n else (leave[to], bins[to] + 1)
+        enter = max_prompts if n == size else n
+        return pa.table({"shard": table.column("shard").slice(0, 1), "leave": pa.array([leave[:enter]], pa.list_(pa.int64())), "bins": pa.array([bins[:enter]], pa.list_(pa.int64()))})
+
+    maps = pinned(wide.groupBy("shard").applyInArrow(crossed, "shard long, leave array<long>, bins array<long>"))
+    shards = (maps.agg(F.max("shard")).first()[0] or 0) + 1
+    reach = 1
+    while reach < shards:
+        back = maps.select((F.col("shard") + reach).alias("shard"), F.col("leave").alias("by"), F.col("bins").alias("before"))
+        both = maps.join(back, "shard", "left")
+        chained = lambda of: F.transform("by", lambda x: F.get(of, x.cast("int")))
+        counted = F.transform("before", lambda x, i: x + F.get("bins", F.get("by", i).cast("int")))
+        maps = pinned(both.select("shard", F.coalesce(chained("leave"), "leave").alias("leave"), F.coalesce(counted, "bins").alias("bins")))
+        reach *= 2
+    entries = maps.select((F.col("shard") + 1).alias("shard"), F.get("leave", F.lit(0)).alias("enter"), F.get("bins", F.lit(0)).alias("opened"))
+    columns = "prompt_id string, pack_id string, repo string, tokens long, job_id string"
+
+    def numbered(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        steps = _next_starts(table.column("tokens").to_numpy(), max_prompts, max_tokens).tolist()
+        opens = np.zeros(len(steps), dtype=np.int64)
+        at = table.column("enter")[0].as_py()
+        while at < len(steps):
+            opens[at] = 1
+            at = steps[at]
+        jobs = np.cumsum(opens) + table.column("opened")[0].as_py()
+        return table.select(["prompt_id", "pack_id", "repo", "tokens"]).append_column("job_id", pa.array([f"rewrite_job_{j:04d}" for j in jobs.tolist()]))
+
+    zero = F.lit(0).cast("long")
+    own = placed.join(entries, "shard", "left").withColumns({"enter": F.coalesce("enter", zero), "opened": F.coalesce("opened", zero)})
+    return own.groupBy("shard").applyInArrow(numbered, columns)
 
 
 def job_summary(jobs: DataFrame) -> DataFrame:

@@ -9,31 +9,39 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from worktrail.operators.ordering import group_positions
+from worktrail.session import pinned
+
 PREDICTION_SCHEMA = "prediction_id string, project_id string, probe_id string, prediction string, retrieved_event_ids array<string>"
 EVENT_COLUMNS = ["event_id", "timestamp", "actor", "event_type", "content"]
 Predictor = Callable[[pd.DataFrame, Iterator[pd.DataFrame]], Iterable[tuple[str, str, list[str]]]]
 
 
-def apply_predictor(predict: Predictor, events: DataFrame, probes: DataFrame) -> DataFrame:
-    """Call ``predict`` once per project with its questions (probe_id, query) and a stream of
-    batches of all its public events in file order; it yields (probe_id, text, event ids).
+def apply_predictor(predict: Predictor, events: DataFrame, probes: DataFrame, block: int = 1000) -> DataFrame:
+    """Call ``predict`` with questions of a project (probe_id, query) and a stream of batches of
+    all the project's public events in file order; it yields (probe_id, text, event ids).
 
-    Events stream from sorted partitions, so a project of any size passes a predictor that
-    keeps what it needs only. An answer to a question that wasn't asked raises.
+    A project's questions come in blocks of at most ``block``, in order of probe_id: each block is
+    a call and a group of its own with the project's event stream, so the questions that a call
+    holds are bounded, and a project with most of the questions spreads over tasks. Events stream
+    from sorted partitions, so a project of any size passes a predictor that keeps what it needs
+    only. An answer to a question that wasn't asked raises.
     """
     absent = F.lit(None).cast("string")
-    asked = probes.select("project_id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("ord"), "probe_id", "query", *[absent.alias(c) for c in EVENT_COLUMNS])
+    numbered = group_positions(probes.select("project_id", "probe_id", "query"), ["project_id"], ["probe_id"]).withColumn("block", F.expr(f"pos div {block}"))
+    numbered = pinned(numbered.select("project_id", "block", "probe_id", "query"))
+    asked = numbered.select("project_id", "block", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("ord"), "probe_id", "query", *[absent.alias(c) for c in EVENT_COLUMNS])
     told = events.select("project_id", F.lit(1).alias("kind"), "ord", absent.alias("probe_id"), absent.alias("query"), *EVENT_COLUMNS)
-    rows = asked.unionByName(told.join(probes.select("project_id").distinct(), "project_id", "left_semi"))
-    ordered = rows.repartition("project_id").sortWithinPartitions("project_id", "kind", "ord", "probe_id")
+    rows = asked.unionByName(told.join(numbered.select("project_id", "block").distinct(), "project_id"))
+    ordered = rows.repartition("project_id", "block").sortWithinPartitions("project_id", "block", "kind", "ord", "probe_id")
 
-    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int, pd.DataFrame]]:
+    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple[str, int], int, pd.DataFrame]]:
         for frame in frames:
-            for (project, kind), piece in frame.groupby(["project_id", "kind"], sort=False):
-                yield project, kind, piece
+            for (project, number, kind), piece in frame.groupby(["project_id", "block", "kind"], sort=False):
+                yield (project, number), kind, piece
 
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for project, parts in groupby(pieces(frames), key=lambda p: p[0]):
+        for (project, _), parts in groupby(pieces(frames), key=lambda p: p[0]):
             questions, first = [], []
             for _, kind, piece in parts:
                 if kind:

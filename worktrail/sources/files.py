@@ -19,13 +19,17 @@ from worktrail.operators.ordering import top_rows
 CHUNK_BYTES = 1 << 22
 
 
-def _sha256_of(uri: str, chunk: int) -> str:
+def opened(uri: str):
+    """A file of a store that the executors share, open for reading at any place."""
     if uri.startswith("file:"):
-        store, name = fs.LocalFileSystem(), re.sub("^file:/+", "/", uri)
-    else:
-        store, name = fs.FileSystem.from_uri(quote(uri, safe=":/@"))
+        return fs.LocalFileSystem().open_input_file(re.sub("^file:/+", "/", uri))
+    store, name = fs.FileSystem.from_uri(quote(uri, safe=":/@"))
+    return store.open_input_file(name)
+
+
+def _sha256_of(uri: str, chunk: int) -> str:
     total = hashlib.sha256()
-    with store.open_input_stream(name) as stream:
+    with opened(uri) as stream:
         while data := stream.read(chunk):
             total.update(data)
     return total.hexdigest()
@@ -54,13 +58,20 @@ def file_inventory(spark: SparkSession, path: str, pattern: str = "*", chunk: in
 
 
 def directory_digest(inventory: DataFrame, name: str = "name") -> DataFrame:
-    """(folder, files, bytes, sha256) per folder of an inventory. Every entry is hashed with
-    its path inside the inventoried folder, and the hashes are added up in four lanes: the
-    sum needs no order, so no task ever holds a folder's entries."""
-    folder = F.regexp_replace(F.col(name), "/?[^/]*$", "")
-    entry = F.sha2(F.concat(F.col(name), F.lit("\n"), F.coalesce(F.col("sha256"), F.col("bytes").cast("string"))), 256)
+    """(folder, files, bytes, sha256) of every folder of an inventory, the inventoried one
+    (empty name) among them, over all files anywhere below it.
+
+    A file counts in each folder above it, under its path from there, so equal folders have
+    equal digests wherever they lie, and a change however far down changes every digest above.
+    Hashes of entries are added up in four lanes: sums need no order and are combined before
+    the shuffle, so no task ever holds a folder's entries.
+    """
+    parts = F.split(F.col(name), "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), "/").alias("folder"), F.array_join(F.slice(parts, n + 1, 1 << 20), "/").alias("inside")))
+    each = inventory.select("bytes", F.coalesce(F.col("sha256"), F.col("bytes").cast("string")).alias("held"), F.explode(above).alias("at"))
+    entry = F.sha2(F.concat(F.col("at.inside"), F.lit("\n"), F.col("held")), 256)
     lanes = [F.conv(F.substring("entry", 15 * k + 1, 15), 16, 10).cast("decimal(38,0)") for k in range(4)]
-    sums = inventory.select(folder.alias("folder"), "bytes", entry.alias("entry")).groupBy("folder").agg(
+    sums = each.select("at.folder", "bytes", entry.alias("entry")).groupBy("folder").agg(
         F.count("*").alias("files"), F.sum("bytes").alias("bytes"), *[F.sum(lane).alias(f"lane{k}") for k, lane in enumerate(lanes)]
     )
     whole = F.concat_ws("|", F.col("files").cast("string"), *[F.col(f"lane{k}").cast("string") for k in range(4)])

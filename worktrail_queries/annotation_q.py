@@ -196,11 +196,12 @@ def prompt_rows(spark, sf):
         bins AS (SELECT i, 1 AS job, 1 AS c, tokens AS used FROM sized WHERE i = 1 UNION ALL
           SELECT s.i, CASE WHEN c >= 100 OR used + tokens > 120000 THEN job + 1 ELSE job END, CASE WHEN c >= 100 OR used + tokens > 120000 THEN 1 ELSE c + 1 END,
             CASE WHEN c >= 100 OR used + tokens > 120000 THEN tokens ELSE used + tokens END FROM bins b JOIN sized s ON s.i = b.i + 1)
-        SELECT 'rewrite_job_0000_' || lpad(CAST(job AS VARCHAR), 4, '0') AS job_id, count(*) AS prompts, CAST(sum(tokens) AS BIGINT) AS estimated_tokens, count(DISTINCT pack_id) AS packs
+        SELECT 'rewrite_job_' || lpad(CAST(job AS VARCHAR), CAST(greatest(4, length(CAST(job AS VARCHAR))) AS INTEGER), '0') AS job_id, count(*) AS prompts, CAST(sum(tokens) AS BIGINT) AS estimated_tokens, count(DISTINCT pack_id) AS packs
         FROM bins JOIN sized USING (i) GROUP BY job""",
 )
 def pack_jobs(spark, sf):
-    return A.job_summary(A.pack_jobs(prompts(spark, sf)))
+    """Shards far shorter than the table, so that bins reach over their ends."""
+    return A.job_summary(A.pack_jobs(prompts(spark, sf), shard_prompts=150))
 
 
 # Validation ---------------------------------------------------------------------------------

@@ -377,18 +377,20 @@ def discover_sources(spark, sf):
 
 
 def _listed(spark, sf):
-    """Document numbers by source, one file each, written beside the checkpoints."""
+    """Document numbers by source in folders of a thousand documents and files of a hundred,
+    written beside the checkpoints: a source of any size is many files of bounded size."""
     path = scratch_path(spark, "listed")
-    lines = read(spark, sf, "documents").select("source", F.concat_ws(" ", "doc_id", "n_chars").alias("value"))
-    lines.repartition("source").sortWithinPartitions("source", "value").write.partitionBy("source").text(path)
+    docs = read(spark, sf, "documents").select("source", F.expr("doc_id div 1000").alias("thousand"), F.expr("doc_id div 100").alias("hundred"), F.concat_ws(" ", "doc_id", "n_chars").alias("value"))
+    folders = ["source", "thousand", "hundred"]
+    docs.repartition(*folders).sortWithinPartitions(*folders, "value").write.partitionBy(*folders).text(path)
     # Spark's file names are random; the folder stands for its one file.
     return X.file_inventory(spark, path, "*.txt").withColumn("name", F.regexp_replace("name", "/[^/]*$", "/numbers.txt"))
 
 
 table(
     "listed",
-    """SELECT 'source=' || source || '/numbers.txt' AS name, strlen(body) AS bytes, sha256(body) AS sha256 FROM (
-         SELECT source, string_agg(line || chr(10), '' ORDER BY line) AS body FROM (SELECT source, doc_id || ' ' || n_chars AS line FROM documents) GROUP BY source)""",
+    """SELECT 'source=' || source || '/thousand=' || thousand || '/hundred=' || hundred || '/numbers.txt' AS name, strlen(body) AS bytes, sha256(body) AS sha256 FROM (
+         SELECT source, thousand, hundred, string_agg(line || chr(10), '' ORDER BY line) AS body FROM (SELECT source, doc_id // 1000 AS thousand, doc_id // 100 AS hundred, doc_id || ' ' || n_chars AS line FROM documents) GROUP BY ALL)""",
 )
 
 
@@ -402,8 +404,9 @@ _LANES = ", ".join(f"sum(CAST('0x' || substr(e, {15 * k + 1}, 15) AS BIGINT)::HU
 
 @query(
     "directory_digest",
-    f"""SELECT folder, files, CAST(bytes AS BIGINT) AS bytes, sha256(concat_ws('|', files, s0, s1, s2, s3)) AS sha256 FROM (
-         SELECT regexp_replace(name, '/.*', '') AS folder, count(*) AS files, sum(bytes) AS bytes, {_LANES} FROM (SELECT *, sha256(name || chr(10) || sha256) AS e FROM listed) GROUP BY 1)""",
+    f"""WITH ups AS (SELECT *, string_split(name, '/') AS parts, unnest(range(len(string_split(name, '/')))) AS n FROM listed),
+        e AS (SELECT array_to_string(parts[:n], '/') AS folder, bytes, sha256(array_to_string(parts[n + 1:], '/') || chr(10) || sha256) AS e FROM ups)
+        SELECT folder, files, CAST(bytes AS BIGINT) AS bytes, sha256(concat_ws('|', files, s0, s1, s2, s3)) AS sha256 FROM (SELECT folder, count(*) AS files, sum(bytes) AS bytes, {_LANES} FROM e GROUP BY 1)""",
 )
 def directory_digest(spark, sf):
     return X.directory_digest(_listed(spark, sf))
