@@ -25,7 +25,7 @@ def bitmap(keys: DataFrame, column: str) -> np.ndarray:
     # A row of fixed size for each segment: 2 ** (bits - 3) bytes in all.
     out = np.zeros(1 << (bits - 3), dtype=np.uint8)
     wide = 1 << (segment - 3)
-    for row in split.groupBy("segment").applyInArrow(held, "segment long, held binary").toLocalIterator():
+    for row in split.groupBy("segment").applyInArrow(held, "segment long, held binary").collect():
         out[row.segment * wide : (row.segment + 1) * wide] = np.frombuffer(row.held, dtype=np.uint8)
     return out
 

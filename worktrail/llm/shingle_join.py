@@ -43,8 +43,9 @@ WORDS = 5
 #: LEAST do) have it in one of GLOBAL documents of the whole table. This places work and breaks
 #: ties of rarity; no result depends on it. At most GLOBAL times the mean set are common.
 LOCAL, LEAST, GLOBAL = 64, 8, 200
-#: Pairs per index row up to which all pairs across components are compared at once.
-PAIRS = 4
+#: Rounds with leaders end where the pairs left are few per index row, or where a round left more
+#: than this share of them.
+PAIRS, SHRINKS = 4, 0.9
 _COMMON = 1 << 40
 #: Bytes of the name of a class; two sets may share one.
 CLASS_BYTES = 8
@@ -265,12 +266,12 @@ def _exploded(shared):
 
 #: Tokens of a set of n that every set similar enough must share in part, in any order.
 _PREFIX = "n div 5 + 1"
-_MEMBERS = "rid long, n long, tokens array<long>, marks binary, first array<long>"
+_MEMBERS = "rid long, n long, at long, tokens array<long>, marks binary, first array<long>"
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per set: the tokens that others share, sorted; what its prefixes hold of them by order 1
-    (``first``), 2 and 3 (``marks``). Tokens of one set come first in every order."""
+    (``first``), 2 and 3 (``marks``). Tokens of one set come first in every order; it has ``at``."""
     for batch in batches:
         n = batch.column(1).to_numpy()
         lists = batch.column(2)
@@ -278,13 +279,14 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = lists.flatten()
         df, h = flat.field(0).to_numpy(), flat.field(1).to_numpy()
         ends = ends - ends[0]
-        tokens, marks, first = [], [], []
+        tokens, marks, first, alone = [], [], [], []
         for k in range(len(n)):
             d, t = df[ends[k] : ends[k + 1]], h[ends[k] : ends[k + 1]]
             order = np.argsort(t, kind="stable")
             d, t = d[order], t[order]
             size = int(n[k])
-            take = size // 5 + 1 - (size - len(t))
+            alone.append(size - len(t))
+            take = size // 5 + 1 - alone[-1]
             u = t.view(np.uint64)
             mark = np.zeros(len(t), dtype=np.uint8)
             mark[np.lexsort((mix(u ^ np.uint64(0xD1B54A32D192ED03)), np.frexp(d.astype(np.float64))[1]))[:take]] |= 1
@@ -292,7 +294,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens.append(u)
             marks.append(mark.tobytes())
             first.append(u[np.lexsort((t, d))[:take]])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(tokens), pa.array(marks, pa.binary()), _lists(first)], names=["rid", "n", "tokens", "marks", "first"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alone, pa.int64()), _lists(tokens), pa.array(marks, pa.binary()), _lists(first)], names=["rid", "n", "at", "tokens", "marks", "first"])
 
 
 def _meet(x: np.ndarray, y: np.ndarray) -> int:
@@ -328,27 +330,30 @@ def _verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return both.mapInArrow(_similar, "a long, b long")
 
 
-#: Two sets of a bucket can still be similar enough, by their sizes.
-_CAN_MEET = "5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)"
+#: Two sets of a bucket can still be similar enough, by their sizes and by what each holds from
+#: the bucket's token on. At the first token that both hold, that is all they can share, so a
+#: similar pair passes there.
+_CAN_MEET = "5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n) AND 9 * least(x.n - x.pos, y.n - y.pos) >= 4 * (x.n + y.n)"
 
 
 def _links(members: DataFrame) -> DataFrame | None:
     """Links (a, b) of members that connect exactly what all similar pairs connect."""
-    index = pinned(members.select(F.explode("first").alias("h"), "rid", "n"))
+    index = pinned(members.select(F.posexplode("first").alias("i", "h"), "rid", "n", "at").select("h", "rid", "n", (F.col("at") + F.col("i")).alias("pos")))
     rows = index.count()
     tested = links = roots = None
-    grew, turn = True, 0
+    before, turn = 0, 0
     while True:
         now = index.withColumn("root", F.col("rid")) if roots is None else index.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
         order = F.col("rid") if turn == 0 else F.xxhash64("rid", F.lit(turn))
-        parts = now.groupBy("h", "root").agg(F.count("*").alias("held"), F.min(F.struct(order.alias("o"), "rid", "n")).alias("head"))
+        parts = now.groupBy("h", "root").agg(F.count("*").alias("held"), F.min(F.struct(order.alias("o"), "rid", "n", "pos")).alias("head"))
         lead = F.max(F.struct("held", (-F.col("root")).alias("low"), "root", "head")).alias("lead")
         buckets = parts.groupBy("h").agg(lead, F.count("*").alias("parts"), F.sum("held").alias("all"), F.sum(F.col("held") * F.col("held")).alias("same"))
         split = pinned(buckets.filter("parts > 1").select("h", "lead.root", "lead.head", (F.col("all") * F.col("all") - F.col("same")).alias("twice")))
         left_over, open_buckets = split.agg(F.sum("twice"), F.count("*")).first()
         if not open_buckets:
             return links
-        last = left_over <= 2 * PAIRS * rows or not grew
+        last = turn > 0 and (left_over <= 2 * PAIRS * rows or turn > 1 and left_over > SHRINKS * before)
+        before = left_over
         if last:
             kept = now.join(split.select("h"), "h", "left_semi")
             met = kept.alias("x").join(kept.alias("y"), F.expr(f"x.h = y.h AND x.rid < y.rid AND x.root != y.root AND {_CAN_MEET}"))
@@ -367,8 +372,7 @@ def _links(members: DataFrame) -> DataFrame | None:
         if last:
             return links
         tested = pairs if tested is None else tested.unionAll(pairs)
-        grew = not found.isEmpty()
-        if grew:
+        if not found.isEmpty():
             roots = pinned(components(links).select(F.col("node").alias("rid"), "root"))
         turn += 1
 
