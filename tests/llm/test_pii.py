@@ -5,6 +5,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from worktrail.llm.pii import ANY, pseudonymise
 
 SECRET = "k"
@@ -173,3 +175,12 @@ def test_values_end_where_their_format_ends(spark):
         assert brute(v) != v and got[i].text == form.format(brute(v)) and got[i].pii_kinds == [kind], form.format(v)
     kept = ["4111 1111 1111 1112 123", "v1.10.0.0.1", "3782 822463 10006"]
     assert [r.text for r in run(spark, kept).values()] == kept
+
+
+def test_long_texts_of_separators(spark):
+    """A megabyte of what a format may repeat: neither the stack nor the time runs out."""
+    bits = ["a.", "a@", "a@a.", "1-", "1.", "1 ", "12 34 ", "+1", "(1", "AB12 ", "AB12", "9", "a-", "a%", "@"]
+    texts = [start + b * (1_000_000 // len(b)) for b in bits for start in ("", "x@")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pseudonymise(docs, "s").select("doc_id", F.length("text").alias("n")).collect()
+    assert sorted((r.doc_id, r.n) for r in rows) == [(i, len(t)) for i, t in enumerate(texts)]

@@ -3,9 +3,13 @@ import gzip
 import hashlib
 import json
 import re
+import time
 from html.parser import HTMLParser
 from pathlib import Path
 
+import pytest
+
+from worktrail.llm import warc
 from worktrail.llm.warc import derivatives, responses, visible_text, write_warc
 
 DATE = "2024-01-01T00:00:00Z"
@@ -96,3 +100,20 @@ def test_written_files_parse_back(spark, tmp_path):
             found[fields["WARC-Record-ID"]] = rest[:size].decode(), fields["WARC-Refers-To"]
             data = rest[size + 4 :]
     assert found == {r.record_id: (r.block, r.refers_to) for r in derived.collect()}
+
+
+@pytest.mark.parametrize("bit", ["<a ", "<a href=", "<a \"", "<a '", "<!", "<!--", "<script ", "</script", "<title ", "&#9", "<", ">", "<a b='\">", "<?x "])
+def test_long_pages_without_an_end(bit):
+    """A megabyte of tags that are never closed takes time in proportion to its length."""
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + (bit * (1_000_000 // len(bit))).encode()
+    start = time.time()
+    assert len(warc.derive_one("r", None, None, block, None, None)) == 2
+    assert time.time() - start < 20
+    assert warc.visible_text("x &#" + "9" * 9000 + "; y") == "x \ufffd y"
+
+
+@pytest.mark.parametrize("charset", ["undefined", "idna", "hex", "rot13", "punycode", "utf-7", "unicode_escape", "no-such"])
+def test_odd_character_sets_of_pages(charset):
+    page = f"<meta charset={charset}><p>caf\u00e9 \\ud800 +2AA-".encode() + b"\xff\xfe"
+    for head in ("Content-Type: text/html", f"Content-Type: text/html; charset={charset}"):
+        assert len(warc.derive_one("r", None, None, f"HTTP/1.1 200 OK\r\n{head}\r\n\r\n".encode() + page, None, None)) == 2

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -108,7 +109,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from worktrail.llm.pii import pseudonymise
 
-    secret = spark.conf.get("spark.worktrail.pii.secret", "one secret per corpus")
+    name = "spark.worktrail.pii.secret"
+    if spark.conf.get(name, None) is None:
+        # Pseudonyms of a secret that anybody could read can be undone: without one, make one.
+        spark.conf.set(name, secrets.token_hex(16))
+    secret = spark.conf.get(name)
     return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), secret)
 
 

@@ -27,13 +27,15 @@ _LINES = (
     "address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main "
     "menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul"
 )
-_ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+#: Up to a tag's end. An open angle outside of quotes ends it too, so that no character is read
+#: again for every tag that is never closed.
+_ATTRIBUTES = r"""(?:[^<>"']|"[^"]*"|'[^']*')*+"""
 _MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<silent>{'|'.join(_SILENT.split())})\b{_ATTRIBUTES}>.*?(?:</(?P=silent)\s*>|\Z)|</?(?P<tag>[a-z][a-z0-9]*){_ATTRIBUTES}>|<[!?][^>]*>", re.S | re.I
+    rf"<!--.*?(?:-->|\Z)|<(?P<silent>{'|'.join(_SILENT.split())})\b{_ATTRIBUTES}>.*?(?:</(?P=silent)\s*>|\Z)|</?(?P<tag>[a-z][a-z0-9]*){_ATTRIBUTES}>|<[!?][^<>]*>", re.S | re.I
 )
 _LINE_ENDS = frozenset(_LINES.split())
 _TITLE = re.compile(rf"<title\b{_ATTRIBUTES}>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
-_LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_LINK = re.compile(r"""<a\b(?:[^<>"']|"[^"]*"|'[^']*')*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _CHARSET = re.compile(rb"""<meta[^>]+?charset\s*=\s*["']?([A-Za-z0-9_-]+)""", re.I)
 
 RESPONSE = "record_id string, target_uri string, date string, block binary, block_digest string, payload_digest string"
@@ -43,6 +45,10 @@ DERIVED = (
 )
 
 
+#: Numbers of characters that no text has; the longest can't be read as numbers either.
+_FAR = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{7,});?")
+
+
 def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -51,13 +57,17 @@ def identifier(*of: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, json.dumps(of))}>"
 
 
+def _unescaped(text: str) -> str:
+    return html.unescape(_FAR.sub("\ufffd", text))
+
+
 def visible_text(page: str) -> str:
     """The text of an HTML page, a line per block element, blanks collapsed."""
 
     def replaced(m: re.Match) -> str:
         return "\n" if (m["tag"] or "").lower() in _LINE_ENDS else " " if m["silent"] else ""
 
-    flat = html.unescape(_MARKUP.sub(replaced, re.sub(r"[\r\n]+", " ", page)))
+    flat = _unescaped(_MARKUP.sub(replaced, re.sub(r"[\r\n]+", " ", page)))
     lines = (" ".join(line.split()) for line in flat.split("\n"))
     return "\n".join(line for line in lines if line)
 
@@ -76,7 +86,7 @@ def _decoded(headers: list[tuple[str, str]], body: bytes) -> str:
     name = named[1] if named else found[1].decode() if found else "utf-8"
     try:
         return body.decode(name, "replace")
-    except LookupError:
+    except (LookupError, ValueError):
         return body.decode("utf-8", "replace")
 
 
@@ -92,8 +102,8 @@ def derive_one(record_id: str, target: str | None, date: str | None, block: byte
         "payload-length": len(body),
         "payload-digest": sums[1],
         "digests-agree": all(old is None or old == new for old, new in zip((block_digest, payload_digest), sums, strict=True)),
-        "title": " ".join(html.unescape(_MARKUP.sub("", title[1])).split()) if title else None,
-        "links": [html.unescape(a or b or c) for a, b, c in _LINK.findall(page)],
+        "title": " ".join(_unescaped(_MARKUP.sub("", title[1])).split()) if title else None,
+        "links": [_unescaped(a or b or c) for a, b, c in _LINK.findall(page)],
     }
     out = []
     for kind, media, text in (("metadata", "application/json", json.dumps(envelope, ensure_ascii=False)), ("conversion", "text/plain; charset=utf-8", visible_text(page))):
