@@ -133,3 +133,37 @@ def test_archives_give_the_rows_of_their_folders(spark, tmp_path):
 def test_odd_character_sets_give_rows(spark, charset):
     raw = spark.createDataFrame([("a", message(1, charset)), ("b", message(2, charset, b"\xff\xd8\\ud800 caf\xe9 " * 30))], "path string, raw binary")
     assert raw.count() == mail.parse_messages(raw).filter("body IS NOT NULL").count() == 2
+
+
+def test_a_snapshot_holds_the_last_row_per_key(spark, tmp_path):
+    from worktrail.streaming import streams
+
+    path = str(tmp_path / "snap")
+    shape = "k string, n long"
+    batches = [[("a", 1), ("b", 1), (None, 1)], [("a", 2), ("c", 1)], [], [("b", 3), (None, 4)], [("d", 9)]]
+    want = {}
+    for number, rows in enumerate(batches):
+        for _ in range(2):  # a batch that runs again changes nothing
+            streams.fold_batch(spark.createDataFrame(rows, shape), number, path, ["k"], buckets=4)
+        want |= dict(rows)
+        got = streams.latest(spark, path, spark.createDataFrame([], shape).schema).collect()
+        assert sorted(((r.k, r.n) for r in got), key=str) == sorted(want.items(), key=str)
+    kept = {p.name for p in (tmp_path / "snap" / "versions").iterdir()}
+    assert kept == {"batch=3", "batch=4"}
+    assert streams.latest(spark, str(tmp_path / "none"), spark.createDataFrame([], shape).schema).count() == 0
+
+
+def test_late_repeated_and_answered_rows(spark, tmp_path):
+    from worktrail.streaming import streams
+
+    rows = [("p", "q1", "2024-01-01", "first"), ("p", "q2", "2024-01-02", "answered"), ("p", "q3", "2024-01-25", "c")], [("p", "q1", "2024-01-19", "again"), ("p", "q4", "2024-01-02", "late"), ("p", "q5", "2024-02-20", "e")]
+    answered = spark.createDataFrame([("p", "q2"), ("p", "q2")], "project_id string, probe_id string")
+    path, told = str(tmp_path), []
+    for part in rows:
+        df = spark.createDataFrame(part, "project_id string, probe_id string, day string, prediction_id string").withColumn("ts", F.to_timestamp("day"))
+        df.coalesce(1).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(df.schema).parquet(f"{path}/in")
+        told += streams.run_append(streams.first_predictions(stream, "10 days", answered), path)
+    # q1 comes again after its state went with the watermark; within the horizon it doesn't.
+    assert {r.prediction_id for r in spark.read.parquet(f"{path}/rows").collect()} == {"first", "c", "again", "e"}
+    assert sum(p["late"] for p in told) == 1 and told[-1]["state"] == 1 and max(p["state"] for p in told) >= 2
