@@ -302,32 +302,35 @@ def collect_outputs(rows: DataFrame) -> DataFrame:
     In each round every row that is first among the undecided for both keys is taken, and
     the rows it blocks are dropped, which is the row-by-row result without one task that
     reads all rows. Each round decides a row at least, and rounds go on until none is open;
-    their number grows with chains of clashing rows only. Decided rows are written once, so
-    the plan doesn't grow with the rounds.
+    their number grows with chains of clashing rows only. A round is one table, written once:
+    its decided rows, and the open ones that the next round starts from.
     """
     checked = rows.withColumn("missing", completion_issues())
     unfilled = checked.filter(F.size("missing") > 0).select("row_no", F.lit("unfilled_proposal").alias("state"))
     keys = ["row_no", "proposal_id", "pack_id", "annotation_id"]
-    open_rows = pinned(checked.filter(F.size("missing") == 0).select(*keys))
-    decided = scratch_path(rows.sparkSession, "decided")
-    unfilled.write.parquet(decided)
-    while not open_rows.isEmpty():
-        by_id = open_rows.groupBy("proposal_id").agg(F.min("row_no").alias("row_no"))
-        by_key = open_rows.groupBy("pack_id", "annotation_id").agg(F.min("row_no").alias("row_no"))
-        taken = pinned(open_rows.join(by_id.select("row_no"), "row_no", "left_semi").join(by_key.select("row_no"), "row_no", "left_semi"))
+    spark = rows.sparkSession
+    path = scratch_path(spark, "decided")
+    named = checked.withColumn("pack_id", F.coalesce("pack_id", F.lit("")))
+    open_rows = named.filter(F.size("missing") == 0).select(*keys)
+    number = 0
+    while True:
+        by_id = open_rows.groupBy("proposal_id").agg(F.min("row_no").alias("first_id"))
+        by_key = open_rows.groupBy("pack_id", "annotation_id").agg(F.min("row_no").alias("first_key"))
+        placed = open_rows.join(by_id, "proposal_id").join(by_key, ["pack_id", "annotation_id"])
+        taken = placed.filter("row_no = first_id AND row_no = first_key")
         ids = taken.select("proposal_id", F.lit(True).alias("id_taken"))
         pairs = taken.select("pack_id", "annotation_id", F.lit(True).alias("key_taken"))
-        marked = pinned(
-            open_rows.join(taken.select("row_no", F.lit(True).alias("is_taken")), "row_no", "left")
-            .join(ids, "proposal_id", "left")
-            .join(pairs, ["pack_id", "annotation_id"], "left")
-        )
-        state = (
-            F.when(F.col("is_taken"), "collected").when(F.col("id_taken"), "duplicate_proposal_id").when(F.col("key_taken"), "duplicate_annotation_output")
-        )
-        marked.select("row_no", state.alias("state")).filter("state is not null").write.mode("append").parquet(decided)
-        open_rows = pinned(marked.filter("is_taken is null and id_taken is null and key_taken is null").select(*keys))
-    return rows.join(rows.sparkSession.read.schema(unfilled.schema).parquet(decided), "row_no")
+        state = F.when((F.col("row_no") == F.col("first_id")) & (F.col("row_no") == F.col("first_key")), "collected")
+        state = state.when(F.col("id_taken"), "duplicate_proposal_id").when(F.col("key_taken"), "duplicate_annotation_output")
+        marked = placed.join(ids, "proposal_id", "left").join(pairs, ["pack_id", "annotation_id"], "left").select(*keys, state.alias("state"))
+        marked.write.parquet(f"{path}/round={number}")
+        done = spark.read.schema(marked.schema).parquet(f"{path}/round={number}")
+        open_rows = done.filter("state IS NULL").select(*keys)
+        if open_rows.isEmpty():
+            break
+        number += 1
+    decided = spark.read.schema(done.schema).option("basePath", path).parquet(path).filter("state IS NOT NULL").select("row_no", "state")
+    return rows.join(unfilled.unionByName(decided), "row_no")
 
 
 def subset(a: Column, b: Column) -> Column:

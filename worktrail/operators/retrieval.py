@@ -7,6 +7,12 @@ are enough, and classes instead of events meet the questions, once per set of qu
 words. Words that all classes of a project hold (its name, its kinds of events) add the
 same to every one of them and stay out of that join. The best k events of the project by
 bonus and time join in, for questions that meet nothing else.
+
+Postings (project, word, class) are read by impact. The head block of each list, its classes
+with most question words, and the newest events give every question a k-th score; what can't
+reach that score is left unread: a class needs so many of the question's words that it holds
+one of the rarest, so the longest lists are skipped, and so that a list is read down to the
+classes with that many question words only.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ from pyspark.sql import functions as F
 from worktrail.functions.profile_text import event_text, search_text
 from worktrail.functions.text import str_array, tokens
 from worktrail.operators.ordering import group_positions, joined_list, top_rows
+from worktrail.session import pinned
 
 # Question words about time, and words that mark a workflow step.
 TEMPORAL_WORDS = ["latest", "current", "now", "still", "before", "after", "exception", "update", "default", "habit"]
@@ -27,6 +34,10 @@ SIGNAL_WORDS = [
 ]
 
 
+#: Classes in the head block of a posting list.
+HEAD = 32
+
+
 def question_words(probes: DataFrame) -> DataFrame:
     words = F.array_distinct(tokens(F.col("query")))
     temporal = F.when(F.arrays_overlap("words", str_array(TEMPORAL_WORDS)), F.lit(0.1)).otherwise(F.lit(0.0))
@@ -76,36 +87,64 @@ def retrieve(
         .agg(F.array_join(F.array_sort(F.collect_set("word")), " ").alias("signature"))
     )
     group = ["project_id", "signature", *few]
+    order = [F.desc("score"), F.desc(recency_key), F.asc("ord")]
     best = top_rows(signatures, group, newest, k, "place")
-    heads = best.filter("place = 1")
-    words = heads.select(*dict.fromkeys([*group, "ord", recency_key, *bonuses]), F.explode(F.split("signature", " ")).alias("word"))
-    many = heads.groupBy("project_id").agg(F.count("*").alias("heads"))
-    common = words.groupBy("project_id", "word").agg(F.count("*").alias("n")).join(many, "project_id").filter("n = heads").select("project_id", "word")
-    is_signal = F.col("word").isin(SIGNAL_WORDS).cast("int")
-    constant = posting.join(common, ["project_id", "word"]).groupBy("project_id", "asked").agg(F.count("*").alias("all_hits"), F.sum(is_signal).alias("all_signals"))
-    rare = posting.join(common, ["project_id", "word"], "left_anti")
-    met = (
-        words.join(rare, ["project_id", "word"])
-        .groupBy("asked", *dict.fromkeys([*group, "ord", recency_key, *bonuses]))
-        .agg(F.count("*").alias("hits"), F.sum(is_signal).alias("signals"))
-        .join(constant, ["project_id", "asked"], "left")
-        .join(sets.select("project_id", "asked", "n_words", "probe_bonus"), ["project_id", "asked"])
-        .withColumn("hits", F.col("hits") + F.coalesce("all_hits", F.lit(0)))
-        .withColumn("signals", F.col("signals") + F.coalesce("all_signals", F.lit(0)))
-        .withColumn("score", score(F.col("hits"), F.col("signals")))
+    heads = best.filter("place = 1").select(*dict.fromkeys([*group, "ord", recency_key, *bonuses])).withColumn("held", F.split("signature", " "))
+    lists = heads.withColumn("impact", F.size("held")).withColumn("word", F.explode("held"))
+    classes_of = heads.groupBy("project_id").agg(F.count("*").alias("heads"))
+    lengths = pinned(lists.groupBy("project_id", "word").agg(F.count("*").alias("length")).join(classes_of, "project_id"))
+    # Of a question's words: those of all classes, and the others from the rarest on.
+    known = posting.join(lengths, ["project_id", "word"])
+    fixed = known.filter("length = heads").groupBy("project_id", "asked").agg(F.collect_set("word").alias("everywhere"))
+    partly = known.filter("length < heads").groupBy("project_id", "asked").agg(F.array_sort(F.collect_list(F.struct("length", "word"))).alias("by_length"))
+    none = F.array().cast("array<string>")
+    asked = pinned(
+        sets.join(fixed, ["project_id", "asked"], "left")
+        .join(partly, ["project_id", "asked"], "left")
+        .withColumn("everywhere", F.coalesce("everywhere", none))
+        .withColumn("rare", F.coalesce(F.col("by_length.word"), none))
+        .drop("by_length")
     )
-    order = [F.desc("score"), F.desc(recency_key), F.asc("ord")]
-    leading = top_rows(met, ["project_id", "asked"], order, k, "place").select("asked", *group, "n_words", "probe_bonus", "hits", "signals")
-    columns = ["project_id", "asked", "event_id", "ord", recency_key, "score"]
-    matched = best.drop("place").join(leading, group).withColumn("score", score(F.col("hits"), F.col("signals"))).select(*columns)
+    signals_in = lambda c: F.size(F.array_intersect(c, str_array(SIGNAL_WORDS)))
+
+    def met_by(read: DataFrame, postings: DataFrame, when: Column) -> DataFrame:
+        """Classes that questions meet in the lists they read (read: project_id, asked, word, rare,
+        everywhere, ...), with exact scores; each class once, through its rarest common word."""
+        rows = read.join(postings, ["project_id", "word"]).filter(when)
+        shared = F.array_intersect("rare", "held")
+        rows = rows.withColumn("shared", shared).filter(F.col("shared")[0] == F.col("word"))
+        rows = rows.withColumn("hits", F.size("shared") + F.size("everywhere")).withColumn("signals", signals_in(F.concat("shared", "everywhere")))
+        return rows.withColumn("score", score(F.col("hits"), F.col("signals")))
 
+    columns = ["project_id", "asked", "event_id", "ord", recency_key, "score"]
     latest = top_rows(base, ["project_id", *few], newest, k, "place").drop("place").withColumnRenamed("words", "event_words")
     shared = F.array_intersect("words", "event_words")
-    filling = (
+    filling = pinned(
         sets.join(latest, "project_id")
-        .withColumn("score", score(F.size(shared), F.size(F.array_intersect(shared, str_array(SIGNAL_WORDS)))))
+        .withColumn("score", score(F.size(shared), signals_in(shared)))
         .select(*columns)
     )
+    # The k-th score that some events certainly have.
+    each = asked.select("project_id", "asked", "n_words", "probe_bonus", "everywhere", "rare", F.posexplode("rare").alias("at", "word"))
+    block = top_rows(lists, ["project_id", "word"], [F.desc("impact"), *newest], HEAD, "place").drop("place")
+    first = met_by(each, block, F.lit(True)).select("project_id", "asked", "ord", recency_key, "score", "signature")
+    sure = top_rows(filling.select("project_id", "asked", "ord", recency_key, "score", F.lit("").alias("signature")).unionByName(first), ["project_id", "asked"], order, 2 * k, "place")
+    # An event may stand in both: the k-th of its distinct places in time and file.
+    scores = sure.groupBy("project_id", "asked", recency_key, "ord").agg(F.max("score").alias("score"))
+    kth = scores.groupBy("project_id", "asked").agg(F.array_sort(F.collect_list(-F.col("score"))).alias("scores"))
+    kth = kth.select("project_id", "asked", (-F.get("scores", F.lit(k - 1))).alias("kth"))
+    most = base.groupBy("project_id").agg(F.max("own").alias("most"))
+    # So many of its other words a class has to hold; rounding is allowed for.
+    per_word = F.lit(1.0) / F.greatest(F.lit(1), F.col("n_words")) + F.lit(signal_weight)
+    gap = F.col("kth") - F.col("most") - (F.col("probe_bonus") if probe_bonus else F.lit(0.0)) - F.lit(1e-9)
+    least = F.greatest(F.lit(1), F.ceil(gap / per_word).cast("int") - F.size("everywhere"))
+    needed = asked.join(kth, ["project_id", "asked"], "left").join(most, "project_id").withColumn("least", F.coalesce(least, F.lit(1)))
+    read = needed.withColumn("listed", F.size("rare") - F.col("least") + 1).filter("listed > 0")
+    read = read.select("project_id", "asked", "n_words", "probe_bonus", "everywhere", "rare", "least", F.explode(F.slice("rare", F.lit(1), F.col("listed"))).alias("word"))
+    met = met_by(read, lists, F.col("impact") >= F.col("least") + F.size("everywhere"))
+    leading = top_rows(met, ["project_id", "asked"], order, k, "place").select("asked", *group, "n_words", "probe_bonus", "hits", "signals")
+    matched = best.drop("place").join(leading, group).withColumn("score", score(F.col("hits"), F.col("signals"))).select(*columns)
+
     # At most k * k + k candidates for each class of bonuses and set of words from here on.
     pool = matched.unionByName(filling).dropDuplicates(["project_id", "asked", "event_id"])
     from pyspark.sql import Window as W

@@ -268,9 +268,45 @@ def taxonomy_counts(probes: DataFrame, events: DataFrame, artifacts: DataFrame,
     return union([r.select("d.*").filter("value is not null").groupBy("dimension", "value").agg(F.count("*").alias("n")) for r in rows])
 
 
-def domain_gates(coverage: DataFrame, sources: DataFrame, release_checks: DataFrame, readiness_passed: DataFrame) -> DataFrame:
+def release_checks(
+    verdicts: DataFrame, input_issues: DataFrame, scored: DataFrame, probes: DataFrame, baselines: list[str], submission_issues: DataFrame,
+    submission_coverage: DataFrame, coverage: DataFrame, claims: DataFrame, drift: DataFrame,
+) -> DataFrame:
+    """(check, passed): the release checks that the domain gates need, read off the tables of a
+    release.
+
+    verdicts (project_id, passed); input_issues (code, n) of the public inputs; scored (baseline,
+    project_id, probe_id, known); probes of the release; submission_issues (code, n) and
+    submission_coverage (probe_coverage) of the submitted systems; coverage: domain_coverage();
+    claims (allowed) lines of claims; drift: differences between the recorded and the present
+    files of the bundle.
+    """
+    some = F.count("*") > 0
+    asked = probes.agg(F.count("*").alias("asked"), F.count_distinct("task_type").alias("tasks"))
+    told = scored.filter("known").groupBy("baseline").agg(F.count_distinct("project_id", "probe_id").alias("n"))
+    named = beside(told.filter(F.col("baseline").isin(baselines)), asked).agg((F.count_if((F.col("n") == F.col("asked")) & (F.col("asked") > 0)) == len(set(baselines))).alias("passed"))
+    batch = beside(submission_coverage.select("probe_coverage"), submission_issues.agg(F.count("*").alias("faults"))).agg((some & F.bool_and((F.col("probe_coverage") == 1) & (F.col("faults") == 0))).alias("passed"))
+    covered = beside(coverage.agg(F.count_if(F.col("status") == "covered").alias("domains")), asked).select(((F.col("domains") > 0) & (F.col("tasks") > 0)).alias("passed"))
+    rows = {
+        "project_release": verdicts.agg((some & F.coalesce(F.bool_and("passed"), F.lit(False))).alias("passed")),
+        "project_submission_inputs": input_issues.agg((F.count("*") == 0).alias("passed")),
+        "project_release_baselines": named,
+        "baseline_batch": batch,
+        "taxonomy_coverage_audit": covered,
+        "claim_boundary_audit": claims.agg((F.count_if(~F.col("allowed")) == 0).alias("passed")),
+        "artifact_bundle_manifest": drift.agg((F.count("*") == 0).alias("passed")),
+    }
+    return union([df.select(F.lit(name).alias("check"), F.coalesce("passed", F.lit(False)).alias("passed")) for name, df in rows.items()])
+
+
+def domain_gates(coverage: DataFrame, sources: DataFrame, release_checks: DataFrame, readiness_passed: DataFrame, preflights: DataFrame | None = None) -> DataFrame:
     """Domain by gate, with status. ``sources`` holds (domain, sources), ``release_checks``
-    (check, passed), ``readiness_passed`` one row (passed)."""
+    (check, passed), ``readiness_passed`` one row (passed). ``preflights`` (domain, passed): a
+    manifest whose preflight passed is a source of its domain."""
+    if preflights is not None:
+        more = preflights.filter("passed").select("domain").distinct().withColumn("sources", F.lit(1).cast("long"))
+        sources = sources.unionByName(more)
+    sources = sources.groupBy("domain").agg(F.sum("sources").alias("sources"))
     needs = [(g, c) for g, cs in GATE_NEEDS.items() for c in cs]
     spark = coverage.sparkSession
     needed = spark.createDataFrame(needs, "gate string, check string")

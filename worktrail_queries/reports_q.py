@@ -5,21 +5,28 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from worktrail.functions.ids import split_of
+from worktrail.operators import audits as U
+from worktrail.operators import checks as C
 from worktrail.operators import mining as M
 from worktrail.operators import profile as P
+from worktrail.operators import release as L
 from worktrail.operators import scoring as S
 from worktrail.operators import slices as Z
 from worktrail.operators import tables as T
 from worktrail.operators.annotation import release_tasks
 from worktrail.plans import readiness as R
 from worktrail_queries.annotation_q import pack_rows, staged
+from worktrail_queries.audits_q import RULES, SAFE
 from worktrail_queries.checks_q import split_consistency, verified
 from worktrail_queries.gold import gold
 from worktrail_queries.inputs import candidates, profile, raw, read, windows
 from worktrail_queries.mining_q import split_sql
 from worktrail_queries.registry import query
+from worktrail_queries.retrieval_q import RELEASE_BASELINES
 from worktrail_queries.scoring_q import scored, scored_submission
-from worktrail_queries.sqlkit import in_list, rnd, sql_list, table
+from worktrail_queries.sources_q import listed
+from worktrail_queries.sqlkit import has_any, in_list, rnd, sql_list, table
+from worktrail_queries.submissions import submission
 
 
 def _stage_inputs(spark, sf):
@@ -207,25 +214,51 @@ def domain_coverage(spark, sf):
 
 
 _map = ", ".join(f"('{k}', '{d}')" for k, d in R.SOURCE_DOMAINS.items())
-_RELEASED = ["project_submission_inputs", "project_release_baselines", "baseline_batch", "taxonomy_coverage_audit", "claim_boundary_audit"]
+_bad_rows = "+".join(
+    [
+        "(SELECT count(*) - count(DISTINCT prediction_id) FROM subm)", "(SELECT count(*) - count(DISTINCT (project_id, probe_id)) FROM subm)",
+        "(SELECT count(*) FROM subm WHERE project_id NOT IN (SELECT project_id FROM proj) OR probe_id = 'probe_unknown' OR trim(prediction) = '')",
+    ]
+)
+_unsafe = " OR ".join(f"regexp_matches(line, '(?i){p}')" for p in RULES.values())
+# Release checks over the tables: everything but the submitted batch, the claims and the verifier
+# passes by construction.
+table(
+    "relchecks",
+    f"""WITH l AS (SELECT string_split(text, chr(10)) AS ls FROM documents), e AS (SELECT unnest(ls) AS line, unnest(range(len(ls))) AS i, ls FROM l),
+        c AS (SELECT line, lower(array_to_string(ls[greatest(1, i):i + 2], chr(10))) AS context FROM e)
+        SELECT (SELECT bool_and(passed) FROM verified) AS ver, {_bad_rows} = 0 AND (SELECT count(*) FROM (SELECT project_id, probe_id FROM probe EXCEPT SELECT project_id, probe_id FROM subm)) = 0 AS batch,
+          NOT EXISTS (SELECT 1 FROM c WHERE ({_unsafe}) AND NOT {has_any('context', SAFE)}) AS claims""",
+)
 
 
 @query(
     "domain_gate_matrix",
-    f"""WITH c AS (SELECT d.domain, d.status AS taxonomy_status, coalesce(usable, 0) AS sources, (SELECT bool_and(passed) FROM verified) AS ver FROM domcov d JOIN (VALUES {_map}) m(kind, domain) USING (domain) LEFT JOIN srca ON srca.dataset_kind = m.kind),
+    f"""WITH c AS (SELECT d.domain, d.status AS taxonomy_status, coalesce(usable, 0) AS sources, relchecks.* FROM domcov d JOIN (VALUES {_map}) m(kind, domain) USING (domain) LEFT JOIN srca ON srca.dataset_kind = m.kind, relchecks),
         g AS (SELECT domain, taxonomy_status, sources, sources > 0 AS reusable_trace_source, sources > 0 OR domain = 'github_developer_workflow' AS license_privacy_pii_gate, true AS canonical_event_adapter,
-          taxonomy_status = 'covered' AND ver AS verifier_checked_project_release, taxonomy_status = 'covered' AS no_gold_submission_input, taxonomy_status = 'covered' AS baseline_and_external_runner_contract,
-          taxonomy_status = 'covered' AS taxonomy_and_claim_boundary, false AS readiness_and_artifact_gate FROM c)
-        SELECT *, false AS ready, concat_ws('|', {", ".join(f"CASE WHEN NOT {g} THEN '{g}' END" for g in R.GATES)}) AS blockers,
-          CASE WHEN taxonomy_status = 'covered' THEN 'covered_but_release_gate_incomplete' WHEN domain = 'email_workflow' AND sources <= 0 THEN 'blocked_license_privacy_manifest'
-            WHEN domain <> 'github_developer_workflow' AND sources > 0 THEN 'source_manifest_ready_release_pipeline_missing' ELSE 'planned_not_released' END AS status FROM g""",
+          taxonomy_status = 'covered' AND ver AS verifier_checked_project_release, taxonomy_status = 'covered' AS no_gold_submission_input, taxonomy_status = 'covered' AND batch AS baseline_and_external_runner_contract,
+          taxonomy_status = 'covered' AND claims AS taxonomy_and_claim_boundary, taxonomy_status = 'covered' AND ver AS readiness_and_artifact_gate FROM c),
+        b AS (SELECT *, {" AND ".join(R.GATES)} AS ready, concat_ws('|', {", ".join(f"CASE WHEN NOT {g} THEN '{g}' END" for g in R.GATES)}) AS blockers FROM g)
+        SELECT *, CASE WHEN ready THEN 'current_release_ready' WHEN taxonomy_status = 'covered' THEN 'covered_but_release_gate_incomplete' WHEN domain = 'email_workflow' AND sources <= 0 THEN 'blocked_license_privacy_manifest'
+            WHEN domain <> 'github_developer_workflow' AND sources > 0 THEN 'source_manifest_ready_release_pipeline_missing' ELSE 'planned_not_released' END AS status FROM b""",
 )
 def domain_gate_matrix(spark, sf):
+    """Release checks of the release that the events make: its verdicts, public inputs, scores,
+    the submitted batch, lines of the documents as claims, and the files of the bundle now and
+    as recorded."""
     kinds = F.create_map(*[F.lit(x) for pair in R.SOURCE_DOMAINS.items() for x in pair])
     sources = _sources(spark, sf).select(F.try_element_at(kinds, F.col("dataset_kind")).alias("domain"), F.col("usable").alias("sources")).filter("domain is not null")
-    verdict = verified(spark, sf).agg(F.bool_and("passed").alias("passed")).select(F.lit("project_release").alias("check"), "passed")
-    done = spark.createDataFrame([(c, True) for c in _RELEASED], "check string, passed boolean")
-    return R.domain_matrix(R.domain_gates(_coverage(spark, sf), sources, verdict.unionByName(done), verdict.select("passed")))
+    verdict = verified(spark, sf)
+    probes = gold(spark, sf).probes
+    public, template = L.submission_inputs(probes)
+    rows = submission(spark, sf)
+    files = listed(spark, sf)
+    checks = R.release_checks(
+        verdict.select("project_id", "passed"), L.verify_submission_inputs(public, template), scored(spark, sf), probes, RELEASE_BASELINES, L.validate_predictions(rows, probes),
+        L.coverage(rows, probes), _coverage(spark, sf), U.line_context_lint(read(spark, sf, "documents"), "doc_id", "text", RULES, SAFE),
+        C.inventory_drift(files, listed(spark, sf), "name", ["bytes", "sha256"]),
+    )
+    return R.domain_matrix(R.domain_gates(_coverage(spark, sf), sources, checks, verdict.agg(F.bool_and("passed").alias("passed"))))
 
 
 # Result tables ----------------------------------------------------------------------------

@@ -376,7 +376,7 @@ def discover_sources(spark, sf):
     return found.groupBy("dataset_kind", "confidence", "usable").agg(F.count("*").alias("n"))
 
 
-def _listed(spark, sf):
+def listed(spark, sf):
     """Document numbers by source in folders of a thousand documents and files of a hundred,
     written beside the checkpoints: a source of any size is many files of bounded size."""
     path = scratch_path(spark, "listed")
@@ -396,7 +396,7 @@ table(
 
 @query("file_inventory", "SELECT name, 'txt' AS kind, CAST(bytes AS BIGINT) AS bytes, sha256 FROM listed")
 def file_inventory(spark, sf):
-    return _listed(spark, sf).select("name", "kind", "bytes", "sha256")
+    return listed(spark, sf).select("name", "kind", "bytes", "sha256")
 
 
 _LANES = ", ".join(f"sum(CAST('0x' || substr(e, {15 * k + 1}, 15) AS BIGINT)::HUGEINT) AS s{k}" for k in range(4))
@@ -409,7 +409,7 @@ _LANES = ", ".join(f"sum(CAST('0x' || substr(e, {15 * k + 1}, 15) AS BIGINT)::HU
         SELECT folder, files, CAST(bytes AS BIGINT) AS bytes, sha256(concat_ws('|', files, s0, s1, s2, s3)) AS sha256 FROM (SELECT folder, count(*) AS files, sum(bytes) AS bytes, {_LANES} FROM e GROUP BY 1)""",
 )
 def directory_digest(spark, sf):
-    return X.directory_digest(_listed(spark, sf))
+    return X.directory_digest(listed(spark, sf))
 
 
 @query(
