@@ -46,6 +46,8 @@ LOCAL, LEAST, GLOBAL = 64, 8, 200
 #: Rounds with leaders end where the pairs left are few per index row, or where a round left more
 #: than this share of them.
 PAIRS, SHRINKS = 4, 0.9
+#: Pairs that a task verifies at least, where there are as many.
+TASK_PAIRS = 500
 _COMMON = 1 << 40
 #: Bytes of the name of a class; two sets may share one.
 CLASS_BYTES = 8
@@ -327,7 +329,8 @@ def _verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
     sets = members.select("rid", "n", "tokens", "marks")
     left = pairs.join(sets, pairs["a"] == sets["rid"]).select("a", "b", *[F.col(c).alias(f"x_{c}") for c in ("n", "tokens", "marks")])
     both = left.join(sets, left["b"] == sets["rid"]).select(*left.columns, *[F.col(c).alias(f"y_{c}") for c in ("n", "tokens", "marks")])
-    return both.mapInArrow(_similar, "a long, b long")
+    # Few pairs are few tasks: partitions are put together, never dealt anew.
+    return both.coalesce(pairs.count() // TASK_PAIRS + 1).mapInArrow(_similar, "a long, b long")
 
 
 #: Two sets of a bucket can still be similar enough, by their sizes and by what each holds from
@@ -340,12 +343,13 @@ def _links(members: DataFrame) -> DataFrame | None:
     """Links (a, b) of members that connect exactly what all similar pairs connect."""
     index = pinned(members.select(F.posexplode("first").alias("i", "h"), "rid", "n", "at").select("h", "rid", "n", (F.col("at") + F.col("i")).alias("pos")))
     rows = index.count()
-    tested = links = roots = None
+    links = roots = None
     before, turn = 0, 0
     while True:
         now = index.withColumn("root", F.col("rid")) if roots is None else index.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-        order = F.col("rid") if turn == 0 else F.xxhash64("rid", F.lit(turn))
-        parts = now.groupBy("h", "root").agg(F.count("*").alias("held"), F.min(F.struct(order.alias("o"), "rid", "n", "pos")).alias("head"))
+        # The head of a component has the fewest tokens of its own: it is closest to the others.
+        order = [F.col("pos") - turn % 2 * F.col("n"), F.xxhash64("rid", F.lit(turn))]
+        parts = now.groupBy("h", "root").agg(F.count("*").alias("held"), F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], "rid", "n", "pos")).alias("head"))
         lead = F.max(F.struct("held", (-F.col("root")).alias("low"), "root", "head")).alias("lead")
         buckets = parts.groupBy("h").agg(lead, F.count("*").alias("parts"), F.sum("held").alias("all"), F.sum(F.col("held") * F.col("held")).alias("same"))
         split = pinned(buckets.filter("parts > 1").select("h", "lead.root", "lead.head", (F.col("all") * F.col("all") - F.col("same")).alias("twice")))
@@ -364,14 +368,11 @@ def _links(members: DataFrame) -> DataFrame | None:
             # Of a member's leaders, the one that it shares most buckets with.
             often = met.groupBy("x", "y").count().groupBy("x").agg(F.max(F.struct("count", (-F.col("y")).alias("low"), "y")).alias("m"))
             pairs = often.select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = pinned(pairs)
         found = pinned(_verified(pairs, members))
         links = found if links is None else links.unionAll(found)
         if last:
             return links
-        tested = pairs if tested is None else tested.unionAll(pairs)
         if not found.isEmpty():
             roots = pinned(components(links).select(F.col("node").alias("rid"), "root"))
         turn += 1
