@@ -15,7 +15,7 @@ def test_each_stage_equals_brute_force_on_its_own_input(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     given = [tuple(r) for r in docs.collect()]
     names = [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["quality_rules", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "byte_bpe"]
+    assert names == ["quality_rules", "line_dedup", "simhash_near_dedup", "decontamination", "byte_bpe"]
     for name, stage in corpus_pipeline.STAGES:
         out = pinned(stage(spark, docs, SF))
         got = [tuple(r) for r in out.collect()]
@@ -36,7 +36,7 @@ def test_each_stage_equals_brute_force_on_its_own_input(spark):
             rows = list(text.items())
             groups = {k: c for k, _, c in test_simhash.expected(rows)}
             assert sorted(got) == sorted(r for r in given if groups[r[0]] == r[0])
-        elif name == "benchmark_decontamination":
+        elif name == "decontamination":
             items = [" " + " ".join(test_decontam.words(r.text)) + " " for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
             holds = {d for d, t in text.items() if any(i in " " + " ".join(test_decontam.words(t)) + " " for i in items)}
             assert holds and sorted(got) == sorted(r for r in given if r[0] not in holds)
@@ -51,7 +51,7 @@ def test_each_stage_equals_brute_force_on_its_own_input(spark):
 
 def test_empty_and_odd_rows(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    spark.createDataFrame([(1, "one benchmark item of words")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, "one listed item of words")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame([(1, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     long = "\n".join(" ".join(f"w{i}x{j}" for j in range(30)) for i in range(6))
     rows = [(1, long, None, None, None), (1, long, None, None, None), (2, None, "en", "s", 0), (3, "", "en", "s", 0), (None, long + "\nmore words here", "en", "s", 5)]

@@ -81,8 +81,8 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op8_benchmark_decontamination")
-def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("op8_decontamination")
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from worktrail.llm.decontam import contaminated
 
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
