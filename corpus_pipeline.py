@@ -41,7 +41,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of the benchmark go."""
+    """Documents that hold an item of the given table of items go."""
     prepare(spark)
     return without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -58,7 +58,7 @@ STAGES = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_dedup_stage),
     ("simhash_near_dedup", near_dedup),
-    ("benchmark_decontamination", decontamination),
+    ("decontamination", decontamination),
     ("byte_bpe", byte_pairs),
 ]
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +31,10 @@ SOURCE_DATASET = "gharchive"
 EVENT_LICENSE = "GitHub public event stream; repository licenses vary"
 
 
+#: Bits of ``ord`` for the place in a file: files up to a terabyte, and eight million of them.
+PLACE_BITS = 40
+
+
 def _placed(rows: DataFrame) -> DataFrame:
     """Adds the file of each row and ``place``, which grows inside the file: where its split
     begins plus the row's place in its task. A split holds fewer rows than bytes and a task
@@ -63,13 +66,13 @@ def read_raw_events(spark: SparkSession, path: str) -> DataFrame:
         kinds.filter("not as_lines").select("source_file"), "source_file", "left_semi"
     )
     rows = lines.unionByName(parsed).unionByName(documents)
-    # The driver lists the files anyway; their places in name order fill the upper bits.
-    bare = "^[a-z]+:/+"
-    names = sorted({re.sub(bare, "/", f) for f in rows.inputFiles()})
-    ranks = spark.createDataFrame(list(enumerate(names)), "file_rank long, file_name string")
-    ranked = rows.join(ranks, F.regexp_replace("source_file", bare, "/") == F.col("file_name"))
+    # Files are ranked by name in a table of their own; the rank fills the upper bits.
+    named = F.regexp_replace(F.col("_metadata.file_path"), "^[a-z]+:/+", "/").alias("file_name")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jsonl,gz,json}").load(path).select(named)
+    ranks = group_positions(files.withColumn("all", F.lit(0)), ["all"], ["file_name"]).select(F.col("pos").alias("file_rank"), "file_name")
+    ranked = rows.join(ranks, F.regexp_replace("source_file", "^[a-z]+:/+", "/") == F.col("file_name"))
     return (
-        ranked.withColumn("ord", F.shiftleft("file_rank", 36) + F.col("place"))
+        ranked.withColumn("ord", F.shiftleft("file_rank", PLACE_BITS) + F.col("place"))
         .drop("file_rank", "file_name", "place")
         .filter("type is not null or id is not null or repo is not null or payload is not null")
     )
