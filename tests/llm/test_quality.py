@@ -113,3 +113,11 @@ def test_classifier_edge_cases(spark, labelled):
     out = classify(docs, spark.createDataFrame(labelled, "doc_id long, quality int")).collect()
     assert len(out) == len(EDGE) + 2 and all(0 <= r.score <= 1 and r.held_out is not None for r in out)
     assert classify(docs.limit(0), spark.createDataFrame(labelled, "doc_id long, quality int")).count() == 0
+
+
+def test_rules_hold_for_labels_they_never_saw(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    trees = learn(docs, labels.filter("doc_id % 2 = 0"))
+    by_id = {r.doc_id: r for r in judge(docs, trees).collect()}
+    told = [(by_id[x.doc_id].kept, bool(x.quality)) for x in labels.filter("doc_id % 2 = 1 AND quality IS NOT NULL").collect() if not by_id[x.doc_id].base_failed]
+    assert len(told) >= 100 and np.mean([k == q for k, q in told]) > 0.95
