@@ -394,6 +394,32 @@ def test_retrieval_with_update_classes_and_many_probes(spark):
             assert got[q] == [f"e{-x[2]}" for x in best[:k]], q
 
 
+def test_questions_read_a_part_of_their_postings(spark):
+    """A project with many different questions and words of very different frequency: the longest
+    lists stay unread and others are read down to the classes that can win."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(120)]
+    weights = [1 / (i + 1) for i in range(120)]
+    events = [("p", f"e{i}", i, i, sorted(set(rng.choices(words, weights, k=14)))) for i in range(1200)]
+    probes = []
+    for j in range(300):
+        base = rng.choice(events)[4]
+        probes.append(("p", f"q{j}", sorted(set(rng.sample(base, min(6, len(base))) + rng.choices(words, weights, k=3))), 0.0))
+    ev = spark.createDataFrame(events, "project_id string, event_id string, ord long, t long, words array<string>")
+    pr = spark.createDataFrame(probes, "project_id string, probe_id string, words array<string>, probe_bonus double")
+    trace = {}
+    got = {}
+    for r in retrieval.retrieve(ev, pr, 5, recency_key="t", trace=trace).orderBy("rank").collect():
+        got.setdefault(r.probe_id, []).append(r.event_id)
+    for _, q, asked, _ in probes:
+        best = sorted(((len(set(asked) & set(e[4])) / len(asked), e[3], -e[2]) for e in events), reverse=True)
+        assert got[q] == [f"e{-x[2]}" for x in best[:5] if x[0] > 0], q
+    key = ["project_id", "word"]
+    read = trace["read"].join(trace["lists"], key).filter(F.col("impact") >= F.col("least") + F.size("everywhere")).count()
+    whole = trace["asked"].select("project_id", F.explode("rare").alias("word")).join(trace["lists"], key).count()
+    assert read < 0.25 * whole, (read, whole)
+
+
 def test_manifest_gate_reads_files(spark, tmp_path):
     (tmp_path / "m.json").write_text(
         '{"dataset_name":"d","source_dataset":"s","license":"CC0","project_id":"p","redistribution":{"allowed":true},'

@@ -51,14 +51,15 @@ def _total(base: Column, bonuses: list[str]) -> Column:
 
 def retrieve(
     events: DataFrame, probes: DataFrame, k: int = 5, bonuses: tuple[str, ...] = (), probe_bonus: bool = False,
-    signal_weight: float = 0.0, recency_key: str = "ts", classes: tuple[str, ...] = (),
+    signal_weight: float = 0.0, recency_key: str = "ts", classes: tuple[str, ...] = (), trace: dict | None = None,
 ) -> DataFrame:
     """Best k events per probe as (project_id, probe_id, event_id, score, rank).
 
     ``events`` holds project_id, event_id, ord, words, the recency key and the bonus
     columns; ``probes`` is question_words(). Events that score above zero win; only where
     none does, the newest fill in. Ties go to the newer event, then to file order. All
-    bonuses but one have to be ``classes``: columns with a few values each.
+    bonuses but one have to be ``classes``: columns with a few values each. ``trace`` receives
+    the posting lists and what each set of question words reads of them.
     """
     bonuses = list(bonuses)
     few = list(classes)
@@ -141,6 +142,8 @@ def retrieve(
     needed = asked.join(kth, ["project_id", "asked"], "left").join(most, "project_id").withColumn("least", F.coalesce(least, F.lit(1)))
     read = needed.withColumn("listed", F.size("rare") - F.col("least") + 1).filter("listed > 0")
     read = read.select("project_id", "asked", "n_words", "probe_bonus", "everywhere", "rare", "least", F.explode(F.slice("rare", F.lit(1), F.col("listed"))).alias("word"))
+    if trace is not None:
+        trace |= {"lists": lists, "asked": asked, "read": read}
     met = met_by(read, lists, F.col("impact") >= F.col("least") + F.size("everywhere"))
     leading = top_rows(met, ["project_id", "asked"], order, k, "place").select("asked", *group, "n_words", "probe_bonus", "hits", "signals")
     matched = best.drop("place").join(leading, group).withColumn("score", score(F.col("hits"), F.col("signals"))).select(*columns)
