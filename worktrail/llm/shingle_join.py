@@ -46,8 +46,8 @@ LOCAL, LEAST, GLOBAL = 64, 8, 200
 #: Rounds with leaders end where the pairs left are few per index row, or where a round left more
 #: than this share of them.
 PAIRS, SHRINKS = 4, 0.9
-#: Pairs that a task verifies at least, where there are as many.
-TASK_PAIRS = 500
+#: Pairs and sets of a task that verifies, about, where there are as many.
+TASK_PAIRS, TASK_SETS = 500, 2000
 _COMMON = 1 << 40
 #: Bytes of the name of a class; two sets may share one.
 CLASS_BYTES = 8
@@ -329,8 +329,9 @@ def _verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
     sets = members.select("rid", "n", "tokens", "marks")
     left = pairs.join(sets, pairs["a"] == sets["rid"]).select("a", "b", *[F.col(c).alias(f"x_{c}") for c in ("n", "tokens", "marks")])
     both = left.join(sets, left["b"] == sets["rid"]).select(*left.columns, *[F.col(c).alias(f"y_{c}") for c in ("n", "tokens", "marks")])
-    # Few pairs are few tasks: partitions are put together, never dealt anew.
-    return both.coalesce(pairs.count() // TASK_PAIRS + 1).mapInArrow(_similar, "a long, b long")
+    # Few pairs and sets are few tasks: partitions are put together, never dealt anew.
+    tasks = max(pairs.count() // TASK_PAIRS, members.count() // TASK_SETS) + 1
+    return both.coalesce(tasks).mapInArrow(_similar, "a long, b long")
 
 
 #: Two sets of a bucket can still be similar enough, by their sizes and by what each holds from
