@@ -6,7 +6,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from worktrail.functions import signals as N
 from worktrail.functions import text as X
+from worktrail.operators import retrieval as R
 from worktrail.operators.audits import line_context_lint
 from worktrail.session import TASKS_PER_CORE, spread
 from worktrail.sources import files
@@ -84,3 +86,44 @@ def test_needle_of_a_subsequence_is_read_once(spark):
     found = df.select("phrase", X.ordered_subsequence(X.tokens(F.col("phrase")), X.tokens(F.col("text"))).alias("found"))
     assert optimized(found).count("phrase") <= 6
     assert [r.found for r in found.collect()] == [True, False, False, None, None, False]
+
+
+def test_markers_are_searched_for_without_patterns(spark):
+    texts = [*N.NEGATIVE_MARKERS, *[m.upper() + " now" for m in N.NEGATIVE_MARKERS], "", "all fine", None, "do\nnot", "rewind"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", N.negative_language(F.col("t")).alias("hit"))
+    assert "RLIKE" not in optimized(rows).upper()
+    for r in rows.collect():
+        assert r.hit == (None if r.t is None else any(m in r.t.lower() for m in N.NEGATIVE_MARKERS)), r.t
+
+
+def test_evidence_is_read_without_writing_whole_events(spark, tmp_path):
+    spark.range(40).selectExpr(
+        "id as event_id", "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(id as int)) as ts", "id % 2 as user_id",
+        "element_at(array('click', 'view', 'purchase', 'error'), cast(1 + id % 4 as int)) as event_type", "1.0 as value", "concat('{\"k\": ', id % 10, '}') as props",
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    narrow, whole = G.Gold(spark, str(tmp_path)), G.Gold(spark, str(tmp_path))
+    assert whole.all_events.count() == 40
+    for name in ("evidence", "memory_events", "probes"):
+        a, b = ([r.asDict(True) for r in getattr(g, name).collect()] for g in (narrow, whole))
+        assert sorted(map(str, a)) == sorted(map(str, b)), name
+    assert "all_events" not in narrow.__dict__ and "evidence_events" in whole.__dict__
+
+
+@pytest.mark.parametrize("most", [0, 3, 512])
+def test_question_words_travel_as_arrays_and_copies_count_once(spark, monkeypatch, most):
+    words = [["a", "b"], ["a"], ["b", "c", "d"], ["x"], [], ["a", "b"], None]
+    events = [(f"p{p}", f"e{i}", i, i // 2, words[i % 7]) for p in range(3) for i in range(30)] + [(None, "e0", 0, 0, ["a"])]
+    shape = "project_id string, event_id string, ord long, t long, words array<string>"
+    asked = spark.createDataFrame([("p0", "a"), ("p0", "b"), ("p1", "a"), ("p1", "b"), ("p1", "c"), ("p1", "d"), (None, "a")], "project_id string, word string")
+    keyed = ["project_id", "event_id", "ord", "t"]
+    monkeypatch.setattr(R, "VOCABULARY", most)
+    base = spark.createDataFrame(events + events, shape)
+    wanted = {"p0": {"a", "b"}, "p1": {"a", "b", "c", "d"}}
+    truth = {(*e[:4], " ".join(sorted(wanted[e[0]] & set(e[4] or [])))) for e in events if wanted.get(e[0], set()) & set(e[4] or [])}
+    met = R._signatures(base, asked, keyed)
+    assert {tuple(r) for r in met.collect()} == truth
+    first = R._first_distinct(met, ["project_id", "signature"], [F.desc("t"), F.asc("ord")], 2).collect()
+    groups: dict = {}
+    for row in sorted(truth, key=lambda r: (-r[3], r[2])):
+        groups.setdefault((row[0], row[4]), []).append(row)
+    assert sorted(map(tuple, first)) == sorted(r for g in groups.values() for r in g[:2])
