@@ -2,17 +2,21 @@
 
 import json
 import re
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from worktrail.functions import signals as N
 from worktrail.functions import text as X
+from worktrail.operators import annotation as A
 from worktrail.operators import retrieval as R
 from worktrail.operators.audits import line_context_lint
 from worktrail.session import TASKS_PER_CORE, spread
 from worktrail.sources import files
 from worktrail.sources import manifest_projects as P
+from worktrail_queries import annotation_q as Q
+from worktrail_queries import audits_q as U
 from worktrail_queries import gold as G
 from worktrail_queries.sources_q import number_files, number_inventory
 
@@ -127,3 +131,27 @@ def test_question_words_travel_as_arrays_and_copies_count_once(spark, monkeypatc
     for row in sorted(truth, key=lambda r: (-r[3], r[2])):
         groups.setdefault((row[0], row[4]), []).append(row)
     assert sorted(map(tuple, first)) == sorted(r for g in groups.values() for r in g[:2])
+
+
+@pytest.fixture
+def event_folder(spark, tmp_path):
+    kinds = ["click", "view", "purchase", "error", "signup"]
+    rows = [(i, datetime(2024, 1, 1) + timedelta(seconds=i), i // 5 % 4, kinds[i % 5], 1.0, json.dumps({"k": i % 15})) for i in range(400)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+def test_queries_of_tasks_write_no_events_and_no_evidence(spark, event_folder):
+    for query in (Q.annotation_tasks, Q.boundary_subset, U.audit_sample_pack):
+        assert query(spark, event_folder).count() > 0
+    assert "evidence" not in vars(Q.staged(spark, event_folder))
+    assert not {"all_events", "artifacts"} & set(vars(G.gold(spark, event_folder)))
+
+
+def test_evidence_from_records_equals_evidence_from_written_events(spark, event_folder):
+    got = sorted(map(str, Q.staged(spark, event_folder).evidence.collect()))
+    g = G.gold(spark, event_folder)
+    assert not {"all_events", "artifacts"} & set(vars(g))
+    want = sorted(map(str, A.evidence_rows(Q.staged(spark, event_folder).tasks, g.all_events, g.artifacts).collect()))
+    assert got == want and got
+    assert g.sources == (g.all_events, g.artifacts)
