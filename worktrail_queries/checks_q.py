@@ -186,7 +186,7 @@ FROM (SELECT project_id, count(*) AS probes FROM fprobe GROUP BY ALL) p LEFT JOI
 
 def verified(spark, sf):
     g, memory_events, probes = faulty(spark, sf)
-    return V.verify_projects(V.project_issues(g.events, g.artifacts, g.memories, memory_events, probes), probes)
+    return V.verify_projects(V.project_issues(*g.checked, g.memories, memory_events, probes), probes)
 
 
 @query("verify_projects", "SELECT * FROM verified")
