@@ -10,14 +10,22 @@ from pyspark.sql import functions as F
 from worktrail.functions import signals as N
 from worktrail.functions import text as X
 from worktrail.operators import annotation as A
+from worktrail.operators import predictors as D
+from worktrail.operators import projects as J
 from worktrail.operators import retrieval as R
+from worktrail.operators import scoring as S
+from worktrail.operators import verify as V
 from worktrail.operators.audits import line_context_lint
+from worktrail.operators.profile import flag_signals
 from worktrail.session import TASKS_PER_CORE, spread
 from worktrail.sources import files
 from worktrail.sources import manifest_projects as P
 from worktrail_queries import annotation_q as Q
 from worktrail_queries import audits_q as U
+from worktrail_queries import checks_q as K
 from worktrail_queries import gold as G
+from worktrail_queries import retrieval_q as L
+from worktrail_queries import sources_q as W
 from worktrail_queries.sources_q import number_files, number_inventory
 
 
@@ -148,6 +156,46 @@ def test_queries_of_tasks_write_no_events_and_no_evidence(spark, event_folder):
     assert not {"all_events", "artifacts"} & set(vars(G.gold(spark, event_folder)))
 
 
+def test_texts_are_searched_for_signals_once(spark, event_folder):
+    whole = G.Gold(spark, event_folder)
+    want = J.project_evidence(whole.all_events)
+    g = G.Gold(spark, event_folder)
+    assert "content" not in g.evidence_events.columns
+    assert flag_signals(g.evidence_events) is g.evidence_events
+    assert "Contains(" not in optimized(J.project_evidence(g.evidence_events))
+    assert sorted(map(str, g.evidence.collect())) == sorted(map(str, want.collect()))
+    told = J.memory_events(want, whole.all_events)
+    assert sorted(map(str, g.memory_events.collect())) == sorted(map(str, told.collect()))
+
+
+def test_log_verification_and_project_tables_write_no_whole_events_before(spark, event_folder):
+    for rows in (L.predict_full_log(spark, event_folder), K.verified(spark, event_folder), W.write_project(spark, event_folder)):
+        assert rows.count() > 0
+    g = G.gold(spark, event_folder)
+    assert not {"all_events", "artifacts"} & set(vars(g))
+    counts = {r.table: r.rows for r in W.write_project(spark, event_folder).collect()}
+    events = g.events
+    assert counts["events"] == events.count() and counts["artifacts"] == g.artifacts.count()
+    log = sorted(map(tuple, D.full_log(g.log).collect()))
+    assert log == sorted(map(tuple, D.full_log(events).collect())) and log
+    told = V.project_issues(*g.checked, g.memories, g.memory_events, g.probes)
+    want = V.project_issues(events, g.artifacts, g.memories, g.memory_events, g.probes)
+    assert sorted(map(str, told.collect())) == sorted(map(str, want.collect()))
+
+
+def test_probes_without_answers_are_not_made_ready(spark, event_folder):
+    g = G.gold(spark, event_folder)
+    first = g.probes.orderBy("project_id", "probe_id").limit(1).select("project_id", "probe_id")
+    answers = first.unionByName(spark.createDataFrame([(None, "x"), ("gone", "x")], "project_id string, probe_id string"))
+    assert [tuple(r)[:1] for r in S.asked(g.probes, answers).select("project_id").collect()] == [(first.first().project_id,)]
+    rows = answers.selectExpr("'s' as baseline", "project_id", "probe_id", "'wait for CI' as prediction", "array('m') as memory_ids")
+    named = S.required_events(g.probes, g.memory_events).join(first, ["project_id", "probe_id"]).selectExpr("'s' as baseline", "project_id", "probe_id", "event_id")
+    scored = S.score_predictions(rows, named, g.probes, g.memories, g.memory_events)
+    got = {r.project_id: (r.known, r.evidence_recall) for r in scored.collect()}
+    assert got == {None: (False, 0.0), "gone": (False, 0.0), first.first().project_id: (True, 1.0)}
+    assert "left semi" in optimized(scored).lower().replace("leftsemi", "left semi")
+
+
 def test_evidence_from_records_equals_evidence_from_written_events(spark, event_folder):
     got = sorted(map(str, Q.staged(spark, event_folder).evidence.collect()))
     g = G.gold(spark, event_folder)
